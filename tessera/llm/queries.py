@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, html_main, packing, quality, secrets, topk, toxicity, vector_dedup
+from tessera.llm import chat, html_main, jaccard, packing, quality, secrets, topk, toxicity, vector_dedup
 from tessera.llm.base import checkpointed, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents, classifier, keep_cols=["doc_id", "source", "lang"])
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,7 +72,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors}
+QUERIES = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
         WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -90,6 +95,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
                (c.len + coalesce(again.len, 0) + coalesce(kept.len, 0))::BIGINT AS formatted_chars, n_windows
         FROM c LEFT JOIN again ON c.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN kept ON c.conv_id IS NOT DISTINCT FROM kept.conv_id""",
+    "op4_jaccard": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+             c AS (SELECT list_sort(s) AS s, min(r) AS c, len(any_value(s)) AS n, min(doc_id) AS least FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+             x AS (SELECT c, n, unnest(s) AS g FROM c),
+             l AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.g = b.g AND a.c <> b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+                   GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+             t(a, b) AS (SELECT c, c FROM c UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+             m AS (SELECT t.a AS c, min(c.least) AS component_id FROM t JOIN c ON t.b = c.c GROUP BY t.a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+        FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.c = c.c""",
     "op6_topk": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
