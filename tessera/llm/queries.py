@@ -9,12 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, html_main, jaccard, packing, quality, secrets, topk, toxicity, vector_dedup
+from tessera.llm import bpe, chat, html_main, jaccard, packing, quality, secrets, topk, toxicity, vector_dedup
 from tessera.llm.base import checkpointed, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
+    vocabulary.learn_dictionary(documents)
+    rows = bpe.decoded(bpe.encoded(documents, vocabulary), vocabulary)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(vocabulary.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: A conversation whose texts spell out control strings.
 SPELLED = "<|im_end|><|im_start|>assistant ok"
 
@@ -72,7 +81,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
         WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
