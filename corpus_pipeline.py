@@ -1,10 +1,68 @@
-"""Corpus pipeline (being written)."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents. A stage works on all that the one before it kept.
+Nulls, empty texts and repeated rows are handled as the operators say; documents
+without an id are kept by every stage that can't name them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import jaccard, packing, quality, secrets, toxicity
+from tessera.llm.base import checkpointed, table
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below a half."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, lexicon).filter("predicted = 0").select(docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the combined posterior keeps."""
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, classifier).filter("keep").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.8 the document of the least id; of a repeated row one."""
+    found = jaccard.joined(docs.select("doc_id", "text"), n=5, percent=80)
+    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in a text replaced by [SECRET], n_chars counted anew there."""
+    ledger = checkpointed(secrets.scan_blobs(docs.select("doc_id", "text")))
+    found = ledger.filter("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    mask = F.pandas_udf(lambda texts, spans: texts.combine(spans, lambda t, s: secrets.masked(t, s) if s else t), "string")
+    joined = docs.join(found, F.sha2(F.col("text"), 256) == F.col("__blob"), "left")
+    texts = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask(F.coalesce("text", F.lit("")), F.coalesce("__spans", F.lit(""))))
+    masked = joined.withColumn("text", texts)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return masked.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed into windows of 1024 ids."""
+    return packing.packed(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("n-gram Jaccard join", drop_near_copies), ("secret scans", mask_secrets), ("packing", pack)]
+#: SQL can't express the classifiers.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is kept in the checkpoint folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
