@@ -1,6 +1,6 @@
 """Queries by family; importing this package registers them."""
 
-from tessera.plans import facts
+from tessera.plans import facts, solvers
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "facts"]
+__all__ = ["ORACLES", "QUERIES", "facts", "solvers"]
