@@ -1,6 +1,6 @@
 """Queries by family; importing this package registers them."""
 
-from tessera.plans import facts, solvers, statistics
+from tessera.plans import facts, solvers, statistics, texts
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "facts", "solvers", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "facts", "solvers", "statistics", "texts"]
