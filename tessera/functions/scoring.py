@@ -41,7 +41,7 @@ def normalized_number(s: Column) -> Column:
     """Integral texts without a point as integers, other numbers by ``general``, else the text stripped and lower."""
     t = F.lower(stripped(s))
     x = number(s)
-    integral = (F.abs(x) < 1e37) & (x == F.floor(x).cast("double")) & ~t.contains(".")
+    integral = (F.abs(x) < 1e37) & (x == F.rint(x)) & ~t.contains(".")
     whole = F.when(F.abs(x) < 9e15, x.cast("long").cast("string")).otherwise(F.when(F.abs(x) < 1e37, x.cast("decimal(38,0)")).cast("string"))
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), t).when(integral, whole).otherwise(general(x))
 

@@ -47,8 +47,8 @@ def majority(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[C
 def disagreement(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Pairs of rows in each group, and those whose values differ, from value counts: C(k,2) - sum C(n_v,2), no pair is made."""
     choose = lambda k: (k * (k - 1) / 2).cast("long")
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("k"))
-    out = counts.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(choose(F.col("k"))).alias("same"))
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__k"))
+    out = counts.groupBy(*keys).agg(F.sum("__k").alias("n"), F.sum(choose(F.col("__k"))).alias("same"))
     return out.select(*keys, "n", choose(F.col("n")).alias("pairs"), (choose(F.col("n")) - F.col("same")).alias("flips"))
 
 
