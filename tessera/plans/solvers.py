@@ -10,8 +10,15 @@ from tessera.plans.registry import query
 from tessera.sources.adapters import GRAPHS, SERIES, graphs, read, series
 
 W = "WITH "
-BY_T = Window.partitionBy("data_id").orderBy("t")
-ALL_T = Window.partitionBy("data_id")
+
+
+def by_t():
+    """A series in order."""
+    return Window.partitionBy("data_id").orderBy("t")
+
+
+def all_t():
+    return Window.partitionBy("data_id")
 
 
 def least_t(value):
@@ -30,20 +37,20 @@ def series_extremes(spark, sf_dir):
 
 @query("series_anomaly", W + SERIES + """, m AS (SELECT *, round(abs(value - avg(value) OVER (PARTITION BY data_id)), 6) AS d FROM ts) SELECT data_id, arg_max(t, (d, -t)) AS anomaly, round(max(d), 4) AS distance FROM m GROUP BY data_id HAVING count(*) >= 5""")
 def series_anomaly(spark, sf_dir):
-    m = series(spark, sf_dir).withColumn("d", F.round(F.abs(F.col("value") - F.avg("value").over(ALL_T)), 6))
+    m = series(spark, sf_dir).withColumn("d", F.round(F.abs(F.col("value") - F.avg("value").over(all_t())), 6))
     return m.groupBy("data_id").agg(least_t(F.col("d")).alias("anomaly"), F.round(F.max("d"), 4).alias("distance"), F.count("*").alias("n")).filter("n >= 5").drop("n")
 
 
 @query("series_forecast", W + SERIES + """, r AS (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY t DESC) AS k FROM ts) SELECT data_id, round(2 * max(CASE WHEN k = 1 THEN value END) - max(CASE WHEN k = 2 THEN value END), 6) AS forecast FROM r GROUP BY data_id HAVING count(*) >= 4""")
 def series_forecast(spark, sf_dir):
-    r = series(spark, sf_dir).withColumn("before", F.lag("value").over(BY_T)).groupBy("data_id").agg(F.max_by("value", "t").alias("x"), F.max_by("before", "t").alias("y"), F.count("*").alias("n"))
+    r = series(spark, sf_dir).withColumn("before", F.lag("value").over(by_t())).groupBy("data_id").agg(F.max_by("value", "t").alias("x"), F.max_by("before", "t").alias("y"), F.count("*").alias("n"))
     return r.filter("n >= 4").select("data_id", F.round(2 * F.col("x") - F.col("y"), 6).alias("forecast"))
 
 
 @query("series_halves", W + SERIES + """, h AS (SELECT *, t < count(*) OVER (PARTITION BY data_id) // 2 AS early FROM ts), s AS (SELECT data_id, round(stddev_pop(value) FILTER (WHERE early), 9) AS a, round(stddev_pop(value) FILTER (WHERE NOT early), 9) AS b, avg(value) FILTER (WHERE early) AS ma, avg(value) FILTER (WHERE NOT early) AS mb FROM h GROUP BY data_id)
 SELECT data_id, CASE WHEN abs(a - b) < 1e-9 THEN 'equal' WHEN a > b THEN 'first half' ELSE 'second half' END AS volatility, round(mb - ma, 6) AS mean_shift, CASE WHEN round(mb - ma, 6) > 0 THEN 'higher' ELSE 'lower' END AS direction FROM s""")
 def series_halves(spark, sf_dir):
-    h = series(spark, sf_dir).withColumn("early", F.col("t") < F.floor(F.count("*").over(ALL_T) / 2))
+    h = series(spark, sf_dir).withColumn("early", F.col("t") < F.floor(F.count("*").over(all_t()) / 2))
     side = lambda f, e: f(F.when(F.col("early") == e, F.col("value")))
     s = h.groupBy("data_id").agg(F.round(side(F.stddev_pop, True), 9).alias("a"), F.round(side(F.stddev_pop, False), 9).alias("b"), F.round(side(F.avg, False) - side(F.avg, True), 6).alias("mean_shift"))
     volatility = F.when(F.abs(F.col("a") - F.col("b")) < 1e-9, "equal").when(F.col("a") > F.col("b"), "first half").otherwise("second half")
@@ -53,8 +60,8 @@ def series_halves(spark, sf_dir):
 @query("series_changes", W + SERIES + """, d AS (SELECT *, value - lag(value) OVER w AS d, lag(value) OVER w AS p, lead(value) OVER w AS q FROM ts WINDOW w AS (PARTITION BY data_id ORDER BY t)), e AS (SELECT *, lag(d) OVER (PARTITION BY data_id ORDER BY t) AS pd FROM d)
 SELECT data_id, round(avg(abs(d)), 6) AS mean_change, coalesce(sum((sign(d) * sign(pd) < 0)::INT), 0)::BIGINT AS sign_changes, coalesce(sum((value > p AND value > q)::INT), 0)::BIGINT AS local_maxima, round(stddev_pop(d), 6) AS change_std FROM e GROUP BY data_id""")
 def series_changes(spark, sf_dir):
-    d = series(spark, sf_dir).withColumn("p", F.lag("value").over(BY_T)).withColumn("q", F.lead("value").over(BY_T)).withColumn("d", F.col("value") - F.col("p"))
-    e = d.withColumn("turn", F.signum("d") * F.signum(F.lag("d").over(BY_T)) < 0)
+    d = series(spark, sf_dir).withColumn("p", F.lag("value").over(by_t())).withColumn("q", F.lead("value").over(by_t())).withColumn("d", F.col("value") - F.col("p"))
+    e = d.withColumn("turn", F.signum("d") * F.signum(F.lag("d").over(by_t())) < 0)
     peak = (F.col("value") > F.col("p")) & (F.col("value") > F.col("q"))
     return e.groupBy("data_id").agg(F.round(F.avg(F.abs("d")), 6).alias("mean_change"), F.count_if("turn").alias("sign_changes"), F.count_if(peak).alias("local_maxima"), F.round(F.stddev_pop("d"), 6).alias("change_std"))
 
@@ -62,7 +69,7 @@ def series_changes(spark, sf_dir):
 @query("series_threshold", W + SERIES + """, m AS (SELECT data_id, value, round(avg(value) OVER (PARTITION BY data_id) + stddev_pop(value) OVER (PARTITION BY data_id), 6) AS lim, avg(value) OVER (PARTITION BY data_id) AS mu FROM ts)
 SELECT data_id, sum((value > lim)::INT)::BIGINT AS above, CASE WHEN median(value) > any_value(round(mu, 9)) THEN 'median' ELSE 'mean' END AS greater, coalesce((max(value) - min(value)) / nullif(abs(any_value(round(mu, 9))), 0) > 1, false) AS wide FROM m GROUP BY data_id""")
 def series_threshold(spark, sf_dir):
-    m = series(spark, sf_dir).withColumn("lim", F.round(F.avg("value").over(ALL_T) + F.stddev_pop("value").over(ALL_T), 6)).withColumn("mu", F.round(F.avg("value").over(ALL_T), 9))
+    m = series(spark, sf_dir).withColumn("lim", F.round(F.avg("value").over(all_t()) + F.stddev_pop("value").over(all_t()), 6)).withColumn("mu", F.round(F.avg("value").over(all_t()), 9))
     wide = F.coalesce(F.try_divide(F.max("value") - F.min("value"), F.abs(F.first("mu"))) > 1, F.lit(False))
     return m.groupBy("data_id").agg(F.count_if(F.col("value") > F.col("lim")).alias("above"), F.when(F.median("value") > F.first("mu"), "median").otherwise("mean").alias("greater"), wide.alias("wide"))
 
@@ -75,7 +82,7 @@ def series_windows(spark, sf_dir):
 @query("series_cumulative", W + SERIES + """ SELECT data_id, t, round(sum(value) OVER (PARTITION BY data_id ORDER BY t), 4) AS total FROM ts""")
 def series_cumulative(spark, sf_dir):
     s = series(spark, sf_dir)
-    return s.select("data_id", "t", F.round(F.sum("value").over(BY_T.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("total"))
+    return s.select("data_id", "t", F.round(F.sum("value").over(by_t().rowsBetween(Window.unboundedPreceding, 0)), 4).alias("total"))
 
 
 @query("series_interpolated", W + SERIES + """, n AS (SELECT data_id, count(*) AS n FROM ts GROUP BY ALL), g AS (SELECT data_id, i, i * (n - 1) / 9.0::DOUBLE AS x FROM n, range(10) r(i) WHERE n >= 2)
