@@ -100,7 +100,7 @@ def _summary(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     largest = min((p for p in parts if len(p) == max(map(len, parts))), key=min)
     even = all((distances[min(p)][a] - distances[min(p)][b]) % 2 for p in parts for a in p for b in near[a])
     central = min(names, key=lambda n: (-round(share[n], 9), n))
-    return pd.DataFrame([(nodes["data_id"].iloc[0], len(names), len(edges), len(parts), len(largest), max(max(distances[n].values()) for n in largest), even, len(edges) > len(names) - len(parts), central)], columns=[c.split()[0] for c in SUMMARY.split(", ")])
+    return pd.DataFrame([(nodes["own"].iloc[0], len(names), len(edges), len(parts), len(largest), max(max(distances[n].values()) for n in largest), even, len(edges) > len(names) - len(parts), central)], columns=[c.split()[0] for c in SUMMARY.split(", ")])
 
 
 def summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -112,7 +112,9 @@ def summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _summary(a, b) if len(a) else pd.DataFrame(columns=[c.split()[0] for c in SUMMARY.split(", ")])
 
-    return nodes.groupBy("data_id").cogroup(edges.groupBy("data_id")).applyInPandas(run, SUMMARY)
+    # both sides may come from one frame: columns of their own names
+    own, other = nodes.select(F.col("data_id").alias("own"), F.col("node")), edges.select(F.col("data_id").alias("other"), "src", "dst")
+    return own.groupBy("own").cogroup(other.groupBy("other")).applyInPandas(run, SUMMARY)
 
 
 def distances(nodes: DataFrame, edges: DataFrame, source: int, rounds: int = 64) -> DataFrame:

@@ -80,7 +80,7 @@ def raters(spark, sf_dir):
     return labels.join(documents.select("doc_id", "lang", (F.col("n_chars") > 1000).cast("int").alias("long")), "doc_id")
 
 
-@query("cohen_kappa", W + RATERS + """, c AS (SELECT lang, count(*) AS n, avg((quality = long)::INT) AS po, avg(quality) AS a, avg(long) AS b FROM r GROUP BY lang) SELECT lang, n, po AS agreement, round((po - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 9) AS kappa FROM c""")
+@query("cohen_kappa", W + RATERS + """, c AS (SELECT lang, count(*) AS n, avg((quality = long)::INT) AS po, avg(quality) AS a, avg(long) AS b FROM r GROUP BY lang) SELECT lang, n, po AS agreement, CASE WHEN a * b + (1 - a) * (1 - b) >= 1 THEN 1.0 ELSE round((po - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 9) END AS kappa FROM c""")
 def cohen_kappa(spark, sf_dir):
     return st.cohen_kappa(raters(spark, sf_dir), ["lang"], "quality", "long").withColumn("kappa", F.round("kappa", 9))
 
