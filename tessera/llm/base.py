@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    # the shuffle files of what isn't referenced any more go when both collectors have run, not at some later time
+    gc.collect()
+    context._jvm.System.gc()
+    return kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,6 +52,8 @@ COUNTED_BITS = 44
 SHORT_LIST = 12
 #: Members compared with one leader in one task.
 GROUP = 1_000
+#: Up to so many documents with a candidate, their keys (some 50 bytes each) are sent to the texts; beyond, texts and keys are joined by a shuffle.
+BROADCAST_ROUTES = 60_000
 #: Hashes a counting task holds before it writes them out.
 BUFFER = 6_000_000
 
@@ -201,40 +203,46 @@ def partners(n: np.ndarray, pos: np.ndarray, i: int, percent: int) -> np.ndarray
 def _lists(percent: int):
     """Candidate pairs of each list; a long list is also kept, packed, for the comparison of components."""
 
-    def one(rows: pd.DataFrame, h: int, pairs: list, kept: list) -> None:
-        key, first = np.unique(rows["key"].to_numpy(), return_index=True)
+    def one(key: np.ndarray, n: np.ndarray, pos: np.ndarray, h: int, pairs: list, kept: list) -> None:
+        _, first = np.unique(key, return_index=True)  # a class may come from several tasks
         first.sort()
-        key, n, pos = (rows[c].to_numpy()[first] for c in ("key", "n", "pos"))
+        key, n, pos = key[first], n[first], pos[first]
         m = len(key)
         if m < 2:
             return
         if m <= SHORT_LIST:
-            for i in range(m - 1):
-                pairs += [(key[i], key[j]) for j in partners(n, pos, i, percent)]
-            return
-        i = 0
-        while i < m - 1:
-            pairs += [(key[i], key[j]) for j in partners(n, pos, i, percent)]
-            i = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
-        packed = np.zeros(m, dtype=ENTRY)
-        packed["key"], packed["n"], packed["pos"] = key, n, pos
-        kept.append((h, packed.tobytes()))
+            found = [(i, partners(n, pos, i, percent)) for i in range(m - 1)]
+        else:
+            found, i = [], 0
+            while i < m - 1:
+                found.append((i, partners(n, pos, i, percent)))
+                i = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
+            packed = np.zeros(m, dtype=ENTRY)
+            packed["key"], packed["n"], packed["pos"] = key, n, pos
+            kept.append((h, packed.tobytes()))
+        pairs += [np.stack([np.full(len(other), key[i]), key[other]], axis=1) for i, other in found if len(other)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def done(frame: pd.DataFrame) -> pd.DataFrame:
-            h = frame["h"].to_numpy()
-            starts = np.nonzero(np.diff(h, prepend=h[0] - 1 if len(h) else 0) != 0)[0]
+            h, n, pos, key = (frame[c].to_numpy() for c in ("h", "n", "pos", "key"))
+            starts = np.nonzero(np.diff(h, prepend=h[:1] - 1) != 0)[0]
             sizes = np.diff(np.append(starts, len(h)))
-            pairs, kept = [], []
-            for s, size in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-                one(frame.iloc[s : s + size], int(h[s]), pairs, kept)
-            pairs = list(dict.fromkeys(pairs))
-            out = pd.DataFrame([(a, b, None, None) for a, b in pairs] + [(None, None, h, k) for h, k in kept], columns=["a", "b", "list", "keys"], dtype=object)
-            for c in ("a", "b", "list"):
-                out[c] = out[c].map(lambda x: None if x is None or x != x else int(x)).astype("Int64")
-            return out
+            # lists of two, by far the most, all at once
+            i = starts[sizes == 2]
+            need = least_overlap(n[i].astype("i8") + n[i + 1], percent)
+            both = (key[i] != key[i + 1]) & (100 * n[i].astype("i8") >= percent * n[i + 1].astype("i8")) & (n[i] - pos[i] >= need) & (n[i + 1] - pos[i + 1] >= need)
+            pairs, kept = [np.stack([key[i[both]], key[i[both] + 1]], axis=1)], []
+            for s, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+                one(key[s : s + size], n[s : s + size], pos[s : s + size], int(h[s]), pairs, kept)
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            none = [None] * len(pairs)
+            out = pd.DataFrame({"a": pd.array(pairs[:, 0], dtype="Int64"), "b": pd.array(pairs[:, 1], dtype="Int64"), "list": pd.array(none, dtype="Int64"), "keys": none})
+            if not kept:
+                return out
+            none = pd.array([None] * len(kept), dtype="Int64")
+            return pd.concat([out, pd.DataFrame({"a": none, "b": none, "list": pd.array([h for h, _ in kept], dtype="Int64"), "keys": [k for _, k in kept]})], ignore_index=True)
 
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -257,6 +265,9 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, n: int
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     routes = dealt.select(F.col("b").alias("key"), F.col("a").alias("leader"), "salt").union(dealt.select(F.col("a").alias("key"), F.col("a").alias("leader"), "salt").distinct())
     routes = routes.join(classes.select("key", "rep"), "key").groupBy("rep", "key").agg(F.collect_set(F.struct("leader", "salt")).alias("routes"))
+    routes = checkpointed(routes)
+    if routes.limit(BROADCAST_ROUTES + 1).count() <= BROADCAST_ROUTES:
+        routes = F.broadcast(routes)
     texts = documents.join(routes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "routes")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,13 +342,14 @@ def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     parts = max(1, documents.rdd.getNumPartitions())
     seen = checkpointed(documents.mapInPandas(_seen(n, parts), SEEN))
-    own = seen.filter("part is null").select("doc_id", "n", "key")
     counts = seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long")
     top = counts.orderBy(F.desc("count"), "value").limit(FREQUENT).toPandas().sort_values("value")
     frequent = spark.sparkContext.broadcast((top["value"].to_numpy("u8"), top["count"].to_numpy("i8")))
+    own = seen.filter("part is null").select("doc_id", "n", "key")
+    del seen, counts  # of what counted, only short rows stay
+    own = checkpointed(own)
     k = partitions(spark)
-    postings = documents.select("text").mapInPandas(_postings(n, percent, frequent), POSTING).repartition(k, "h").sortWithinPartitions("h", "n", "pos", "key")
-    listed = checkpointed(postings.mapInPandas(_lists(percent), LISTED))
+    listed = checkpointed(documents.select("text").mapInPandas(_postings(n, percent, frequent), POSTING).repartition(k, "h").sortWithinPartitions("h", "n", "pos", "key").mapInPandas(_lists(percent), LISTED))
     classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     pairs = checkpointed(listed.filter("list is null").select("a", "b").distinct())
     found = _verified(documents, classes, pairs, n, percent)
