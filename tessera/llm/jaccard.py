@@ -14,8 +14,9 @@ range are skipped, and in the block of each size all positions that leave too fe
 n-grams after them are skipped at once.
 
 *Answers from similar sets.* In a long list only a leader, the least set of its
-size range, is compared with all others. What links to it is answered: it is in
-the leader's component, and needs no comparison with others there. Then, once for
+size range, is compared with all others, and each set with a few fixed neighbours.
+What links is answered: it is in one component, and needs no comparison with others
+there. Then, once for
 all lists, members of different components are compared, so no link is lost that
 joins components; in a group of near copies nothing is left to do.
 
@@ -45,9 +46,11 @@ from tessera.llm.base import checkpointed, partitions, whole
 from tessera.llm.components import components
 
 #: The most n-grams whose counts order the sets, and the least count of one: 16 bytes each are sent to every executor.
-FREQUENT, LEAST_COUNT = 200_000, 6
+FREQUENT, LEAST_COUNT = 1_000_000, 5
 #: Bits of a hash that are counted: n-grams that agree in them share a count, which only the order feels.
 COUNTED_BITS = 44
+#: In a longer list each set is also compared with so many that follow it by key, the same in every list.
+NEIGHBOURS = 3
 #: Lists up to this length are compared whole at once.
 SHORT_LIST = 12
 #: Members compared with one leader in one task.
@@ -55,7 +58,7 @@ GROUP = 1_000
 #: Up to so many documents with a candidate, their keys (some 50 bytes each) are sent to the texts; beyond, texts and keys are joined by a shuffle.
 BROADCAST_ROUTES = 60_000
 #: Hashes a counting task holds before it writes them out.
-BUFFER = 6_000_000
+BUFFER = 3_000_000
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype="u8")
 
@@ -129,10 +132,10 @@ def _seen(n: int, parts: int):
             yield counted()
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "part", "counts"], dtype=object)
-        for c, kind in (("doc_id", "Int64"), ("n", "Int64"), ("key", "Int64"), ("part", "Int32")):
-            out[c] = out[c].map(lambda x: None if x is None or x is pd.NA or x != x else int(x)).astype(kind)
-        return out
+        doc, size, key, part, counts = zip(*rows, strict=True) if rows else ((),) * 5
+        whole_number = lambda x: None if x is None or x != x else int(x)
+        # nullable integers made from Python's own: through floats the keys would lose their last bits
+        return pd.DataFrame({c: pd.array([whole_number(x) for x in v], dtype=kind) for c, v, kind in (("doc_id", doc, "Int64"), ("n", size, "Int64"), ("key", key, "Int64"), ("part", part, "Int32"))} | {"counts": pd.Series(counts, dtype=object)})
 
     return run
 
@@ -200,6 +203,12 @@ def partners(n: np.ndarray, pos: np.ndarray, i: int, percent: int) -> np.ndarray
     return i + 1 + np.nonzero((n[rest] - pos[rest] >= need) & (int(n[i]) - int(pos[i]) >= need))[0]
 
 
+def _may_link(n: np.ndarray, pos: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether both sets have enough n-grams from the shared one on, sizes being in range."""
+    need = least_overlap(n[others].astype("i8") + int(n[i]), percent)
+    return (n[others] - pos[others] >= need) & (int(n[i]) - int(pos[i]) >= need)
+
+
 def _lists(percent: int):
     """Candidate pairs of each list; a long list is also kept, packed, for the comparison of components."""
 
@@ -213,10 +222,19 @@ def _lists(percent: int):
         if m <= SHORT_LIST:
             found = [(i, partners(n, pos, i, percent)) for i in range(m - 1)]
         else:
-            found, i = [], 0
-            while i < m - 1:
-                found.append((i, partners(n, pos, i, percent)))
-                i = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
+            found, start = [], 0
+            while start < m - 1:
+                # of the least sets the one of the least key leads, so lists of similar sets have the same leader
+                i = start + int(np.argmin(key[start : np.searchsorted(n, n[start], "right")]))
+                end = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
+                others = np.concatenate([np.arange(start, i), np.arange(i + 1, end)])
+                found.append((i, others[_may_link(n, pos, i, others, percent)]))
+                start = end
+            by_key = np.argsort(key, kind="stable")
+            for step in range(1, NEIGHBOURS + 1):
+                for i, j in zip(by_key[:-step], by_key[step:], strict=True):
+                    if 100 * min(int(n[i]), int(n[j])) >= percent * max(int(n[i]), int(n[j])) and _may_link(n, pos, i, np.array([j]), percent)[0]:
+                        found.append((i, np.array([j])))
             packed = np.zeros(m, dtype=ENTRY)
             packed["key"], packed["n"], packed["pos"] = key, n, pos
             kept.append((h, packed.tobytes()))
@@ -355,7 +373,8 @@ def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     found = _verified(documents, classes, pairs, n, percent)
     named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
     lists = listed.filter("list is not null").select("list", "keys")
-    more = checkpointed(_between(lists, named, percent).join(pairs, ["a", "b"], "left_anti"))
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = checkpointed(ordered(_between(lists, named, percent)).join(ordered(pairs), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = found.union(_verified(documents, classes, more, n, percent))
         named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
