@@ -159,6 +159,27 @@ def _frequent(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"value": values[often].astype("i8"), "count": counts[often]})
 
 
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"values": [frame["value"].to_numpy("<i8").tobytes()], "counts": [frame["count"].to_numpy("<i8").tobytes()]})
+
+
+def _top(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the greatest counts, sorted, and their counts: those from the least count on above which there are at most ``most``."""
+    least, n = None, 0
+    for row in counts.groupBy("count").agg(F.count("*").alias("k")).orderBy(F.desc("count")).limit(100_000).toLocalIterator():
+        n += row["k"]
+        if n > most:
+            break
+        least = row["count"]
+    if least is None:
+        return np.empty(0, dtype="u8"), np.empty(0, dtype="i8")
+    rows = counts.filter(F.col("count") >= least).mapInPandas(_packed, "values binary, counts binary").collect()
+    values = np.concatenate([np.frombuffer(r["values"], dtype="<i8") for r in rows]).astype("u8")
+    by = np.argsort(values)
+    return values[by], np.concatenate([np.frombuffer(r["counts"], dtype="<i8") for r in rows])[by]
+
+
 POSTING = "h long, n int, pos int, key long"
 
 
@@ -360,9 +381,8 @@ def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     parts = max(1, documents.rdd.getNumPartitions())
     seen = checkpointed(documents.mapInPandas(_seen(n, parts), SEEN))
-    counts = seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long")
-    top = counts.orderBy(F.desc("count"), "value").limit(FREQUENT).toPandas().sort_values("value")
-    frequent = spark.sparkContext.broadcast((top["value"].to_numpy("u8"), top["count"].to_numpy("i8")))
+    counts = checkpointed(seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long"))
+    frequent = spark.sparkContext.broadcast(_top(counts, FREQUENT))
     own = seen.filter("part is null").select("doc_id", "n", "key")
     del seen, counts  # of what counted, only short rows stay
     own = checkpointed(own)
