@@ -3,14 +3,17 @@
 A text is split by the tokenizer's pattern; a word's bytes are folded by Spark's
 ``aggregate``: each step joins the adjacent pair of pieces whose concatenation has
 the least rank, leftmost first, until no pair has one. The rank map is a literal of
-the plan (from the vocabulary file's rows, so a fixed 50 thousand entries): an array of small maps, one of which an entry's hash picks.
+the plan: for every way to cut a vocabulary entry into two entries, the rank of the
+whole under the pair of ranks; an array of small maps, one of which a pair's number
+picks. Its size is that of the vocabulary file, fixed.
 
 Words repeat, so distinct words are folded once where that pays: the most frequent
 ``DICTIONARY`` words of all documents, counted with map-side combining, are folded
 as rows of their own and become a second literal of bounded size. A word outside it
 is folded where it stands. No text and no word list of unbounded size is moved.
 
-Decoding looks up each id's piece and concatenates the pieces' bytes.
+Decoding looks up each id's piece and concatenates the pieces' bytes; like
+encoding it is done once for the ids of a word in the dictionary.
 
 Null texts count as empty: no ids, digests of no bytes. Among words of equal counts
 the lesser comes into the dictionary, which only speed feels. Repeated rows are encoded
@@ -29,13 +32,14 @@ from pyspark.sql.classic.column import Column
 
 from tessera.llm.base import checkpointed, whole
 
-#: The most words folded ahead: some 45 bytes each are sent to every executor.
-DICTIONARY = 524_288
-#: Entries of the arrays that hashes index.
-RANK_BUCKETS, WORD_BUCKETS = 65_536, 262_144
-#: Marks of a dictionary entry: mark, word, mark, ids. Words that hold one are not entries.
-ENTRY, VALUE = "\x01", "\x02"
-OUTPUT = ("ids", "decoded")
+#: The most words folded ahead: some 80 bytes each are sent to every executor.
+DICTIONARY = 786_432
+#: Entries of the arrays that hashes index; a prime for the pairs' numbers.
+RANK_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS = 65_536, 131_071, 1_048_576
+#: A pair's number is its first rank times this and its second.
+PAIR = 1 << 20
+#: Marks of a dictionary entry: mark, word, mark, ids, mark, bytes. Words that hold one are not entries.
+ENTRY, VALUE, DECODED = "\x01", "\x02", "\x03"
 
 
 def java_pattern(pattern: str) -> str:
@@ -53,6 +57,11 @@ def literal(row: DataFrame) -> Column:
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(made))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Vocabulary:
     """Literals of one vocabulary file (base64 of the bytes, blank, rank)."""
 
@@ -60,58 +69,78 @@ class Vocabulary:
         with open(ranks_path, "rb") as lines:
             rows = [(bytearray(base64.b64decode(a)), int(b)) for a, b in map(bytes.split, lines)]
         self.pattern = java_pattern(pattern)
-        ranks = spark.createDataFrame(rows, "piece binary, rank int").withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(RANK_BUCKETS)))
-        entries = ranks.groupBy("bucket").agg(F.collect_list(F.struct("piece", "rank")).alias("m"))
-        self.maps = self._indexed(entries, "m", RANK_BUCKETS, "cast(array() as array<struct<piece:binary,rank:int>>)", F.map_from_entries)
+        ranks = checkpointed(spark.createDataFrame(rows, "piece binary, rank int").repartition(8))
         top = max(rank for _, rank in rows) + 1
-        pieces = ranks.select(F.col("rank").cast("long").alias("bucket"), F.hex("piece").alias("p"))
-        self.pieces = self._indexed(pieces, "p", top, "''")
-        little = spark.range(top).select(F.col("id").alias("bucket"), F.concat(*[F.lpad(F.hex(F.shiftright(F.col("id"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]).alias("p"))
-        self.little = self._indexed(little, "p", top, "''")
+        buckets = ranks.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(RANK_BUCKETS)))
+        self.maps = self._indexed(buckets, F.struct("piece", "rank"), RANK_BUCKETS, "struct<piece:binary,rank:int>")
+        cuts = ranks.filter(F.octet_length("piece") > 1).select("piece", "rank", F.explode(F.sequence(F.lit(1), F.octet_length("piece") - 1)).alias("at"))
+        cuts = cuts.select("rank", F.substring("piece", F.lit(1), F.col("at")).alias("a"), F.substring("piece", F.col("at") + 1, F.octet_length("piece")).alias("b"))
+        first, second = (ranks.select(F.col("piece").alias(c), F.col("rank").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
+        pairs = cuts.join(first, "a").join(second, "b").select((F.col("ra").cast("long") * PAIR + F.col("rb")).alias("pair"), "rank")
+        self.pairs = self._indexed(pairs.withColumn("bucket", F.col("pair") % PAIR_BUCKETS), F.struct("pair", "rank"), PAIR_BUCKETS, "struct<pair:bigint,rank:int>")
+        self.pieces = self._array(ranks.select(F.col("rank").cast("long").alias("bucket"), F.hex("piece").alias("v")), top)
+        little = spark.range(top).select(F.col("id").alias("bucket"), F.concat(*[F.lpad(F.hex(F.shiftright(F.col("id"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]).alias("v"))
+        self.little = self._array(little, top)
+        own = {bytes(p): r for p, r in rows if len(p) == 1}
+        self.bytes = F.array(*[F.lit(own.get(bytes([k]))).cast("int") for k in range(256)])
         self.dictionary: Column | None = None
 
-    def _indexed(self, rows: DataFrame, value: str, size: int, empty: str, shape=lambda v: v) -> Column:
-        """A literal: array whose n-th element is the value of bucket n."""
-        every = rows.sparkSession.range(size).withColumnRenamed("id", "bucket").join(rows.select("bucket", value), "bucket", "left")
-        return literal(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce(value, F.expr(empty)).alias("v")))), lambda x: shape(x["v"])).alias("v")))
+    @staticmethod
+    def _array(rows: DataFrame, size: int) -> Column:
+        """A literal: array whose n-th element is the text v of bucket n, counted from 0, "" where there is none."""
+        every = rows.sparkSession.range(size).withColumnRenamed("id", "bucket").join(rows, "bucket", "left")
+        return literal(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("v", F.lit("")).alias("v")))), lambda x: x["v"]).alias("v")))
+
+    @staticmethod
+    def _indexed(rows: DataFrame, entry: Column, size: int, kind: str) -> Column:
+        """A literal: array whose n-th element is the map of the entries of bucket n."""
+        grouped = rows.groupBy("bucket").agg(F.collect_list(entry).alias("m"))
+        every = rows.sparkSession.range(size).withColumnRenamed("id", "bucket").join(grouped, "bucket", "left")
+        filled = F.coalesce("m", F.array().cast(f"array<{kind}>")).alias("m")
+        return literal(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", filled))), lambda x: F.map_from_entries(x["m"])).alias("v")))
 
     def rank(self, piece: Column) -> Column:
+        """Of a whole vocabulary entry, else null."""
         return F.try_element_at(F.get(self.maps, F.pmod(F.xxhash64(piece), F.lit(RANK_BUCKETS)).cast("int")), piece)
 
-    def folded(self, word: Column) -> Column:
-        """The ids of one word as text: decimal, a blank before each."""
-        data = F.encode(word, "UTF-8")
-        text = lambda ids: F.concat(F.lit(" "), F.array_join(ids, " "))
+    def joined_rank(self, a: Column, b: Column) -> Column:
+        """Of two pieces' concatenation, from their ranks, else null."""
+        pair = a.cast("long") * PAIR + b
+        return F.try_element_at(F.get(self.pairs, (pair % PAIR_BUCKETS).cast("int")), pair)
 
-        def let(value: Column, use) -> Column:
-            return F.get(F.transform(F.array(value), use), F.lit(0))
+    def word_ids(self, word: Column) -> Column:
+        """array<int> of one word's ids: the fold."""
+
+        none = F.array().cast("array<int>")
 
         def joined(acc: Column, k: Column) -> Column:
-            """The state after joining pieces k and k + 1, counted from 1."""
+            """The state after joining pieces k and k + 1, counted from 1: p holds pieces' ranks, r those of adjacent pairs."""
             p, r = acc["p"], acc["r"]
-
-            def with_piece(m: Column) -> Column:
-                pieces = F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, F.size(p)))
-                left = F.when(k >= 2, F.array(self.rank(F.concat(F.get(p, k - 2), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k + 2 <= F.size(p), F.array(self.rank(F.concat(m, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p)))
-                return F.struct(pieces.alias("p"), ranks.alias("r"))
-
-            return let(F.concat(F.get(p, k - 1), F.get(p, k)), with_piece)
+            m, n = F.get(r, k - 1), F.size(p)
+            pieces = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.when(i < k, F.get(p, i - 1)).when(i == k, m).otherwise(F.get(p, i)))
+            ranks = F.transform(
+                F.sequence(F.lit(1), n - 2),
+                lambda i: F.when(i < k - 1, F.get(r, i - 1)).when(i == k - 1, self.joined_rank(F.get(p, k - 2), m)).when(i == k, self.joined_rank(m, F.get(p, k + 1))).otherwise(F.get(r, i)),
+            )
+            return F.struct(pieces.alias("p"), F.when(n > 2, ranks).otherwise(none).alias("r"))
 
         def step(acc: Column, _: Column) -> Column:
             # no least rank: nothing to join, the place is null
             return let(F.array_position(acc["r"], F.array_min(acc["r"])).cast("int"), lambda k: F.when(k.isNull() | (k == 0), acc).otherwise(joined(acc, k)))
 
-        def merged(data: Column) -> Column:
-            n = F.octet_length(data)
-            start = F.struct(
-                F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(data, i, 1)).alias("p"),
-                F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.rank(F.substring(data, i, 2))).alias("r"),
-            )
-            return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), start, step)["p"], self.rank)
+        def merged(start: Column) -> Column:
+            n = F.size(start)
+            pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.joined_rank(F.get(start, i - 1), F.get(start, i)))
+            return F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(start.alias("p"), pairs.alias("r")), step)["p"]
+
+        data = F.encode(word, "UTF-8")
+        # each byte as a character of its own number, so as its rank
+        single = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.get(self.bytes, F.ascii(c)))
+        return let(self.rank(data), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(let(single, lambda start: F.when(F.size(start) < 2, start).otherwise(merged(start)))))
 
-        return let(data, lambda d: let(self.rank(d), lambda own: F.when(own.isNotNull(), F.concat(F.lit(" "), own.cast("string"))).otherwise(text(merged(d)))))
+    def spelled(self, ids: Column) -> Column:
+        """Ids as hexadecimal of little-endian unsigned 32-bit integers, a mark, and of the bytes they stand for."""
+        return F.concat(F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), ""), F.lit(DECODED), F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -119,41 +148,40 @@ class Vocabulary:
     def learn_dictionary(self, documents: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> None:
         """Folds the most frequent distinct words of ``documents`` ahead."""
         words = documents.select(F.explode(self.words(whole(text_col))).alias("word"))
-        counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(~F.col("word").contains(ENTRY) & ~F.col("word").contains(VALUE) & (F.length("word") < 100) & (F.col("n") > 1))
-        top = counts.orderBy(F.desc("n"), "word").limit(most).select("word")
-        spread = checkpointed(top.repartition(64))
-        entries = spread.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"), F.concat(F.lit(ENTRY), F.col("word"), F.lit(VALUE), self.folded(F.col("word"))).alias("entry"))
-        buckets = checkpointed(entries.groupBy("bucket").agg(F.concat(F.array_join(F.array_sort(F.collect_list("entry")), ""), F.lit(ENTRY)).alias("e")))
-        self.dictionary = self._indexed(buckets, "e", WORD_BUCKETS, "''")
+        marked = F.col("word").contains(ENTRY) | F.col("word").contains(VALUE) | F.col("word").contains(DECODED)
+        counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(~marked & (F.length("word") < 100) & (F.col("n") > 1))
+        top = checkpointed(counts.orderBy(F.desc("n"), "word").limit(most).select("word").repartition(64))
+        entries = top.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"), F.concat(F.lit(ENTRY), F.col("word"), F.lit(VALUE), let(self.word_ids(F.col("word")), self.spelled)).alias("entry"))
+        buckets = checkpointed(entries.groupBy("bucket").agg(F.concat(F.array_join(F.array_sort(F.collect_list("entry")), ""), F.lit(ENTRY)).alias("v")))
+        self.dictionary = self._array(buckets, WORD_BUCKETS)
 
-    def word_ids(self, word: Column) -> Column:
-        """From the dictionary, or folded here."""
-        if self.dictionary is None:
-            return self.folded(word)
-        bucket = F.get(self.dictionary, F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int"))
-        key = F.concat(F.lit(ENTRY), word, F.lit(VALUE))
-        return F.when(F.contains(bucket, key), F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), ENTRY, 1)).otherwise(self.folded(word))
+    def parts(self, text: Column) -> Column:
+        """Each word spelled, from the dictionary or folded here."""
+
+        def part(word: Column) -> Column:
+            if self.dictionary is None:
+                return let(self.word_ids(word), self.spelled)
+            bucket = F.get(self.dictionary, F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int"))
+            key = F.concat(F.lit(ENTRY), word, F.lit(VALUE))
+            return F.when(F.contains(bucket, key), F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), ENTRY, 1)).otherwise(let(self.word_ids(word), self.spelled))
+
+        return F.transform(self.words(text), part)
 
     def ids(self, text: Column) -> Column:
         """array<int> of a whole text's ids."""
-        joined = F.array_join(F.transform(self.words(text), self.word_ids), "")
-        # a blank stands before each id, so the first part is empty
-        return F.transform(F.slice(F.split(joined, " "), F.lit(2), F.length(joined) + 1), lambda x: x.cast("int"))
+        return F.flatten(F.transform(self.words(text), self.word_ids))
 
     def decoded(self, ids: Column) -> Column:
-        """The bytes that the ids stand for."""
+        """The bytes that an array<int> of ids stands for."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
-    def little_endian(self, ids: Column) -> Column:
-        """The ids as unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), ""))
-
 
-def encoded(documents: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """``documents`` with ids (array<int>)."""
-    return documents.withColumn("ids", vocabulary.ids(whole(text_col)))
+OUTPUT = ("n_tokens", "ids", "decoded")
 
 
-def decoded(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with decoded (binary)."""
-    return rows.withColumn("decoded", vocabulary.decoded(F.col(ids_col)))
+def round_trip(documents: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """``documents`` with n_tokens, ids (binary: little-endian unsigned 32-bit integers) and decoded (binary: what the ids stand for)."""
+    rows = documents.drop(*OUTPUT).withColumn("__parts", vocabulary.parts(whole(text_col)))
+    side = lambda at: F.unhex(F.array_join(F.transform("__parts", lambda p: F.substring_index(p, DECODED, at)), ""))
+    rows = rows.withColumn("ids", side(1)).withColumn("decoded", side(-1))
+    return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).drop("__parts")

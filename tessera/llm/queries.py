@@ -20,8 +20,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
     vocabulary.learn_dictionary(documents)
-    rows = bpe.decoded(bpe.encoded(documents, vocabulary), vocabulary)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(vocabulary.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.round_trip(documents, vocabulary)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 #: A conversation whose texts spell out control strings.
