@@ -4,7 +4,9 @@ Each pass hashes every vector with its own random hyperplanes, orders vectors of
 a label lexicographically by the concatenated hash bits and compares each with its
 neighbours in that order: those within ``window`` places, and on from there as
 long as links go on, so that a run of near copies longer than the window is
-compared whole. Pairs whose exact cosine passes the threshold are kept; pairs of
+compared whole. The order is cut into blocks by place, and rows whose links may
+go on are carried from block to block, so neither cuts nor partitions change the
+links. Pairs whose exact cosine passes the threshold are kept; pairs of
 all passes are united.
 
 Exact copies are one class before the passes, so a vector that a third of the
@@ -29,8 +31,10 @@ from tessera.llm.base import checkpointed, partitions
 from tessera.llm.components import components
 
 
-#: Rows of a slice that the next slice is compared with, at least.
-OVERLAP = 2_000
+#: Rows that a task compares at once with each other, or with rows carried into them.
+BLOCK = 2_048
+#: Rows of a block that are compared by one product of matrices.
+TILE = 128
 
 
 def _usable(vector) -> np.ndarray | None:
@@ -60,26 +64,84 @@ def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), dtype=f"<f{width}").reshape(len(vectors), -1).astype("f8")
 
 
-def _near(ids: np.ndarray, x: np.ndarray, cosine: float, window: int) -> tuple[list[np.ndarray], int]:
-    """Pairs (positions) of rows with at least ``cosine``: offsets 1, 2, ... as long as within the window or lately linking."""
-    unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    n, found = len(x), []
-    live = np.arange(n)  # rows that go on comparing
-    last = np.zeros(n, dtype=np.int64)  # each row's greatest offset with a link
-    for d in range(1, n):
-        live = live[(live + d < n) & (d - last[live] <= window)]
-        if not len(live):
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+class _Rows:
+    """Rows of one run that go on comparing: id, position, position of the last link and vector."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, last: np.ndarray, x: np.ndarray):
+        self.ids, self.at, self.last, self.x = ids, at, last, x
+        self.unit = x / _norms(x)[:, None]
+
+    def of(self, chosen) -> _Rows:
+        out = object.__new__(_Rows)
+        out.ids, out.at, out.last, out.x, out.unit = (v[chosen] for v in (self.ids, self.at, self.last, self.x, self.unit))
+        return out
+
+    def beside(self, other: _Rows) -> _Rows:
+        out = object.__new__(_Rows)
+        out.ids, out.at, out.last, out.x, out.unit = (np.concatenate(v) for v in zip((self.ids, self.at, self.last, self.x, self.unit), (other.ids, other.at, other.last, other.x, other.unit), strict=True))
+        return out
+
+
+def _onward(live: _Rows | None, rows: _Rows, cosine: float, window: int, join: bool) -> tuple[list[np.ndarray], _Rows]:
+    """Pairs (ids) of live rows with the run's next rows, and the rows that go on after them; rows join the live ones as they are met, or don't."""
+    found: list[np.ndarray] = []
+    live = rows.of(slice(0)) if live is None else live
+    for start in range(0, len(rows.at), TILE):
+        tile = rows.of(slice(start, start + TILE))
+        live = live.beside(tile) if join else live
+        live = live.of(tile.at[0] - live.last <= window)
+        if not len(live.at):
             break
-        dots = np.einsum("ij,ij->i", unit[live], unit[live + d])
-        hit = live[dots >= cosine - 1e-9]
-        if len(hit):
-            # the exact test: cosine of the vectors themselves in double precision
-            a, b = x[hit], x[hit + d]
-            exact = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            hit = hit[exact >= cosine]
-            last[hit] = d
-            found.append(np.stack([ids[hit], ids[hit + d]], axis=1))
-    return found, n
+        i, j = np.nonzero((live.unit @ tile.unit.T >= cosine - 1e-9) & (live.at[:, None] < tile.at))
+        # the exact test: cosine of the vectors themselves in double precision
+        a, b = live.x[i], tile.x[j]
+        exact = np.einsum("ij,ij->i", a, b) / (_norms(a) * _norms(b)) >= cosine
+        i, j = i[exact], j[exact]
+        if not len(i):
+            continue
+        # a row's links count up to the first gap that is wider than the window
+        first = np.r_[True, i[1:] != i[:-1]]
+        wide = np.cumsum(tile.at[j] - np.where(first, live.last[i], np.r_[0, tile.at[j][:-1]]) > window)
+        head = np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+        near = wide == wide[head] - (tile.at[j[head]] - live.last[i[head]] > window)
+        i, j = i[near], j[near]
+        live.last = live.last.copy()
+        live.last[i] = tile.at[j]  # ascending in j, so the last one stays
+        found.append(np.stack([live.ids[i], tile.ids[j]], axis=1))
+    end = rows.at[-1] + 1
+    return found, live.of(end - live.last <= window)
+
+
+def _block(carried: pd.DataFrame | None, rows: pd.DataFrame, cosine: float, window: int) -> pd.DataFrame:
+    """Links inside a block of consecutive rows, or of rows carried into it; and, with ``a`` null, the rows to carry into the next block."""
+    rows = rows.sort_values("at")
+    found, on = [], []
+    runs = [part for _, part in rows.groupby(["pass", "label", "kind"], sort=False)]
+    if carried is not None:
+        runs = [r for r in runs[:1] if (r["pass"].iloc[0], r["label"].iloc[0], r["kind"].iloc[0]) == tuple(carried[["pass", "label", "kind"]].iloc[0])]
+
+    def made(part: pd.DataFrame, last: str) -> _Rows:
+        return _Rows(part["id"].to_numpy("i8"), part["at"].to_numpy("i8"), part[last].to_numpy("i8"), _matrix(part["vector"].tolist(), int(part["kind"].iloc[0]) >> 32))
+
+    for k, run in enumerate(runs):
+        live = made(carried, "last") if carried is not None else None
+        pairs, live = _onward(live, made(run, "at"), cosine, window, carried is None)
+        found += pairs
+        if k == len(runs) - 1 and len(live.at) and run["at"].iloc[-1] == rows["at"].iloc[-1]:
+            source = (carried if carried is not None else run).set_index("at").loc[live.at].reset_index()
+            on.append(source[["pass", "label", "kind", "id", "at", "vector"]].assign(last=live.last, block=rows["block"].iloc[0] + 1))
+    both = np.concatenate(found) if found else np.empty((0, 2), dtype="i8")
+    links = pd.DataFrame({"a": both.min(axis=1, initial=2**63 - 1), "b": both.max(axis=1, initial=-(2**63))}, dtype="Int64")
+    out = pd.concat([links, *on], ignore_index=True).reindex(columns=[c.split()[0] for c in CARRIED.split(", ")])
+    whole = [c for c in out.columns if c != "vector"]
+    return out.astype(dict.fromkeys(whole, "Int64")).assign(vector=out["vector"].astype(object).where(out["vector"].notna(), None))
+
+
+CARRIED = "a long, b long, pass int, label long, kind long, id long, at long, last long, block long, vector binary"
 
 
 def links(reps: DataFrame, cosine: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
@@ -93,37 +155,32 @@ def links(reps: DataFrame, cosine: float, passes: int, bits: int, window: int, s
                 weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
                 for p in range(passes):
                     code = signs[:, p * bits : (p + 1) * bits] @ weights
-                    yield pd.DataFrame({"pass": p, "label": part["label"], "kind": int(width) << 32 | int(size), "code": code, "id": part["id"], "vector": part["vector"]})
-
-    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Runs of one (pass, label, kind), in order of code; a run's rows are held a slice at a time with the window before it."""
-        held: pd.DataFrame | None = None
-        key = ["pass", "label", "kind"]
-
-        def pairs(run: pd.DataFrame) -> pd.DataFrame:
-            width = int(run["kind"].iloc[0]) >> 32
-            found, _ = _near(run["id"].to_numpy(dtype="i8"), _matrix(run["vector"].tolist(), width), cosine, window)
-            both = np.concatenate(found) if found else np.empty((0, 2), dtype="i8")
-            return pd.DataFrame({"a": both.min(axis=1, initial=2**63 - 1), "b": both.max(axis=1, initial=-(2**63))})
-
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            runs = [part for _, part in frame.groupby(key, sort=False)]
-            for run in runs[:-1]:
-                yield pairs(run)
-            if not runs:
-                continue
-            held = runs[-1]
-            if len(held) >= 20_000:
-                yield pairs(held)
-                held = held.tail(max(4 * window, OVERLAP))
-        if held is not None and len(held) > 1:
-            yield pairs(held)
+                    yield pd.DataFrame({"pass": p, "label": part["label"], "kind": int(width) << 32 | int(size), "code": code, "name": part["name"], "id": part["id"]})
 
     n = max(partitions(reps.sparkSession), 1)
-    order = ["pass", "label", "kind", "code", "id"]
-    rows = reps.mapInPandas(hashed, "pass int, label long, kind long, code long, id long, vector binary").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return rows.mapInPandas(compared, "a long, b long").distinct()
+    order = ["pass", "label", "kind", "code", "name", "id"]
+    rows = reps.withColumn("name", F.xxhash64("vector")).mapInPandas(hashed, "pass int, label long, kind long, code long, name long, id long").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.select("pass", "label", "kind", "id", F.monotonically_increasing_id().alias("row")))
+    # a row's place in the whole order: its place in its partition after the rows of those before
+    sizes = sorted(rows.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
+    starts = rows.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part long, before long")
+    rows = rows.withColumn("part", F.shiftright("row", 33)).join(F.broadcast(starts), "part")  # one row a partition
+    rows = rows.withColumn("at", F.col("before") + F.col("row").bitwiseAND(2**33 - 1)).select("pass", "label", "kind", "id", "at", F.floor(F.col("at") / BLOCK).alias("block"))
+    rows = checkpointed(rows)
+    filled = lambda some: some.join(reps.select("id", "vector"), "id")
+    out = checkpointed(filled(rows).groupBy("block").applyInPandas(lambda own: _block(None, own, cosine, window), CARRIED))
+    found = out.filter("a is not null").select("a", "b")
+    # rows that may link across the end of their block meet the next block, and so on until none is left
+    while True:
+        carried = out.filter("a is null").drop("a", "b")
+        if carried.isEmpty():
+            break
+        heads = carried.select("pass", "label", "kind", "block").distinct()
+        met = filled(rows.join(heads, ["pass", "label", "kind", "block"], "left_semi"))
+        out = checkpointed(carried.groupBy("block").cogroup(met.groupBy("block")).applyInPandas(lambda old, own: _block(old, own, cosine, window) if len(old) and len(own) else pd.DataFrame(columns=[c.split()[0] for c in CARRIED.split(", ")]), CARRIED))
+        found = found.union(out.filter("a is not null").select("a", "b"))
+    return found.distinct()
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, passes: int = 14, bits: int = 30, window: int = 24, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -248,3 +248,18 @@ def test_vectors(spark):
     want = brute_components(pairs, range(len(x)))
     assert sum(got[i][1] == want[i] for i in want) >= 0.97 * len(want)
     assert [got[i] for i in (500, 501, 502, 503)] == [(0, i, True) for i in (500, 501, 502, 503)]
+
+
+def test_vectors_whole_run(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.03
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (unit @ unit.T).min() >= 0.981
+    vectors = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(vector_dedup, "BLOCK", 100, raising=False)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        assert {(r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(vectors).collect()} == {(299, 0)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
