@@ -1,17 +1,19 @@
 """Main-text extraction by tag-path ratios.
 
-Each text node hangs at a root-to-leaf path of tags (with class and id). Per page
-the operator sums text length, punctuation, link text and node count of each
-path, turns them into two ratios, smooths both over the page's path sequence,
+Each block of text hangs at a root-to-leaf path of block tags (with class and id);
+inline tags count to their block. Per page the operator sums text length,
+punctuation, link text and block count of each path, turns them into two ratios, smooths both over the page's path sequence,
 fuses them and keeps the paths whose fused ratio passes a threshold taken from
-the page's own spread. Regions that name themselves as navigation, adverts,
-forms, comments and the like are not candidates, and where a page marks its main
-region as such, only paths in it are: the ratios then choose within it what
-holds prose at all.
+the page's own spread. Tags of navigation, forms and the like are not candidates;
+neither are nodes that class, id or role name so. Where a page
+marks its main region as such, only paths in it are candidates, all are kept that
+no name lowers, and names at or above every such region tell nothing. Blocks whose
+words are all links are dropped; headings before kept blocks, and list items
+between them or in a list beside one, stay.
 
 Text rules: character references are decoded, white space within a block turns
 into one space, blocks are trimmed and joined by one newline in page order;
-nothing else is dropped. Null and empty html give an empty text; repeated pages
+nothing else is dropped within a kept block. Null and empty html give an empty text; repeated pages
 give repeated rows; an empty table an empty result; other columns are not read.
 """
 
@@ -38,6 +40,11 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - {"html", "body"}
 #: Words of class, id and role that name what isn't the article.
 FOREIGN = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer form login masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary reply replies disqus reactions".split())
+#: What is left of a path's ratio where a name tells that it isn't the article.
+LOWERED = 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd".split())
+LIST = re.compile(r"/(?:ul|ol|dl)\b")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،]")
 SPACE = re.compile(r"\s+")
 
@@ -48,10 +55,14 @@ def _named(attributes: str) -> tuple[str, bool]:
     return ".".join(words), not FOREIGN.isdisjoint(words)
 
 
-def nodes(page: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, block number, in a link) of each text node outside foreign regions, and whether a path lies in a main region is told by ``=`` before a tag."""
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, foreign
+def nodes(page: str) -> list[tuple[str, str, int, bool, tuple[bool, bool]]]:
+    """(path, text, block number, in a link, named as foreign) of each text node outside skipped tags; inline tags have the path of their block.
+
+    Whether a path lies in a main region is told by ``=`` before a tag; names are told apart by
+    whether they stand at or above the innermost main region, or below it.
+    """
+    out: list[tuple[str, str, int, bool, tuple[bool, bool]]] = []
+    stack: list[tuple[str, str, bool, tuple[bool, bool]]] = [("", "", False, (False, False))]  # tag, path, foreign, named
     block, at, n = 0, 0, len(page)
     while at < n:
         token = TOKEN.search(page, at)
@@ -59,9 +70,9 @@ def nodes(page: str) -> list[tuple[str, str, int, bool]]:
         if end > at and not stack[-1][2]:
             text = page[at:end]
             if text.strip():
-                out.append((stack[-1][1], text, block, any(t == "a" for t, _, _ in stack)))
+                out.append((stack[-1][1], text, block, any(t == "a" for t, *_ in stack), stack[-1][3]))
             elif out and out[-1][2] == block:
-                out.append((stack[-1][1], " ", block, False))
+                out.append((stack[-1][1], " ", block, False, stack[-1][3]))
         if token is None:
             break
         at = token.end()
@@ -71,7 +82,7 @@ def nodes(page: str) -> list[tuple[str, str, int, bool]]:
         if tag in BLOCK:
             block += 1
         elif tag == "br" and out and out[-1][2] == block:
-            out.append((stack[-1][1], " ", block, False))
+            out.append((stack[-1][1], " ", block, False, stack[-1][3]))
         if token[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -91,45 +102,95 @@ def nodes(page: str) -> list[tuple[str, str, int, bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        label, foreign = _named(token[3]) if token[3] else ("", False)
+        label, named = _named(token[3]) if token[3] else ("", False)
         inside = tag in ("article", "main") or "role" in token[3] and label.split(".")[-1:] == ["main"]
-        foreign = (stack[-1][2] or foreign or tag in SKIP) and tag not in ("html", "body")
+        foreign = (stack[-1][2] or named or tag in SKIP) and tag not in ("html", "body")
+        above, below = stack[-1][3]
+        named = named and tag not in ("html", "body")
+        names = (above or below or named, False) if inside else (above, below or named)
         if tag == "header" and "=" in stack[-1][1] and not stack[-1][2]:
             foreign = True
-        stack.append((tag, f"{stack[-1][1]}/{'=' * inside}{tag}{'.' * bool(label)}{label}", foreign))
+        path = f"{stack[-1][1]}/{'=' * inside}{tag}{'.' * bool(label)}{label}" if tag in BLOCK or inside else stack[-1][1]
+        stack.append((tag, path, foreign, names))
     return out
 
 
+class _Block:
+    """Text between two block tags: its path, text, text outside links and whether names lower its ratio."""
+
+    def __init__(self, path: str, named: bool):
+        self.path, self.named, self.text, self.own = path, named, "", ""
+        self.tag = re.split(r"[.]", path.rsplit("/", 1)[-1])[0]
+
+    @property
+    def linked(self) -> bool:
+        """Whether links alone hold its words."""
+        return not re.search(r"\w", entities.unescape(self.own)) and bool(self.text.strip())
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     found = nodes(page or "")
     if any("=" in path for path, *_ in found):
         found = [x for x in found if "=" in x[0]]
-    if not found:
+    # names at or above every main region tell nothing
+    apart = not all(names[0] for *_, names in found)
+    by_number: dict[int, _Block] = {}
+    for path, text, number, link, names in found:
+        lowered = names[1] or names[0] and apart
+        block = by_number.setdefault((number, lowered), _Block(path, lowered))
+        block.text += text
+        block.own += "" if link else text
+    blocks = [b for _, b in sorted(by_number.items(), key=lambda x: x[0][0]) if b.text.strip()]
+    if not blocks:
         return ""
-    total: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for path, text, _, link in found:
-        s = total[path]
-        size = len(text.strip())
+    total: dict[tuple[str, bool], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    for b in blocks:
+        s = total[b.path, b.named]
+        size = len(b.text.strip())
         s[0] += size
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += size * link
-        s[3] += size > 0
+        s[1] += len(PUNCTUATION.findall(b.text))
+        s[2] += size - min(size, len(b.own.strip()))
+        s[3] += 1
     paths = list(total)
-    length = [total[p][0] / max(1, total[p][3]) * (1 - total[p][2] / max(1, total[p][0])) for p in paths]
-    marks = [(total[p][1] + 1) / max(1, total[p][3]) * (1 - total[p][2] / max(1, total[p][0])) for p in paths]
-    fused = [a * b for a, b in zip(_smooth(length), _smooth(marks), strict=True)]
+    length = [total[p][0] / total[p][3] * (1 - total[p][2] / total[p][0]) for p in paths]
+    marks = [(total[p][1] + 1) / total[p][3] * (1 - total[p][2] / total[p][0]) for p in paths]
+    # neighbours don't lift what a name lowers
+    fused = [n * m * LOWERED if p[1] else a * b for p, n, m, a, b in zip(paths, length, marks, _smooth(length), _smooth(marks), strict=True)]
     least = min(statistics.pstdev(fused), max(fused)) * 0.5 if len(fused) > 1 else 0.0
-    # within a region that is marked as the article, prose isn't dropped: only paths made of links are
-    keep = {p for p, f in zip(paths, fused, strict=True) if f >= least or "=" in p and total[p][2] < max(1, total[p][0])}
-    blocks: dict[int, list[str]] = defaultdict(list)
-    for path, text, block, _ in found:
-        if path in keep or not text.strip():
-            blocks[block].append(text)
-    lines = (SPACE.sub(" ", entities.unescape("".join(parts))).strip() for _, parts in sorted(blocks.items()))
+    # within a region that is marked as the article, prose isn't dropped unless a name lowers it
+    keep = {p for p, f in zip(paths, fused, strict=True) if f >= least or "=" in p[0] and not p[1]}
+    kept = [(b.path, b.named) in keep and not b.linked for b in blocks]
+    lines = (SPACE.sub(" ", entities.unescape(b.text)).strip() for b, k in zip(blocks, _bridged(blocks, kept), strict=True) if k)
     return "\n".join(line for line in lines if line)
 
 
+def _bridged(blocks: list[_Block], kept: list[bool]) -> list[bool]:
+    """What is kept, with headings before kept blocks and list items between them or in a list beside the kept block before."""
+    out = list(kept)
+    follows = None  # the kept block that comes next, with but headings and items between
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        if kept[i]:
+            follows = b
+        elif b.tag in HEADINGS and follows is not None and b.named <= follows.named:
+            out[i] = True
+        elif b.tag not in ITEMS or b.linked or b.named:
+            follows = None
+    before = None
+    after = [False] * (len(blocks) + 1)  # whether a kept block or heading comes next after a row of items
+    for i in range(len(blocks) - 1, -1, -1):
+        after[i] = out[i] or blocks[i].tag in ITEMS and after[i + 1]
+    for i, b in enumerate(blocks):
+        if out[i]:
+            before = b if kept[i] else before
+        elif b.tag in ITEMS and not b.linked and not b.named and before is not None and (after[i] or LIST.split(b.path)[0] == before.path.rsplit("/", 1)[0]):
+            out[i] = True
+        elif b.tag not in ITEMS:
+            before = None
+    return out
+
+
 def _smooth(values: list[float]) -> list[float]:
     """A path's ratio and, at half weight, those of its neighbours in page order."""
     return [(2 * v + (values[i - 1] if i else v) + (values[i + 1] if i + 1 < len(values) else v)) / 4 for i, v in enumerate(values)]

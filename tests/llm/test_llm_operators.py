@@ -263,3 +263,14 @@ def test_vectors_whole_run(spark, monkeypatch):
         assert {(r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(vectors).collect()} == {(299, 0)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+PROSE = "The method reads every row, once; it keeps what it finds, and says so. " * 6
+
+
+def test_html_inline():
+    article = f"<article><h1>A heading of a page</h1><p>{PROSE}<b>ten</b> and see <a href='/x'>the report</a> for more, <code>x</code>.</p></article>"
+    text = html_main.extract(f"<html><body><nav>menu</nav>{article}</body></html>")
+    assert text.startswith("A heading of a page\n") and text.endswith("ten and see the report for more, x.")
+    bare = f"<html><body><div><h1>Title</h1><h2>Part</h2><p>{PROSE}<em>very</em> <strong>much</strong> <code>y</code>.</p><ul><li>one</li><li>two</li></ul><p>{PROSE}</p></div><div><a href='/a'>Home</a> | <a href='/b'>About</a></div></body></html>"
+    assert html_main.extract(bare) == f"Title\nPart\n{PROSE}very much y.\none\ntwo\n{PROSE.strip()}"
