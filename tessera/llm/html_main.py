@@ -5,7 +5,7 @@ inline tags count to their block. Per page the operator sums text length,
 punctuation, link text and block count of each path, turns them into two ratios, smooths both over the page's path sequence,
 fuses them and keeps the paths whose fused ratio passes a threshold taken from
 the page's own spread. Tags of navigation, forms and the like are not candidates;
-neither are nodes that class, id or role name so. Where a page
+class, id or role that name a node so lower the ratio of its paths. Where a page
 marks its main region as such, only paths in it are candidates, all are kept that
 no name lowers, and names at or above every such region tell nothing. Blocks whose
 words are all links are dropped; headings before kept blocks, and list items
@@ -104,7 +104,7 @@ def nodes(page: str) -> list[tuple[str, str, int, bool, tuple[bool, bool]]]:
                     break
         label, named = _named(token[3]) if token[3] else ("", False)
         inside = tag in ("article", "main") or "role" in token[3] and label.split(".")[-1:] == ["main"]
-        foreign = (stack[-1][2] or named or tag in SKIP) and tag not in ("html", "body")
+        foreign = (stack[-1][2] or tag in SKIP) and tag not in ("html", "body")
         above, below = stack[-1][3]
         named = named and tag not in ("html", "body")
         names = (above or below or named, False) if inside else (above, below or named)

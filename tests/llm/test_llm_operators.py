@@ -274,3 +274,11 @@ def test_html_inline():
     assert text.startswith("A heading of a page\n") and text.endswith("ten and see the report for more, x.")
     bare = f"<html><body><div><h1>Title</h1><h2>Part</h2><p>{PROSE}<em>very</em> <strong>much</strong> <code>y</code>.</p><ul><li>one</li><li>two</li></ul><p>{PROSE}</p></div><div><a href='/a'>Home</a> | <a href='/b'>About</a></div></body></html>"
     assert html_main.extract(bare) == f"Title\nPart\n{PROSE}very much y.\none\ntwo\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("open_, close", [('<div class="layout with-sidebar"><article>', "</article></div>"), ('<article class="post comments-open">', "</article>"), ('<article><section id="related-work">', "</section></article>"), ('<div class="with-sidebar"><main>', "</main></div>")])
+def test_html_names(open_, close):
+    text = html_main.extract(f"<html><body>{open_}<h2>Short</h2><p>{PROSE}</p>{close}</body></html>")
+    assert text == f"Short\n{PROSE.strip()}"
+    both = html_main.extract(f"<html><body><article><p>{PROSE}</p><section id='related-work'><h2>Related</h2><p>{PROSE}</p></section><div class='share'>Share it</div></article></body></html>")
+    assert both == f"{PROSE.strip()}\nRelated\n{PROSE.strip()}"
