@@ -276,3 +276,24 @@ def mixed_graph_values(spark, sf_dir):
     at = lambda c, a: values.select("data_id", F.col("node").alias(c), F.col("v").alias(a))
     gaps = edges.join(at("src", "a"), ["data_id", "src"]).join(at("dst", "b"), ["data_id", "dst"]).withColumn("gap", F.abs(F.col("a") - F.col("b")))
     return gaps.groupBy("data_id").agg(F.avg("gap").alias("mean_gap"), F.max("gap").cast("long").alias("top_gap"))
+
+
+@query("mixed_table_graph", W + PART + ", " + GRAPHS + """, k AS (SELECT data_id, count(*) AS n FROM part_rows GROUP BY data_id),
+v AS (SELECT k.data_id AS table_id, nodes.data_id AS graph_id, node, size AS v FROM nodes CROSS JOIN k JOIN part_rows p ON p.data_id = k.data_id AND p.row_idx = node % n),
+g AS (SELECT a.table_id, a.graph_id, avg(abs(a.v - b.v)) AS mean_gap, max(abs(a.v - b.v))::BIGINT AS top_gap FROM edges e JOIN v a ON a.graph_id = e.data_id AND a.node = e.src JOIN v b ON b.graph_id = e.data_id AND b.node = e.dst AND b.table_id = a.table_id GROUP BY ALL),
+d AS (SELECT n.data_id AS graph_id, node, count(v) AS degree FROM nodes n LEFT JOIN sym ON n.data_id = sym.data_id AND node = u GROUP BY ALL)
+SELECT v.table_id, v.graph_id, any_value(mean_gap) AS mean_gap, any_value(top_gap) AS top_gap, arg_max(node, (degree, -node)) AS top_degree_node, arg_max(v, (degree, -node))::BIGINT AS top_degree_value, arg_max(node, (v, -node)) AS top_value_node, sum(degree)::DOUBLE / (count(*) * (count(*) - 1)) AS density FROM v JOIN d USING (graph_id, node) LEFT JOIN g ON g.table_id = v.table_id AND g.graph_id = v.graph_id GROUP BY v.table_id, v.graph_id""")
+def mixed_table_graph(spark, sf_dir):
+    """Every table's values laid cyclically over every graph's nodes: gaps along edges, the top node by degree and by value, density."""
+    nodes, edges = graphs(spark, sf_dir)
+    rows = parts(spark, sf_dir).select(F.col("data_id").alias("table_id"), "row_idx", F.col("size").alias("v"))
+    tables = rows.groupBy("table_id").agg(F.count("*").alias("n"))
+    laid = graph.degrees(nodes, edges).withColumnRenamed("data_id", "graph_id").crossJoin(tables)  # 7 x 25 nodes for each table
+    values = laid.withColumn("row_idx", F.pmod("node", "n")).join(rows, ["table_id", "row_idx"])
+    at = lambda c, a: values.select("table_id", "graph_id", F.col("node").alias(c), F.col("v").alias(a))
+    ends = edges.withColumnRenamed("data_id", "graph_id").join(at("src", "a"), ["graph_id", "src"]).join(at("dst", "b"), ["table_id", "graph_id", "dst"])
+    gap = F.abs(F.col("a") - F.col("b"))
+    gaps = ends.groupBy("table_id", "graph_id").agg(F.avg(gap).alias("mean_gap"), F.max(gap).cast("long").alias("top_gap"))
+    n, top = F.count("*"), F.struct("degree", -F.col("node"))
+    tops = values.groupBy("table_id", "graph_id").agg(F.max_by("node", top).alias("top_degree_node"), F.max_by("v", top).cast("long").alias("top_degree_value"), F.max_by("node", F.struct("v", -F.col("node"))).alias("top_value_node"), (F.sum("degree") / (n * (n - 1))).alias("density"))
+    return tops.join(gaps, ["table_id", "graph_id"], "left")

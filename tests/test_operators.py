@@ -118,3 +118,13 @@ def test_incremental(spark, tmp_path):
     run()
     good = spark.read.parquet(target).filter("prediction <> '[ERROR]'")
     assert rows(good.select("question_id", "prediction", "exact_match", "numeric_accuracy")) == [("q", "1", 1.0, 1.0), ("r", "2.0", 1.0, 1.0)]
+
+
+def test_every_table_meets_every_graph(spark):
+    from conftest import SMALL
+
+    from tessera import plans
+
+    brands = spark.read.parquet(f"{SMALL}/part.parquet").select("p_brand").distinct().count()
+    got = plans.QUERIES["mixed_table_graph"](spark, SMALL).collect()
+    assert len(got) == len({(r["table_id"], r["graph_id"]) for r in got}) == 7 * brands
