@@ -10,8 +10,8 @@ counts of that table matter for speed; any common order gives the same links.
 
 *Index.* Two linked sets share an n-gram in their prefixes, so only prefixes are
 indexed. A list is sorted by set size and position: for a set, sizes outside its
-range are skipped, and in the block of each size all positions that leave too few
-n-grams after them are skipped at once.
+range are skipped, and positions that leave too few n-grams after them are masked
+out.
 
 *Answers from similar sets.* In a long list only a leader, the least set of its
 size range, is compared with all others, and each set with a few fixed neighbours.
@@ -217,7 +217,7 @@ ENTRY = np.dtype([("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def partners(n: np.ndarray, pos: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Indexes after i in a list sorted by (n, pos) that may link with i: of each size's block those up to the last position that leaves enough."""
+    """Indexes after i in a list sorted by (n, pos) that may link with i: of the sizes in range those whose position leaves enough."""
     end = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
     rest = slice(i + 1, end)
     need = least_overlap(n[rest].astype("i8") + int(n[i]), percent)
