@@ -1,12 +1,13 @@
 """Graph operators over (data_id, node) and (data_id, src, dst) rows, src < dst, many graphs at once.
 
-Loops run a bounded number of rounds over frames that are kept between rounds;
+Loops run until nothing changes, or fail at a bound, over frames that are kept between rounds;
 small graphs' all-pairs work is one grouped kernel a graph instead.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,6 +63,8 @@ def labels(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
         if total == before:
             break
         before = total
+    else:
+        raise RuntimeError(f"the components aren't final after {rounds} rounds")
     both.unpersist()
     return now
 
@@ -117,15 +120,17 @@ def summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.groupBy("own").cogroup(other.groupBy("other")).applyInPandas(run, SUMMARY)
 
 
-def distances(nodes: DataFrame, edges: DataFrame, source: int, rounds: int = 64) -> DataFrame:
-    """(data_id, node, distance) of what ``source`` reaches in each graph: breadth first, a join a level."""
+def distances(nodes: DataFrame, edges: DataFrame, source: int, rounds: int | None = None) -> DataFrame:
+    """(data_id, node, distance) of what ``source`` reaches in each graph: breadth first, a join a level; an error where ``rounds`` levels don't reach all."""
     both = symmetric(edges).persist()
     seen = nodes.filter(F.col("node") == source).select("data_id", "node", F.lit(0).cast("long").alias("distance")).persist()
     front = seen
-    for level in range(1, rounds):
+    for level in count(1):
         reached = front.select("data_id", F.col("node").alias("u")).join(both, ["data_id", "u"]).select("data_id", F.col("v").alias("node")).distinct()
         front = reached.join(seen, ["data_id", "node"], "left_anti").withColumn("distance", F.lit(level).cast("long")).persist()
         if front.isEmpty():
             break
-        seen = seen.union(front).persist()
+        if level == rounds:
+            raise RuntimeError(f"nodes lie beyond {rounds - 1} levels")
+        seen = _kept(seen.union(front))
     return seen

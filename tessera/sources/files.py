@@ -167,7 +167,10 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 def _cells(rows: DataFrame, columns: Sequence[str], decimals: int, escape) -> list[list[str]]:
     shown = lambda v: "" if v is None else f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
-    return [[escape(shown(r[c])) for c in columns] for r in rows.select(*columns).limit(10_000).collect()]
+    held = rows.select(*columns).limit(10_001).collect()
+    if len(held) > 10_000:
+        raise ValueError("a report holds at most 10,000 rows")
+    return [[escape(shown(r[c])) for c in columns] for r in held]
 
 
 def markdown(rows: DataFrame, columns: Sequence[str], decimals: int = 2) -> str:

@@ -128,3 +128,15 @@ def test_every_table_meets_every_graph(spark):
     brands = spark.read.parquet(f"{SMALL}/part.parquet").select("p_brand").distinct().count()
     got = plans.QUERIES["mixed_table_graph"](spark, SMALL).collect()
     assert len(got) == len({(r["table_id"], r["graph_id"]) for r in got}) == 7 * brands
+
+
+def test_bounds_are_errors(spark):
+    nodes = spark.range(6).selectExpr("1L as data_id", "id as node")
+    edges = spark.range(5).selectExpr("1L as data_id", "id as src", "id + 1 as dst")
+    assert sorted(tuple(r) for r in graph.distances(nodes, edges, source=0).collect()) == [(1, i, i) for i in range(6)]
+    with pytest.raises(RuntimeError):
+        graph.distances(nodes, edges, source=0, rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.labels(nodes, edges, rounds=1)
+    with pytest.raises(ValueError):
+        files.markdown(spark.range(10_001), ["id"])
