@@ -9,20 +9,23 @@ the corpus (a bounded table, counted over all documents) last, by count. Only th
 counts of that table matter for speed; any common order gives the same links.
 
 *Index.* Two linked sets share an n-gram in their prefixes, so only prefixes are
-indexed. A list is sorted by set size and position: for a set, sizes outside its
-range are skipped, and positions that leave too few n-grams after them are masked
-out.
-
-*Answers from similar sets.* In a long list only a leader, the least set of its
-size range, is compared with all others, and each set with a few fixed neighbours.
-What links is answered: it is in one component, and needs no comparison with others
-there. Then, once for
-all lists, members of different components are compared, so no link is lost that
-joins components; in a group of near copies nothing is left to do.
+indexed. In a list of at most ``SHORT_LIST`` sets, pairs are kept whose sizes are in
+range and whose positions leave enough n-grams after them. A longer list, as a group
+of near copies has them, is streamed: its least set leads it, and every other set
+joins the leader's group. Lists of similar sets have the same leader, so a set is in
+few groups.
+
+*Answers from similar sets.* A group is compared in tasks of bounded size: by
+classes of set size, of which neighbours alone can link, and within these by chunks,
+so blocks of sets beyond the size range are skipped whole. In a task the sets of two
+neighbouring classes are compared by a leader of their own: its overlap with each is
+counted, sets so close to it that they must link to each other are answered by it,
+and the overlaps of all others are derived from the leader's and from the n-grams
+in which two sets differ from it. What leaves a task is a spanning star of each group
+that links, so a group of near copies makes as many rows as it has members.
 
 What is moved: packed counts (some three bytes an n-gram), prefix rows, and the
-sets of documents that have a candidate. A leader's comparisons are dealt over
-salted groups of at most ``GROUP`` members.
+sets of documents that have a candidate, once for each task that compares them.
 
 Null texts, empty texts and texts of white space alone have empty sets and link
 with nothing; with fewer words than n the whole sequence is the one n-gram. Ties in
@@ -33,6 +36,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,16 +53,16 @@ from tessera.llm.components import components
 FREQUENT, LEAST_COUNT = 1_000_000, 5
 #: Bits of a hash that are counted: n-grams that agree in them share a count, which only the order feels.
 COUNTED_BITS = 44
-#: In a longer list each set is also compared with so many that follow it by key, the same in every list.
-NEIGHBOURS = 3
-#: Lists up to this length are compared whole at once.
+#: Of lists up to this length pairs are taken.
 SHORT_LIST = 12
-#: Members compared with one leader in one task.
-GROUP = 1_000
-#: Up to so many documents with a candidate, their keys (some 50 bytes each) are sent to the texts; beyond, texts and keys are joined by a shuffle.
-BROADCAST_ROUTES = 60_000
+#: Sets, and n-grams of all of them, in a chunk of a group: a task compares two chunks or three.
+GROUP, GROUP_GRAMS = 1_000, 1_000_000
+#: Up to so many bytes of keys of documents with a candidate are sent to the texts; beyond, texts and keys are joined by a shuffle.
+BROADCAST_ROUTES = 8_000_000
 #: Hashes a counting task holds before it writes them out.
-BUFFER = 3_000_000
+BUFFER = 1_000_000
+#: Columns of a group's matrix that are multiplied at once.
+COLUMNS = 4_096
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype="u8")
 
@@ -94,13 +98,11 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         a, b = b, a
     if 100 * len(a) < percent * len(b):
         return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    common = int((b[at] == a).sum())
+    common = _common(a, b)
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-SEEN = "doc_id long, n long, key long, part int, counts binary"
+SEEN = "doc_id string, n long, key long, part int, counts binary"
 
 
 def _seen(n: int, parts: int):
@@ -124,18 +126,19 @@ def _seen(n: int, parts: int):
                 rows.append((doc, len(found), class_key(found) if len(found) else None, None, None))
                 held.append(found)
                 size += len(found)
+                if size >= BUFFER:
+                    yield counted()
+                    held, size = [], 0
             yield _frame(rows)
-            if size >= BUFFER:
-                yield counted()
-                held, size = [], 0
         if size:
             yield counted()
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
         doc, size, key, part, counts = zip(*rows, strict=True) if rows else ((),) * 5
         whole_number = lambda x: None if x is None or x != x else int(x)
-        # nullable integers made from Python's own: through floats the keys would lose their last bits
-        return pd.DataFrame({c: pd.array([whole_number(x) for x in v], dtype=kind) for c, v, kind in (("doc_id", doc, "Int64"), ("n", size, "Int64"), ("key", key, "Int64"), ("part", part, "Int32"))} | {"counts": pd.Series(counts, dtype=object)})
+        # ids come and go as text, and nullable integers are made from Python's own: through floats both would lose their last bits
+        whole_numbers = {c: pd.array([whole_number(x) for x in v], dtype=kind) for c, v, kind in (("n", size, "Int64"), ("key", key, "Int64"), ("part", part, "Int32"))}
+        return pd.DataFrame({"doc_id": pd.Series(doc, dtype=object)} | whole_numbers | {"counts": pd.Series(counts, dtype=object)})
 
     return run
 
@@ -212,192 +215,229 @@ def _postings(n: int, percent: int, frequent):
     return run
 
 
-LISTED = "a long, b long, list long, keys binary"
-ENTRY = np.dtype([("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-
-
-def partners(n: np.ndarray, pos: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Indexes after i in a list sorted by (n, pos) that may link with i: of the sizes in range those whose position leaves enough."""
-    end = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
-    rest = slice(i + 1, end)
-    need = least_overlap(n[rest].astype("i8") + int(n[i]), percent)
-    return i + 1 + np.nonzero((n[rest] - pos[rest] >= need) & (int(n[i]) - int(pos[i]) >= need))[0]
-
-
-def _may_link(n: np.ndarray, pos: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Whether both sets have enough n-grams from the shared one on, sizes being in range."""
-    need = least_overlap(n[others].astype("i8") + int(n[i]), percent)
-    return (n[others] - pos[others] >= need) & (int(n[i]) - int(pos[i]) >= need)
+LISTED = "leader long, key long"
 
 
 def _lists(percent: int):
-    """Candidate pairs of each list; a long list is also kept, packed, for the comparison of components."""
-
-    def one(key: np.ndarray, n: np.ndarray, pos: np.ndarray, h: int, pairs: list, kept: list) -> None:
-        _, first = np.unique(key, return_index=True)  # a class may come from several tasks
-        first.sort()
-        key, n, pos = key[first], n[first], pos[first]
-        m = len(key)
-        if m < 2:
-            return
-        if m <= SHORT_LIST:
-            found = [(i, partners(n, pos, i, percent)) for i in range(m - 1)]
-        else:
-            found, start = [], 0
-            while start < m - 1:
-                # of the least sets the one of the least key leads, so lists of similar sets have the same leader
-                i = start + int(np.argmin(key[start : np.searchsorted(n, n[start], "right")]))
-                end = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
-                others = np.concatenate([np.arange(start, i), np.arange(i + 1, end)])
-                found.append((i, others[_may_link(n, pos, i, others, percent)]))
-                start = end
-            by_key = np.argsort(key, kind="stable")
-            for step in range(1, NEIGHBOURS + 1):
-                for i, j in zip(by_key[:-step], by_key[step:], strict=True):
-                    if 100 * min(int(n[i]), int(n[j])) >= percent * max(int(n[i]), int(n[j])) and _may_link(n, pos, i, np.array([j]), percent)[0]:
-                        found.append((i, np.array([j])))
-            packed = np.zeros(m, dtype=ENTRY)
-            packed["key"], packed["n"], packed["pos"] = key, n, pos
-            kept.append((h, packed.tobytes()))
-        pairs += [np.stack([np.full(len(other), key[i]), key[other]], axis=1) for i, other in found if len(other)]
+    """Rows (leader, key) of sets to compare, from postings sorted by (h, key); one long list is never held."""
+
+    def listed(h: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+        starts = np.nonzero(np.diff(h, prepend=h[:1] - 1) != 0)[0]
+        sizes = np.diff(np.append(starts, len(h)))
+        long = np.repeat(sizes > SHORT_LIST, sizes)
+        found = [np.stack([np.repeat(key[starts], sizes)[long], key[long]], axis=1)]
+        for step in range(1, SHORT_LIST):
+            i = np.nonzero((h[step:] == h[:-step]) & ~long[:-step])[0]
+            if not len(i):
+                break
+            j = i + step
+            need = least_overlap(n[i].astype("i8") + n[j], percent)
+            near = 100 * np.minimum(n[i], n[j]).astype("i8") >= percent * np.maximum(n[i], n[j]).astype("i8")
+            near &= (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need)
+            found.append(np.stack([key[i], key[j]], axis=1)[near])
+        rows = np.concatenate(found)
+        return pd.DataFrame({"leader": rows[:, 0], "key": rows[:, 1]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def done(frame: pd.DataFrame) -> pd.DataFrame:
-            h, n, pos, key = (frame[c].to_numpy() for c in ("h", "n", "pos", "key"))
-            starts = np.nonzero(np.diff(h, prepend=h[:1] - 1) != 0)[0]
-            sizes = np.diff(np.append(starts, len(h)))
-            # lists of two, by far the most, all at once
-            i = starts[sizes == 2]
-            need = least_overlap(n[i].astype("i8") + n[i + 1], percent)
-            both = (key[i] != key[i + 1]) & (100 * n[i].astype("i8") >= percent * n[i + 1].astype("i8")) & (n[i] - pos[i] >= need) & (n[i + 1] - pos[i + 1] >= need)
-            pairs, kept = [np.stack([key[i[both]], key[i[both] + 1]], axis=1)], []
-            for s, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                one(key[s : s + size], n[s : s + size], pos[s : s + size], int(h[s]), pairs, kept)
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            none = [None] * len(pairs)
-            out = pd.DataFrame({"a": pd.array(pairs[:, 0], dtype="Int64"), "b": pd.array(pairs[:, 1], dtype="Int64"), "list": pd.array(none, dtype="Int64"), "keys": none})
-            if not kept:
-                return out
-            none = pd.array([None] * len(kept), dtype="Int64")
-            return pd.concat([out, pd.DataFrame({"a": none, "b": none, "list": pd.array([h for h, _ in kept], dtype="Int64"), "keys": [k for _, k in kept]})], ignore_index=True)
-
+        tail, going = None, None  # rows of a list that may go on; hash and leader of a long list whose rows go straight on
         for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
+            rows = [frame[c].to_numpy() for c in ("h", "key", "n", "pos")]
+            if going is not None:
+                end = int(np.searchsorted(rows[0], going[0], "right"))
+                if end:
+                    yield pd.DataFrame({"leader": going[1], "key": rows[1][:end]})
+                if end == len(rows[0]):
+                    continue
+                going, rows = None, [c[end:] for c in rows]
+            if tail is not None:
+                rows = [np.concatenate(c) for c in zip(tail, rows, strict=True)]
+            if not len(rows[0]):
                 continue
-            last = frame["h"].iloc[-1]
-            cut = int(np.searchsorted(frame["h"].to_numpy(), last))
-            held = frame.iloc[cut:]
+            # a class may come from several tasks
+            fresh = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+            rows = [c[fresh] for c in rows]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            tail = [c[cut:] for c in rows]
             if cut:
-                yield done(frame.iloc[:cut])
-        if held is not None and len(held):
-            yield done(held)
+                yield listed(*(c[:cut] for c in rows))
+            if len(tail[0]) > SHORT_LIST:
+                going = (tail[0][0], tail[1][0])
+                yield pd.DataFrame({"leader": going[1], "key": tail[1]})
+                tail = None
+        if tail is not None:
+            yield listed(*tail)
 
     return run
 
 
-def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of class keys (a, b) that link. Only documents with a candidate make their sets anew; each is sent once to each leader's group."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
-    dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    routes = dealt.select(F.col("b").alias("key"), F.col("a").alias("leader"), "salt").union(dealt.select(F.col("a").alias("key"), F.col("a").alias("leader"), "salt").distinct())
-    routes = routes.join(classes.select("key", "rep"), "key").groupBy("rep", "key").agg(F.collect_set(F.struct("leader", "salt")).alias("routes"))
-    routes = checkpointed(routes)
-    if routes.limit(BROADCAST_ROUTES + 1).count() <= BROADCAST_ROUTES:
+def _overlaps(sets: list[np.ndarray], rest: np.ndarray, lead: int, common: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets ``rest`` with all, from each set's overlap with the leader and the n-grams in which sets differ from it."""
+    own, m = sets[lead], len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    at = np.searchsorted(own, flat)
+    at[at == len(own)] = 0
+    shared = own[at] == flat
+    has = np.zeros((m, len(own)), dtype=bool)
+    has[owner[shared], at[shared]] = True
+    lacks, place = np.nonzero(~has)
+    _, more, times = np.unique(flat[~shared], return_inverse=True, return_counts=True)
+    twice = times[more] > 1  # an n-gram of one set alone is in no intersection
+    row = np.concatenate([lacks, owner[~shared][twice]])
+    col = np.concatenate([place, len(own) + more[twice]])
+    missing = len(own) - common
+    out = (len(own) - missing[rest][:, None] - missing[None, :]).astype("f8")
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    # columns anew, without gaps
+    col = np.cumsum(np.diff(col, prepend=col[:1]) != 0)
+    for start in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        some = slice(*np.searchsorted(col, [start, start + COLUMNS]))
+        part = np.zeros((m, min(COLUMNS, int(col[-1]) + 1 - start)), dtype="f4")
+        part[row[some], col[some] - start] = 1
+        out += part[rest] @ part.T
+    return out
+
+
+def grouped(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set a number that sets connected by links share."""
+    m = len(sets)
+    if m == 2:
+        return np.array([0, 0 if links(*sets, percent) else 1])
+    label = np.arange(m)
+
+    def join(members: np.ndarray) -> None:
+        roots = np.unique(label[members])
+        if len(roots) > 1:
+            label[np.isin(label, roots[1:])] = roots[0]
+
+    size = np.array([len(x) for x in sets])
+    kind = _size_class(size, percent)
+    classes = np.unique(kind)
+    for c in classes:
+        if c + 1 not in classes and c - 1 in classes:
+            continue  # compared with the class below
+        window = np.nonzero((kind == c) | (kind == c + 1))[0]
+        if len(window) < 2:
+            continue
+        window = window[np.argsort(size[window], kind="stable")]
+        chosen, n = [sets[i] for i in window], size[window]
+        own = chosen[0]
+        common = np.array([_common(own, x) for x in chosen])
+        union = n + len(own) - common
+        close = 200 * common >= (100 + percent) * union
+        join(window[100 * common >= percent * union])
+        rest = np.nonzero(~close)[0]
+        if not len(rest):
+            continue
+        both = _overlaps(chosen, rest, 0, common)
+        linked = 100 * both >= percent * (n[rest][:, None] + n[None, :] - both)
+        for i, row in zip(rest, linked, strict=True):
+            row[i] = True
+            join(window[row])
+    return label
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """The intersection's size of two sorted sets, of which a is the smaller."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _step(percent: int) -> float:
+    """Logarithm of the ratio of size classes: a little more than sets that link can differ by."""
+    return math.log(100 / percent) * (1 + 1e-6)
+
+
+def _size_class(size: np.ndarray, percent: int) -> np.ndarray:
+    return np.floor(np.log(size) / _step(percent)).astype("i8")
+
+
+def _dealt(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(rep, key, routes): for each set the tasks (leader, block) that compare it."""
+    members = groups.union(groups.select("leader", F.col("leader").alias("key"))).distinct()
+    members = checkpointed(members.join(classes, "key").withColumn("kind", F.floor(F.log("n") / F.lit(_step(percent))).cast("long")))
+    sizes = members.groupBy("leader", "kind").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    chunks = F.ceil(F.greatest(F.col("rows") / GROUP, F.col("grams") / GROUP_GRAMS))
+    large = sizes.withColumn("chunks", chunks).groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("kind", "chunks"))).alias("chunks"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
+    large = large.filter((F.col("rows") > GROUP) | (F.col("grams") > GROUP_GRAMS)).select("leader", "chunks")
+    many = lambda kind: F.coalesce(F.try_element_at("chunks", kind), F.lit(0))
+    chunk = lambda kind, k: kind * F.lit(2**32) + k
+    own = chunk(F.col("kind"), F.pmod(F.xxhash64("key"), many(F.col("kind"))))
+    near = F.flatten(F.transform(F.array(*[F.col("kind") + d for d in (-1, 0, 1)]), lambda kind: F.transform(F.when(many(kind) > 0, F.sequence(F.lit(0).cast("long"), many(kind) - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: chunk(kind, k))))
+    blocks = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(near, lambda other: F.xxhash64(F.least(own, other), F.greatest(own, other))))
+    placed = members.join(large, "leader", "left").select("rep", "key", "leader", F.explode(blocks).alias("block"))
+    # a set is in as many groups as its prefix has n-grams at most
+    return checkpointed(placed.groupBy("rep", "key").agg(F.collect_list(F.struct("leader", "block")).alias("routes")))
+
+
+def _verified(documents: DataFrame, routes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs of class keys (a, b): spanning stars of what links in each task. Only documents with a candidate make their sets anew."""
+    bytes_ = routes.agg(F.sum(F.size("routes") * 32 + 64)).first()[0] or 0
+    if bytes_ <= BROADCAST_ROUTES:
         routes = F.broadcast(routes)
     texts = documents.join(routes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "routes")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for text, key, to in zip(frame["text"], frame["key"], frame["routes"], strict=True):
                 found = shingles(text, n)
-                if len(found) and class_key(found) == key:  # ids may repeat with other texts
-                    data = found.tobytes()
-                    rows += [(r["leader"], r["salt"], int(r["leader"] != key), key, data) for r in to]
-                if len(rows) > 2_000:
-                    yield pd.DataFrame(rows, columns=["leader", "salt", "rank", "key", "found"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["leader", "salt", "rank", "key", "found"])
+                if not len(found) or class_key(found) != key:  # ids may repeat with other texts
+                    continue
+                data = found.tobytes()
+                for r in to:
+                    rows.append((r["leader"], r["block"], key, data))
+                    held += len(data)
+                    if held > 32_000_000:
+                        yield pd.DataFrame(rows, columns=["leader", "block", "key", "found"])
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["leader", "block", "key", "found"])
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, leader = None, None
-        for frame in frames:
-            rows = []
-            for lead, rank, key, data in zip(frame["leader"], frame["rank"], frame["key"], frame["found"], strict=True):
-                found = np.frombuffer(data, dtype="u8")
-                if not rank:
-                    own, leader = found, lead
-                elif lead == leader and links(own, found, percent):
-                    rows.append((lead, key))
-            yield pd.DataFrame({"a": pd.Series([r[0] for r in rows], dtype="int64"), "b": pd.Series([r[1] for r in rows], dtype="int64")})
-
-    k = partitions(documents.sparkSession)
-    routed = texts.mapInPandas(sets, "leader long, salt long, rank int, key long, found binary").repartition(k, "leader", "salt").sortWithinPartitions("leader", "salt", "rank", "key")
-    return checkpointed(routed.select("leader", "rank", "key", "found").mapInPandas(compared, "a long, b long").distinct())
+        group, held = None, {}
 
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            keys = np.array(list(held), dtype="i8")
+            if len(keys) < 2:
+                return keys[:0], keys[:0]
+            label = grouped(list(held.values()), percent)
+            other = np.nonzero(label != np.arange(len(keys)))[0]
+            return keys[label[other]], keys[other]
 
-def _between(lists: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of long lists whose sets are in different components so far."""
-
-    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for h, data in zip(frame["list"], frame["keys"], strict=True):
-                yield pd.DataFrame(np.frombuffer(data, dtype=ENTRY)).assign(list=h)[["list", "key", "n", "pos"]]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
-        def one(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            key, n, pos, part = (rows[c].to_numpy() for c in ("key", "n", "pos", "part"))
-            if (part == part[0]).all():
-                return
-            for i in range(len(key) - 1):
-                other = partners(n, pos, i, percent)
-                other = other[part[other] != part[i]]
-                if len(other):
-                    yield pd.DataFrame({"a": key[i], "b": key[other]})
-
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            groups = [rows for _, rows in frame.groupby("list", sort=False)]
-            for rows in groups[:-1]:
-                yield from one(rows)
-            held = groups[-1] if groups else held
-        if held is not None and len(held):
-            yield from one(held)
+            out = []
+            for lead, block, key, data in zip(frame["leader"], frame["block"], frame["key"], frame["found"], strict=True):
+                if (lead, block) != group:
+                    out.append(done())
+                    group, held = (lead, block), {}
+                held[key] = np.frombuffer(data, dtype="u8")
+            if out:
+                a, b = map(np.concatenate, zip(*out, strict=True))
+                yield pd.DataFrame({"a": a, "b": b})
+        a, b = done()
+        yield pd.DataFrame({"a": a, "b": b})
 
-    k = partitions(lists.sparkSession)
-    rows = lists.mapInPandas(entries, "list long, key long, n int, pos int").join(named, "key", "left").withColumn("part", F.coalesce("part", "key"))
-    rows = rows.select("list", "key", "n", "pos", "part").repartition(k, "list").sortWithinPartitions("list", "n", "pos", "key")
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    k = partitions(documents.sparkSession)
+    routed = texts.mapInPandas(sets, "leader long, block long, key long, found binary").repartition(k, "leader", "block").sortWithinPartitions("leader", "block", "key")
+    return checkpointed(routed.mapInPandas(compared, "a long, b long").distinct())
 
 
 def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = documents.sparkSession
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    parts = max(1, documents.rdd.getNumPartitions())
-    seen = checkpointed(documents.mapInPandas(_seen(n, parts), SEEN))
+    k = partitions(spark)
+    seen = checkpointed(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_seen(n, 2 * k), SEEN))
     counts = checkpointed(seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long"))
     frequent = spark.sparkContext.broadcast(_top(counts, FREQUENT))
-    own = seen.filter("part is null").select("doc_id", "n", "key")
+    own = seen.filter("part is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "key")
     del seen, counts  # of what counted, only short rows stay
     own = checkpointed(own)
-    k = partitions(spark)
-    listed = checkpointed(documents.select("text").mapInPandas(_postings(n, percent, frequent), POSTING).repartition(k, "h").sortWithinPartitions("h", "n", "pos", "key").mapInPandas(_lists(percent), LISTED))
-    classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    pairs = checkpointed(listed.filter("list is null").select("a", "b").distinct())
-    found = _verified(documents, classes, pairs, n, percent)
+    groups = checkpointed(documents.select("text").mapInPandas(_postings(n, percent, frequent), POSTING).repartition(k, "h").sortWithinPartitions("h", "key").mapInPandas(_lists(percent), LISTED).distinct())
+    classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    found = _verified(documents, _dealt(groups, classes, percent), n, percent)
     named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
-    lists = listed.filter("list is not null").select("list", "keys")
-    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = checkpointed(ordered(_between(lists, named, percent)).join(ordered(pairs), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = found.union(_verified(documents, classes, more, n, percent))
-        named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
     least = classes.join(named, "key").groupBy("part").agg(F.min("rep").alias("least"))
     result = classes.join(named, "key", "left").join(least, "part", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
     return own.join(result, "key", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
