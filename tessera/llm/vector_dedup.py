@@ -1,21 +1,26 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass hashes every vector with its own random hyperplanes, orders vectors of
-a label lexicographically by the concatenated hash bits and compares each with its
-neighbours in that order: those within ``window`` places, and on from there as
-long as links go on, so that a run of near copies longer than the window is
-compared whole. The order is cut into blocks by place, and rows whose links may
-go on are carried from block to block, so neither cuts nor partitions change the
-links. Pairs whose exact cosine passes the threshold are kept; pairs of
-all passes are united.
+Each pass hashes every vector, taken from the mean of its label, with its own random
+hyperplanes, orders vectors of a label lexicographically by the concatenated hash
+bits and compares each with its ``window`` neighbours in that order. Pairs whose
+exact cosine passes the threshold are kept and united across all passes. A task
+streams its part of the order and holds ``window`` rows of it; the first and last
+rows of each part meet those of the next in a second step, so neither cuts nor the
+number of partitions change what is compared.
+
+Links are counted exactly within the united groups: a group's vectors are compared
+in blocks of bounded size, of which each gives one count a vector, so no pairs are
+written; a block all of whose vectors lie within half the threshold's angle of their
+centre is answered without comparing. The work of a large loose group goes with the
+square of its size. Links between two groups that no pass joined are missed.
 
 Exact copies are one class before the passes, so a vector that a third of the
 rows share is compared once; its members get the class's links and each other.
 
 Vectors that are null, zero, or hold null or non-finite components, and those
-without a label or id, link with nothing. Equal cosines need no tie rule: a pair
-links or not. Repeated rows are vectors of their own. An empty table gives an empty
-result; other columns are not read.
+without a label or id, link with nothing; a row without an id is kept. Equal cosines
+need no tie rule: a pair links or not. Repeated rows are vectors of their own. An
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.base import checkpointed, partitions
 from tessera.llm.components import components
 
-
-#: Rows that a task compares at once with each other, or with rows carried into them.
-BLOCK = 2_048
-#: Rows of a block that are compared by one product of matrices.
-TILE = 128
+#: Vectors in a chunk of a group; a task that counts links compares two chunks.
+CHUNK = 2_048
+#: Rows of a product of matrices.
+TILE = 256
+#: Up to so many bytes of means are sent to every executor; beyond, they are joined by a shuffle.
+BROADCAST_MEANS = 8_000_000
 
 
 def _usable(vector) -> np.ndarray | None:
@@ -53,13 +60,15 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # one zero: copies that differ in its sign alone are equal vectors
         out = [None if v is None else (v.astype("f8") + 0.0).astype("f4" if v.dtype == np.float32 else "f8").tobytes() for v in kept]
         size = [0 if v is None else v.dtype.itemsize for v in kept]
-        yield pd.DataFrame({"id": frame["id"].astype("Int64"), "label": frame["label"].astype("Int64"), "vector": out, "width": size})
+        yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "vector": out, "width": size})
 
 
 def _planes(dims: int, passes: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims, passes * bits))
 
 
+
+
 def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), dtype=f"<f{width}").reshape(len(vectors), -1).astype("f8")
 
@@ -68,136 +77,255 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-class _Rows:
-    """Rows of one run that go on comparing: id, position, position of the last link and vector."""
-
-    def __init__(self, ids: np.ndarray, at: np.ndarray, last: np.ndarray, x: np.ndarray):
-        self.ids, self.at, self.last, self.x = ids, at, last, x
-        self.unit = x / _norms(x)[:, None]
-
-    def of(self, chosen) -> _Rows:
-        out = object.__new__(_Rows)
-        out.ids, out.at, out.last, out.x, out.unit = (v[chosen] for v in (self.ids, self.at, self.last, self.x, self.unit))
-        return out
-
-    def beside(self, other: _Rows) -> _Rows:
-        out = object.__new__(_Rows)
-        out.ids, out.at, out.last, out.x, out.unit = (np.concatenate(v) for v in zip((self.ids, self.at, self.last, self.x, self.unit), (other.ids, other.at, other.last, other.x, other.unit), strict=True))
-        return out
-
-
-def _onward(live: _Rows | None, rows: _Rows, cosine: float, window: int, join: bool) -> tuple[list[np.ndarray], _Rows]:
-    """Pairs (ids) of live rows with the run's next rows, and the rows that go on after them; rows join the live ones as they are met, or don't."""
-    found: list[np.ndarray] = []
-    live = rows.of(slice(0)) if live is None else live
-    for start in range(0, len(rows.at), TILE):
-        tile = rows.of(slice(start, start + TILE))
-        live = live.beside(tile) if join else live
-        live = live.of(tile.at[0] - live.last <= window)
-        if not len(live.at):
-            break
-        i, j = np.nonzero((live.unit @ tile.unit.T >= cosine - 1e-9) & (live.at[:, None] < tile.at))
-        # the exact test: cosine of the vectors themselves in double precision
-        a, b = live.x[i], tile.x[j]
-        exact = np.einsum("ij,ij->i", a, b) / (_norms(a) * _norms(b)) >= cosine
-        i, j = i[exact], j[exact]
-        if not len(i):
-            continue
-        # a row's links count up to the first gap that is wider than the window
-        first = np.r_[True, i[1:] != i[:-1]]
-        wide = np.cumsum(tile.at[j] - np.where(first, live.last[i], np.r_[0, tile.at[j][:-1]]) > window)
-        head = np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-        near = wide == wide[head] - (tile.at[j[head]] - live.last[i[head]] > window)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / _norms(x)[:, None]
+
+
+def _means(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of unit vectors by label and kind."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for frame in frames:
+        for (label, kind), part in frame.groupby(["label", "kind"]):
+            total = _unit(_matrix(part["vector"].tolist(), int(kind) >> 32)).sum(axis=0)
+            sums[label, kind] = sums.get((label, kind), 0) + total
+        if len(sums) > 10_000:
+            yield _sums(sums)
+            sums = {}
+    yield _sums(sums)
+
+
+def _sums(sums: dict) -> pd.DataFrame:
+    return pd.DataFrame([(label, kind, total.tobytes()) for (label, kind), total in sums.items()], columns=["label", "kind", "mean"])
+
+
+def _mean(frame: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(x) for x in frame["mean"]], axis=0)
+    return pd.DataFrame({"label": frame["label"].iloc[:1], "kind": frame["kind"].iloc[:1], "mean": [total.tobytes()]})
+
+
+def _run_labels(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """For each of m rows the least row that the links (i, j) join it to."""
+    label = np.arange(m)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        # also where a row points to by now
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _near(x: np.ndarray, run: np.ndarray, at: np.ndarray, cosine: float, window: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of one run, at most ``window`` places apart, j not before row ``since``, whose cosine passes."""
+    x = _scaled(x)
+    unit, norms = _unit(x), _norms(x)
+    found = []
+    for step in range(1, min(window, len(x) - 1) + 1):
+        i = np.arange(max(0, since - step), len(x) - step)
+        j = i + step
+        # j - i rows apart in this frame, and not more in the order itself
+        near = (np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine - 1e-9) & (run[i] == run[j]).all(axis=1) & (at[j] - at[i] <= window)
         i, j = i[near], j[near]
-        live.last = live.last.copy()
-        live.last[i] = tile.at[j]  # ascending in j, so the last one stays
-        found.append(np.stack([live.ids[i], tile.ids[j]], axis=1))
-    end = rows.at[-1] + 1
-    return found, live.of(end - live.last <= window)
+        exact = np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j]) >= cosine
+        found.append((i[exact], j[exact]))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, dtype=int),) * 2
+
 
+PASSED = "a long, b long, part long, size long, place long, pass int, label long, kind long, id long, vector binary"
+NAMES = [c.split()[0] for c in PASSED.split(", ")]
 
-def _block(carried: pd.DataFrame | None, rows: pd.DataFrame, cosine: float, window: int) -> pd.DataFrame:
-    """Links inside a block of consecutive rows, or of rows carried into it; and, with ``a`` null, the rows to carry into the next block."""
-    rows = rows.sort_values("at")
-    found, on = [], []
-    runs = [part for _, part in rows.groupby(["pass", "label", "kind"], sort=False)]
-    if carried is not None:
-        runs = [r for r in runs[:1] if (r["pass"].iloc[0], r["label"].iloc[0], r["kind"].iloc[0]) == tuple(carried[["pass", "label", "kind"]].iloc[0])]
 
-    def made(part: pd.DataFrame, last: str) -> _Rows:
-        return _Rows(part["id"].to_numpy("i8"), part["at"].to_numpy("i8"), part[last].to_numpy("i8"), _matrix(part["vector"].tolist(), int(part["kind"].iloc[0]) >> 32))
+def _output(**columns) -> pd.DataFrame:
+    size = len(next(iter(columns.values())))
+    return pd.DataFrame({c: pd.array(columns[c], dtype="Int64") if c in columns and c != "vector" else columns.get(c, [None] * size) if c == "vector" else pd.array([None] * size, dtype="Int64") for c in NAMES})
 
-    for k, run in enumerate(runs):
-        live = made(carried, "last") if carried is not None else None
-        pairs, live = _onward(live, made(run, "at"), cosine, window, carried is None)
-        found += pairs
-        if k == len(runs) - 1 and len(live.at) and run["at"].iloc[-1] == rows["at"].iloc[-1]:
-            source = (carried if carried is not None else run).set_index("at").loc[live.at].reset_index()
-            on.append(source[["pass", "label", "kind", "id", "at", "vector"]].assign(last=live.last, block=rows["block"].iloc[0] + 1))
-    both = np.concatenate(found) if found else np.empty((0, 2), dtype="i8")
-    links = pd.DataFrame({"a": both.min(axis=1, initial=2**63 - 1), "b": both.max(axis=1, initial=-(2**63))}, dtype="Int64")
-    out = pd.concat([links, *on], ignore_index=True).reindex(columns=[c.split()[0] for c in CARRIED.split(", ")])
-    whole = [c for c in out.columns if c != "vector"]
-    return out.astype(dict.fromkeys(whole, "Int64")).assign(vector=out["vector"].astype(object).where(out["vector"].notna(), None))
 
+def _stream(cosine: float, window: int):
+    """Links (a, b) of neighbours in a sorted partition; its size; its first and last rows with their places."""
 
-CARRIED = "a long, b long, pass int, label long, kind long, id long, at long, last long, block long, vector binary"
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, place = TaskContext.get().partitionId(), 0
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame.assign(place=np.arange(place, place + len(frame)))
+            place += len(frame)
+            first = frame[frame["place"] < window]
+            if len(first):
+                yield _output(part=[part] * len(first), **{c: first[c].tolist() for c in ("place", "pass", "label", "kind", "id", "vector")})
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            cuts = np.nonzero(np.diff(rows["kind"].to_numpy()))[0] + 1
+            for start, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                some = rows.iloc[start:end]
+                since = max(0, (0 if held is None else len(held)) - start)
+                if since >= len(some):
+                    continue
+                i, j = _near(_matrix(some["vector"].tolist(), int(some["kind"].iloc[0]) >> 32), some[["pass", "label", "kind"]].to_numpy(), some["place"].to_numpy(), cosine, window, since)
+                label = _run_labels(i, j, len(some))
+                other = np.nonzero(label != np.arange(len(some)))[0]
+                if len(other):
+                    ids = some["id"].to_numpy()
+                    yield _output(a=ids[label[other]], b=ids[other])
+            held = rows.iloc[-window:].reset_index(drop=True)
+        if held is not None:
+            last = held[held["place"] >= window]
+            yield _output(part=[part] * len(last), **{c: last[c].tolist() for c in ("place", "pass", "label", "kind", "id", "vector")})
+        yield _output(part=[part], size=[place])
+
+    return run
+
+
+def _across(frame: pd.DataFrame, cosine: float, window: int) -> pd.DataFrame:
+    """Links between rows on both sides of a cut."""
+    frame = frame.drop_duplicates("at").sort_values("at")
+    out = []
+    for _, some in frame.groupby("kind"):
+        i, j = _near(_matrix(some["vector"].tolist(), int(some["kind"].iloc[0]) >> 32), some[["pass", "label", "kind"]].to_numpy(), some["at"].to_numpy(), cosine, window, 0)
+        ids = some["id"].to_numpy()
+        out.append(pd.DataFrame({"a": ids[i], "b": ids[j]}))
+    return pd.concat(out)
 
 
 def links(reps: DataFrame, cosine: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
-    """(a, b) pairs, a < b, of rows (id, label, vector, width) that a pass finds."""
+    """(a, b) pairs that join what the passes find, of rows (id, label, vector, width)."""
+    reps = reps.withColumn("kind", F.shiftleft(F.col("width").cast("long"), 32) + F.octet_length("vector"))
+    means = checkpointed(reps.select("label", "kind", "vector").mapInPandas(_means, "label long, kind long, mean binary").groupBy("label", "kind").applyInPandas(_mean, "label long, kind long, mean binary"))
+    counts = reps.groupBy("label", "kind").agg(F.count("*").alias("n"))
+    means = means.join(counts, ["label", "kind"])
+    if (means.agg(F.sum(F.octet_length("mean") + 32)).first()[0] or 0) <= BROADCAST_MEANS:
+        means = F.broadcast(means)
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for (width, size), part in frame.groupby([frame["width"], frame["vector"].map(len)]):
-                x = _matrix(part["vector"].tolist(), width)
+            for kind, part in frame.groupby("kind"):
+                x = _unit(_matrix(part["vector"].tolist(), int(kind) >> 32))
+                x -= np.frombuffer(b"".join(part["mean"])).reshape(len(x), -1) / part["n"].to_numpy()[:, None]
                 signs = x @ _planes(x.shape[1], passes, bits, seed) >= 0
                 weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
                 for p in range(passes):
-                    code = signs[:, p * bits : (p + 1) * bits] @ weights
-                    yield pd.DataFrame({"pass": p, "label": part["label"], "kind": int(width) << 32 | int(size), "code": code, "name": part["name"], "id": part["id"]})
+                    yield pd.DataFrame({"pass": p, "label": part["label"], "kind": kind, "code": signs[:, p * bits : (p + 1) * bits] @ weights, "name": part["name"], "id": part["id"], "vector": part["vector"]})
 
     n = max(partitions(reps.sparkSession), 1)
     order = ["pass", "label", "kind", "code", "name", "id"]
-    rows = reps.withColumn("name", F.xxhash64("vector")).mapInPandas(hashed, "pass int, label long, kind long, code long, name long, id long").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = checkpointed(rows.select("pass", "label", "kind", "id", F.monotonically_increasing_id().alias("row")))
-    # a row's place in the whole order: its place in its partition after the rows of those before
-    sizes = sorted(rows.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n")).collect())
-    before = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
-    starts = rows.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part long, before long")
-    rows = rows.withColumn("part", F.shiftright("row", 33)).join(F.broadcast(starts), "part")  # one row a partition
-    rows = rows.withColumn("at", F.col("before") + F.col("row").bitwiseAND(2**33 - 1)).select("pass", "label", "kind", "id", "at", F.floor(F.col("at") / BLOCK).alias("block"))
-    rows = checkpointed(rows)
-    filled = lambda some: some.join(reps.select("id", "vector"), "id")
-    out = checkpointed(filled(rows).groupBy("block").applyInPandas(lambda own: _block(None, own, cosine, window), CARRIED))
-    found = out.filter("a is not null").select("a", "b")
-    # rows that may link across the end of their block meet the next block, and so on until none is left
-    while True:
-        carried = out.filter("a is null").drop("a", "b")
-        if carried.isEmpty():
-            break
-        heads = carried.select("pass", "label", "kind", "block").distinct()
-        met = filled(rows.join(heads, ["pass", "label", "kind", "block"], "left_semi"))
-        out = checkpointed(carried.groupBy("block").cogroup(met.groupBy("block")).applyInPandas(lambda old, own: _block(old, own, cosine, window) if len(old) and len(own) else pd.DataFrame(columns=[c.split()[0] for c in CARRIED.split(", ")]), CARRIED))
-        found = found.union(out.filter("a is not null").select("a", "b"))
-    return found.distinct()
+    rows = reps.withColumn("name", F.xxhash64("vector")).join(means, ["label", "kind"]).mapInPandas(hashed, "pass int, label long, kind long, code long, name long, id long, vector binary")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    out = checkpointed(rows.select("pass", "label", "kind", "id", "vector").mapInPandas(_stream(cosine, window), PASSED))
+    # where each partition starts in the whole order: one number a partition
+    sizes = sorted((r["part"], r["size"]) for r in out.filter("size is not null").select("part", "size").collect())
+    starts = np.cumsum([0, *(size for _, size in sizes)])
+    begins = dict(zip((part for part, _ in sizes), starts.tolist(), strict=False))
+    cuts = np.unique(starts[1:-1])
+
+    def beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = frame["place"].to_numpy("i8") + np.array([begins[p] for p in frame["part"].tolist()], dtype="i8")
+            first, last = np.searchsorted(cuts, at - window, "right"), np.searchsorted(cuts, at + window, "right")
+            again = np.repeat(np.arange(len(frame)), last - first)
+            cut = np.array([c for a, b in zip(first, last, strict=True) for c in range(a, b)], dtype="i8")
+            yield frame.iloc[again].assign(cut=cut, at=at[again])[["cut", "at", "pass", "label", "kind", "id", "vector"]]
+
+    edges = out.filter("place is not null").select("part", "place", "pass", "label", "kind", "id", "vector").mapInPandas(beside, "cut long, at long, pass int, label long, kind long, id long, vector binary")
+    across = edges.groupBy("cut").applyInPandas(lambda frame: _across(frame, cosine, window), "a long, b long")
+    return out.filter("a is not null").select("a", "b").union(across).distinct()
+
+
+def _counts(own: np.ndarray, other: np.ndarray, sizes: np.ndarray, cosine: float) -> np.ndarray:
+    """For each vector of ``own`` the sum of ``sizes`` of those vectors of ``other`` that it links with."""
+    own, other = _scaled(own), _scaled(other)
+    unit, to, norms, to_norms = _unit(own), _unit(other), _norms(own), _norms(other)
+    out = np.zeros(len(own), dtype="i8")
+    for start in range(0, len(own), TILE):
+        some = slice(start, start + TILE)
+        got = unit[some] @ to.T
+        linked = got >= cosine
+        # where rounding may decide: cosine of the vectors themselves
+        i, j = np.nonzero(np.abs(got - cosine) < 1e-9)
+        a = own[some][i]
+        linked[i, j] = np.einsum("ij,ij->i", a, other[j]) / (norms[some][i] * to_norms[j]) >= cosine
+        out[some] = linked.astype("f8") @ sizes
+    return out
+
+
+def _block(rows: list[tuple], cosine: float) -> list[tuple[int, int]]:
+    """(class, links) for each row (class, chunk, kind, size, vector) of a block: a chunk by itself, or two chunks with each other."""
+    name, chunk, kind, size, vector = zip(*rows, strict=True)
+    x, chunk, size = _matrix(list(vector), int(kind[0]) >> 32), np.array(chunk), np.array(size, dtype="i8")
+    unit = _unit(x)
+    centre = unit.sum(axis=0)
+    length = np.linalg.norm(centre)
+    half = np.cos(np.arccos(np.clip(cosine, -1, 1)) / 2)
+    first = chunk == chunk.min()
+    one = first.all()
+    if length > 0 and (unit @ (centre / length)).min() >= half + 1e-9:
+        # within half the angle of one centre: each links with every other
+        counts = size.sum() - size if one else np.where(first, size[~first].sum(), size[first].sum())
+    elif one:
+        counts = _counts(x, x, size, cosine) - size  # each links with itself
+    else:
+        counts = np.zeros(len(x), dtype="i8")
+        counts[first] = _counts(x[first], x[~first], size[~first], cosine)
+        counts[~first] = _counts(x[~first], x[first], size[first], cosine)
+    return list(zip(name, counts.tolist(), strict=True))
+
+
+def counted(members: DataFrame, cosine: float) -> DataFrame:
+    """(class, others): the rows that each class links with in its component; members: class, component, kind, size, vector."""
+    chunks = members.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    placed = members.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    placed = placed.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, []
+        for frame in frames:
+            out = []
+            for component, low, high, *row in frame.itertuples(index=False, name=None):
+                if (component, low, high) != block:
+                    out += _done(block, held)
+                    block, held = (component, low, high), []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["class", "others"])
+        yield pd.DataFrame(_done(block, held), columns=["class", "others"])
+
+    def _done(block, held: list[tuple]) -> list[tuple[int, int]]:
+        # of two chunks that meet, one may be empty: then nothing links
+        return _block(held, cosine) if held and (block[1] == block[2] or len({r[1] for r in held}) == 2) else []
+
+    k = partitions(members.sparkSession)
+    rows = placed.select("component", "low", "high", "class", "chunk", "kind", "size", "vector").repartition(k, "component", "low", "high").sortWithinPartitions("component", "low", "high", "class")
+    return rows.mapInPandas(run, "class long, others long").groupBy("class").agg(F.sum("others").alias("others"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, passes: int = 14, bits: int = 30, window: int = 24, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id_col, n_links, component_id, kept of every vector."""
-    rows = checkpointed(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding")).mapInPandas(_packed, "id long, label long, vector binary, width int"))
+    # ids and labels pass Python as text: through floats they would lose their last bits beside nulls
+    rows = vectors.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(label_col).cast("long").cast("string").alias("label"), F.col(vector_col).alias("embedding"))
+    rows = rows.mapInPandas(_packed, "id string, label string, vector binary, width int")
+    rows = checkpointed(rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "vector", "width"))
     rows = rows.withColumn("key", F.when(F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("vector").isNotNull(), F.sha2(F.concat(F.col("width").cast("string").cast("binary"), F.col("vector")), 256)))
     classes = checkpointed(rows.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"), F.first("width").alias("width")))
     # ids may repeat: a class is named by a number of its own
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
     pairs = checkpointed(links(classes.select(F.col("class").alias("id"), "label", "vector", "width"), cosine, passes, bits, window, seed))
-    sizes = classes.select("class", "size", "rep")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes.select(F.col("class").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others"))
-    parts = components(pairs).withColumnRenamed("node", "class")
-    least = parts.join(sizes, "class").groupBy("component").agg(F.min("rep").alias("component_id"))
+    parts = checkpointed(components(pairs).withColumnRenamed("node", "class"))
+    kind = (F.shiftleft(F.col("width").cast("long"), 32) + F.octet_length("vector")).alias("kind")
+    linked = counted(parts.join(classes.select("class", kind, "size", "vector"), "class"), cosine)
+    least = parts.join(classes.select("class", "rep"), "class").groupBy("component").agg(F.min("rep").alias("component_id"))
     named = parts.join(least, "component").select("class", "component_id")
-    known = classes.select("label", "key", "class", "size", "rep").join(linked.withColumnRenamed("a", "class"), "class", "left").join(named, "class", "left")
+    known = classes.select("label", "key", "class", "size", "rep").join(linked, "class", "left").join(named, "class", "left")
     known = known.select("label", "key", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("id", "label", "key").join(known, ["label", "key"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
