@@ -9,11 +9,13 @@ picks. Its size is that of the vocabulary file, fixed.
 
 Words repeat, so distinct words are folded once where that pays: the most frequent
 ``DICTIONARY`` words of all documents, counted with map-side combining, are folded
-as rows of their own and become a second literal of bounded size. A word outside it
-is folded where it stands. No text and no word list of unbounded size is moved.
+as rows of their own and become a second literal of bounded size. A word outside it,
+most often one that occurs once, is folded where it stands. No text and no word list
+of unbounded size is moved.
 
-Decoding looks up each id's piece and concatenates the pieces' bytes; like
-encoding it is done once for the ids of a word in the dictionary.
+Decoding looks up the binary piece of each id and concatenates the pieces; like
+encoding it is done once for the ids of a word in the dictionary. Binary pieces are
+carried as strings of the same bytes, which Spark joins as they are.
 
 Null texts count as empty: no ids, digests of no bytes. Among words of equal counts
 the lesser comes into the dictionary, which only speed feels. Repeated rows are encoded
@@ -32,14 +34,12 @@ from pyspark.sql.classic.column import Column
 
 from tessera.llm.base import checkpointed, whole
 
-#: The most words folded ahead: some 80 bytes each are sent to every executor.
+#: The most words folded ahead: some 100 bytes each are sent to every executor.
 DICTIONARY = 786_432
 #: Entries of the arrays that hashes index; a prime for the pairs' numbers.
-RANK_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS = 65_536, 131_071, 1_048_576
+RANK_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS = 65_536, 131_071, 262_144
 #: A pair's number is its first rank times this and its second.
 PAIR = 1 << 20
-#: Marks of a dictionary entry: mark, word, mark, ids, mark, bytes. Words that hold one are not entries.
-ENTRY, VALUE, DECODED = "\x01", "\x02", "\x03"
 
 
 def java_pattern(pattern: str) -> str:
@@ -78,8 +78,8 @@ class Vocabulary:
         first, second = (ranks.select(F.col("piece").alias(c), F.col("rank").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
         pairs = cuts.join(first, "a").join(second, "b").select((F.col("ra").cast("long") * PAIR + F.col("rb")).alias("pair"), "rank")
         self.pairs = self._indexed(pairs.withColumn("bucket", F.col("pair") % PAIR_BUCKETS), F.struct("pair", "rank"), PAIR_BUCKETS, "struct<pair:bigint,rank:int>")
-        self.pieces = self._array(ranks.select(F.col("rank").cast("long").alias("bucket"), F.hex("piece").alias("v")), top)
-        little = spark.range(top).select(F.col("id").alias("bucket"), F.concat(*[F.lpad(F.hex(F.shiftright(F.col("id"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]).alias("v"))
+        self.pieces = self._array(ranks.select(F.col("rank").cast("long").alias("bucket"), F.col("piece").cast("string").alias("v")), top)
+        little = spark.range(top).select(F.col("id").alias("bucket"), F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(F.col("id"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])).cast("string").alias("v"))
         self.little = self._array(little, top)
         own = {bytes(p): r for p, r in rows if len(p) == 1}
         self.bytes = F.array(*[F.lit(own.get(bytes([k]))).cast("int") for k in range(256)])
@@ -139,8 +139,9 @@ class Vocabulary:
         return let(self.rank(data), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(let(single, lambda start: F.when(F.size(start) < 2, start).otherwise(merged(start)))))
 
     def spelled(self, ids: Column) -> Column:
-        """Ids as hexadecimal of little-endian unsigned 32-bit integers, a mark, and of the bytes they stand for."""
-        return F.concat(F.array_join(F.transform(ids, lambda i: F.get(self.little, i)), ""), F.lit(DECODED), F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        """An array<int> of ids as little-endian unsigned 32-bit integers and as the bytes they stand for, both as strings of these bytes."""
+        own = lambda table: F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+        return F.struct(own(self.little).alias("ids"), own(self.pieces).alias("decoded"))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -148,33 +149,24 @@ class Vocabulary:
     def learn_dictionary(self, documents: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> None:
         """Folds the most frequent distinct words of ``documents`` ahead."""
         words = documents.select(F.explode(self.words(whole(text_col))).alias("word"))
-        marked = F.col("word").contains(ENTRY) | F.col("word").contains(VALUE) | F.col("word").contains(DECODED)
-        counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(~marked & (F.length("word") < 100) & (F.col("n") > 1))
-        top = checkpointed(counts.orderBy(F.desc("n"), "word").limit(most).select("word").repartition(64))
-        entries = top.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"), F.concat(F.lit(ENTRY), F.col("word"), F.lit(VALUE), let(self.word_ids(F.col("word")), self.spelled)).alias("entry"))
-        buckets = checkpointed(entries.groupBy("bucket").agg(F.concat(F.array_join(F.array_sort(F.collect_list("entry")), ""), F.lit(ENTRY)).alias("v")))
-        self.dictionary = self._array(buckets, WORD_BUCKETS)
+        counts = words.groupBy("word").agg(F.count("*").alias("n")).filter((F.length("word") < 100) & (F.col("n") > 1))
+        top = checkpointed(counts.orderBy(F.desc("n"), "word").limit(most).repartition(64))
+        spelled = let(self.word_ids(F.col("word")), self.spelled)
+        entries = checkpointed(top.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"), "word", spelled.alias("spelled")))
+        self.dictionary = self._indexed(entries, F.struct("word", "spelled"), WORD_BUCKETS, "struct<word:string,spelled:struct<ids:string,decoded:string>>")
 
     def parts(self, text: Column) -> Column:
-        """Each word spelled, from the dictionary or folded here."""
+        """Each word of a text spelled: from the dictionary, or folded here."""
 
         def part(word: Column) -> Column:
+            here = let(self.word_ids(word), self.spelled)
             if self.dictionary is None:
-                return let(self.word_ids(word), self.spelled)
+                return here
             bucket = F.get(self.dictionary, F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int"))
-            key = F.concat(F.lit(ENTRY), word, F.lit(VALUE))
-            return F.when(F.contains(bucket, key), F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), ENTRY, 1)).otherwise(let(self.word_ids(word), self.spelled))
+            return F.coalesce(F.try_element_at(bucket, word), here)
 
         return F.transform(self.words(text), part)
 
-    def ids(self, text: Column) -> Column:
-        """array<int> of a whole text's ids."""
-        return F.flatten(F.transform(self.words(text), self.word_ids))
-
-    def decoded(self, ids: Column) -> Column:
-        """The bytes that an array<int> of ids stands for."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
-
 
 OUTPUT = ("n_tokens", "ids", "decoded")
 
@@ -182,6 +174,6 @@ OUTPUT = ("n_tokens", "ids", "decoded")
 def round_trip(documents: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """``documents`` with n_tokens, ids (binary: little-endian unsigned 32-bit integers) and decoded (binary: what the ids stand for)."""
     rows = documents.drop(*OUTPUT).withColumn("__parts", vocabulary.parts(whole(text_col)))
-    side = lambda at: F.unhex(F.array_join(F.transform("__parts", lambda p: F.substring_index(p, DECODED, at)), ""))
-    rows = rows.withColumn("ids", side(1)).withColumn("decoded", side(-1))
+    joined = lambda side: F.array_join(F.transform("__parts", lambda p: p[side]), "").cast("binary")
+    rows = rows.withColumn("ids", joined("ids")).withColumn("decoded", joined("decoded"))
     return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).drop("__parts")
