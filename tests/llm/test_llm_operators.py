@@ -115,6 +115,39 @@ def test_jaccard(spark, monkeypatch, n, percent):
     assert jaccard.joined(documents(spark, texts).limit(0), n, percent).count() == 0
 
 
+@pytest.mark.parametrize(("group", "grams"), [(1000, 10**6), (7, 10**6), (1000, 300)])
+def test_jaccard_groups(spark, monkeypatch, group, grams):
+    """A large group of near copies, most pairs of which don't link, over many small tasks."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(150):
+        copy = base[: 40 + k % 20]
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(99999)}"
+        texts.append(" ".join(copy))
+    sets = [set(jaccard.shingles(t, 4).tolist()) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "GROUP_GRAMS", grams)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(documents(spark, texts)).collect()}
+    assert got == brute_components(links, range(len(texts)))
+    assert 5 < len(set(got.values())) < 130
+
+
+LARGE = 2**53 + 1
+
+
+def test_jaccard_ids(spark):
+    """Ids keep every bit beside a null id."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(LARGE, text), (LARGE + 2, text + " more"), (None, "other words stand here"), (None, "other words stand here")]
+    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert got == sorted([(LARGE, 27, LARGE), (LARGE + 2, 28, LARGE), (None, 1, None), (None, 1, None)], key=str)
+
+
 def test_shingles():
     assert len(jaccard.shingles("A b\tc D\x0bd", 4)) == 2
     assert jaccard.shingles("Ä b", 4).tolist() != jaccard.shingles("ä b", 4).tolist()
@@ -250,19 +283,35 @@ def test_vectors(spark):
     assert [got[i] for i in (500, 501, 502, 503)] == [(0, i, True) for i in (500, 501, 502, 503)]
 
 
-def test_vectors_whole_run(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [4, 64, 211])
+def test_vectors_recall(spark, monkeypatch, parts):
+    """A large group of near copies, isolated pairs at the threshold's edge, over few and many partitions and small chunks."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.03
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    assert (unit @ unit.T).min() >= 0.981
+    group = rng.normal(size=32) + rng.normal(size=(400, 32)) * 0.14
+    far = rng.normal(size=(600, 32))
+    twins = far[:200] / np.linalg.norm(far[:200], axis=1)[:, None] + rng.normal(size=(200, 32)) * 0.2 / 32**0.5 * rng.uniform(0.3, 1, size=(200, 1))
+    x = np.concatenate([group, far, twins])
+    monkeypatch.setattr(vector_dedup, "CHUNK", 150)
     vectors = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    monkeypatch.setattr(vector_dedup, "BLOCK", 100, raising=False)
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", 64)
-        assert {(r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(vectors).collect()} == {(299, 0)}
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(vectors).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert 20_000 < want.sum() < 150_000 and want[600:].sum() > 50
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.995 * want.sum()
+    assert sum(got[i] for i in range(600, len(x))) >= 0.97 * want[600:].sum()
+
+
+def test_vectors_ids(spark):
+    rows = [(LARGE, [1.0, 2.0], 2**53 + 1), (LARGE + 2, [1.0, 2.0], 2**53 + 1), (None, [1.0, 2.0], 2**53 + 1), (5, [1e200, 2e200], 2**53 + 1), (6, [1.0, 2.0], None), (6, [1.0, 2.0], None)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").coalesce(1)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(LARGE, 2, 5, False), (LARGE + 2, 2, 5, False), (None, 0, None, True), (5, 2, 5, True), (6, 0, 6, True), (6, 0, 6, True)]))
+    assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label long")).count() == 0
 
 
 PROSE = "The method reads every row, once; it keeps what it finds, and says so. " * 6
