@@ -5,10 +5,10 @@ inline tags count to their block. Per page the operator sums text length,
 punctuation, link text and block count of each path, turns them into two ratios, smooths both over the page's path sequence,
 fuses them and keeps the paths whose fused ratio passes a threshold taken from
 the page's own spread. Tags of navigation, forms and the like are not candidates;
-class, id or role that name a node so lower the ratio of its paths. Where a page
+class, id or role whose name tells so, as a whole and not by one of its words, lower the ratio of its paths. Where a page
 marks its main region as such, only paths in it are candidates, all are kept that
 no name lowers, and names at or above every such region tell nothing. Blocks whose
-words are all links are dropped; headings before kept blocks, and list items
+words are all links are dropped, but paragraphs and headings of a marked region; headings before kept blocks, and list items
 between them or in a list beside one, stay.
 
 Text rules: character references are decoded, white space within a block turns
@@ -22,16 +22,19 @@ from __future__ import annotations
 import html as entities
 import re
 import statistics
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What a tag's end is looked for at: its end, or a quote that begins a value.
+VALUE = re.compile(r""">|=\s*(["'])""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select xmp".split())
 SKIP = frozenset("script style noscript template iframe svg math head title nav header footer aside form button input select textarea menu dialog object canvas audio video".split())
@@ -40,111 +43,197 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - {"html", "body"}
 #: Words of class, id and role that name what isn't the article.
 FOREIGN = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer form login masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary reply replies disqus reactions".split())
+#: Words that tell nothing by themselves in a compound name such as cookie-banner-box.
+PLAIN = frozenset("area bar bottom box button buttons column container content div form group header icon icons inner item items left links list main outer panel right row section slot top unit wrap wrapper".split())
 #: What is left of a path's ratio where a name tells that it isn't the article.
 LOWERED = 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li dt dd".split())
-LIST = re.compile(r"/(?:ul|ol|dl)\b")
+PROSE = HEADINGS | frozenset("p blockquote figcaption pre".split())
+LISTS = frozenset("ul ol dl".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،]")
 SPACE = re.compile(r"\s+")
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """A label for the path, and whether class, id or role name the node as foreign."""
-    words = [w for m in ATTRIBUTE.finditer(attributes) for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower())]
-    return ".".join(words), not FOREIGN.isdisjoint(words)
+def _named(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """Class, id and role, and whether one of these names tells that the node is foreign: each of its words does, or is a plain one beside such."""
+    names = tuple(name for m in ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").lower().split())
+    for name in names:
+        words = PARTS.findall(name)
+        if any(w in FOREIGN for w in words) and all(w in FOREIGN or w in PLAIN for w in words):
+            return names, True
+    return names, False
 
 
-def nodes(page: str) -> list[tuple[str, str, int, bool, tuple[bool, bool]]]:
-    """(path, text, block number, in a link, named as foreign) of each text node outside skipped tags; inline tags have the path of their block.
+class _Path:
+    """A root-to-leaf tag path: each distinct one is one object, so that deep nesting costs no more than its tags."""
 
-    Whether a path lies in a main region is told by ``=`` before a tag; names are told apart by
-    whether they stand at or above the innermost main region, or below it.
-    """
-    out: list[tuple[str, str, int, bool, tuple[bool, bool]]] = []
-    stack: list[tuple[str, str, bool, tuple[bool, bool]]] = [("", "", False, (False, False))]  # tag, path, foreign, named
+    __slots__ = ("below", "inside", "lists", "parent", "tag")
+
+    def __init__(self, parent: _Path | None, tag: str, inside: bool):
+        self.parent, self.tag, self.below = parent, tag, {}
+        #: Whether it lies in a main region.
+        self.inside = inside or parent is not None and parent.inside
+        #: What the outermost list it lies in hangs at, else itself.
+        outer = parent.lists if parent is not None and parent.lists is not parent else None
+        self.lists = outer or (parent if tag in LISTS else self)
+
+    def child(self, tag: str, names: tuple[str, ...], inside: bool) -> _Path:
+        key = (tag, names, inside)
+        if key not in self.below:
+            self.below[key] = _Path(self, tag, inside)
+        return self.below[key]
+
+
+class _Ends:
+    """Where tags and comments end. A quoted value may hold the sign that ends a tag; a quote that never closes holds nothing. Each page is read once."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), {'"': True, "'": True}
+
+    def tag(self, at: int) -> int:
+        """After the tag whose name ends before ``at``, or -1."""
+        start = at
+        if start > self.last:
+            return -1
+        while any(self.quotes.values()) and (m := VALUE.search(self.page, at)) is not None:
+            if m[1] is None:
+                return m.end()
+            close = self.page.find(m[1], m.end()) if self.quotes[m[1]] else -1
+            if close < 0:
+                self.quotes[m[1]] = False
+                at = m.end()
+            else:
+                at = close + 1
+        # no end outside quotes: from here on, quotes hold nothing
+        self.quotes = dict.fromkeys(self.quotes, False)
+        return self.page.find(">", start) + 1 or -1
+
+    def after(self, mark: str, at: int) -> int:
+        found = self.page.find(mark, at)
+        return found + len(mark) if found >= 0 else len(self.page)
+
+
+@dataclass
+class _Open:
+    """An open tag: its path, whether it is skipped, and whether names at or above the innermost main region, or below it, tell that it is foreign."""
+
+    tag: str
+    path: _Path
+    foreign: bool
+    names: tuple[bool, bool]
+
+
+def nodes(page: str) -> list[tuple[_Path, str, int, bool, tuple[bool, bool]]]:
+    """(path, text, block number, in a link, named as foreign) of each text node outside skipped tags; inline tags have the path of their block."""
+    out: list[tuple[_Path, str, int, bool, tuple[bool, bool]]] = []
+    stack = [_Open("", _Path(None, "", False), False, (False, False))]
+    blocks, opened, ends = [0], Counter(), _Ends(page)  # places of blocks in the stack; open tags by name
     block, at, n = 0, 0, len(page)
-    while at < n:
-        token = TOKEN.search(page, at)
-        end = token.start() if token else n
-        if end > at and not stack[-1][2]:
-            text = page[at:end]
-            if text.strip():
-                out.append((stack[-1][1], text, block, any(t == "a" for t, *_ in stack), stack[-1][3]))
-            elif out and out[-1][2] == block:
-                out.append((stack[-1][1], " ", block, False, stack[-1][3]))
-        if token is None:
-            break
-        at = token.end()
-        tag = (token[2] or "").lower()
-        if not tag:
+    lower = page.lower()
+    lower = lower if len(lower) == n else page  # some letters change their length
+
+    def text(start: int, end: int) -> None:
+        top = stack[-1]
+        if end > start and not top.foreign:
+            words = page[start:end]
+            if words.strip():
+                out.append((top.path, words, block, opened["a"] > 0, top.names))
+            else:
+                space()
+
+    def space() -> None:
+        if out and out[-1][2] == block:
+            out.append((stack[-1].path, " ", block, False, stack[-1].names))
+
+    def cut(k: int) -> None:
+        """Closes what is open from place k on."""
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+        while blocks[-1] >= k:
+            blocks.pop()
+
+    last, sign = 0, 0
+    while (sign := page.find("<", sign)) >= 0:
+        after = page[sign + 1 : sign + 2]
+        tag = TAG.match(page, sign + 1) if after not in ("!", "?") else None
+        if after and after in "!?":
+            end = ends.after("-->", sign + 2) if page.startswith("<!--", sign) else ends.after(">", sign)
+        elif tag is None or (end := ends.tag(tag.end())) < 0:
+            sign += 1
+            continue
+        text(last, sign)
+        last = sign = end
+        if tag is None:
             continue
-        if tag in BLOCK:
+        name, attributes = tag[2].lower(), page[tag.end() : end - 1]
+        if name in BLOCK:
             block += 1
-        elif tag == "br" and out and out[-1][2] == block:
-            out.append((stack[-1][1], " ", block, False, stack[-1][3]))
-        if token[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        elif name == "br":
+            space()
+        if tag[1]:
+            if opened[name] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                cut(k)
             continue
-        if tag in VOID or token[3].endswith("/") and tag not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+        if name in RAW:
+            close = lower.find(f"</{name}", end)
+            last = sign = ends.after(">", close) if close >= 0 else n
             continue
-        if tag in ENDS_P:  # an open paragraph, with what is open in it, ends here; so does a list item at the next one
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] == tag == "li":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        label, named = _named(token[3]) if token[3] else ("", False)
-        inside = tag in ("article", "main") or "role" in token[3] and label.split(".")[-1:] == ["main"]
-        foreign = (stack[-1][2] or tag in SKIP) and tag not in ("html", "body")
-        above, below = stack[-1][3]
-        named = named and tag not in ("html", "body")
-        names = (above or below or named, False) if inside else (above, below or named)
-        if tag == "header" and "=" in stack[-1][1] and not stack[-1][2]:
-            foreign = True
-        path = f"{stack[-1][1]}/{'=' * inside}{tag}{'.' * bool(label)}{label}" if tag in BLOCK or inside else stack[-1][1]
-        stack.append((tag, path, foreign, names))
+        # an open paragraph, with what is open in it, ends at a block; so does a list item at the next one
+        if name in ENDS_P and (stack[blocks[-1]].tag == "p" or stack[blocks[-1]].tag == name == "li"):
+            cut(blocks[-1])
+        top = stack[-1]
+        names, named = _named(attributes) if attributes else ((), False)
+        inside = name in ("article", "main") or "main" in names and re.search(r"""\brole\s*=\s*["']?main\b""", attributes, re.I) is not None
+        named = named and name not in ("html", "body")
+        foreign = (top.foreign or name in SKIP) and name not in ("html", "body") or name == "header" and top.path.inside
+        above, below = top.names
+        marked = (above or below or named, False) if inside else (above, below or named)
+        path = top.path.child(name, names, inside) if name in BLOCK or inside else top.path
+        if name in BLOCK:
+            blocks.append(len(stack))
+        opened[name] += 1
+        stack.append(_Open(name, path, foreign, marked))
+    text(last, n)
     return out
 
 
 class _Block:
     """Text between two block tags: its path, text, text outside links and whether names lower its ratio."""
 
-    def __init__(self, path: str, named: bool):
-        self.path, self.named, self.text, self.own = path, named, "", ""
-        self.tag = re.split(r"[.]", path.rsplit("/", 1)[-1])[0]
+    def __init__(self, path: _Path, named: bool):
+        self.path, self.named, self.parts, self.outside = path, named, [], []
+        self.tag = path.tag
 
-    @property
-    def linked(self) -> bool:
-        """Whether links alone hold its words."""
-        return not re.search(r"\w", entities.unescape(self.own)) and bool(self.text.strip())
+    def done(self) -> _Block:
+        self.text, self.own = "".join(self.parts), "".join(self.outside)
+        #: Whether links alone hold its words.
+        self.linked = not re.search(r"\w", entities.unescape(self.own)) and bool(self.text.strip())
+        return self
 
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
     found = nodes(page or "")
-    if any("=" in path for path, *_ in found):
-        found = [x for x in found if "=" in x[0]]
+    if any(path.inside for path, *_ in found):
+        found = [x for x in found if x[0].inside]
     # names at or above every main region tell nothing
     apart = not all(names[0] for *_, names in found)
     by_number: dict[int, _Block] = {}
     for path, text, number, link, names in found:
         lowered = names[1] or names[0] and apart
         block = by_number.setdefault((number, lowered), _Block(path, lowered))
-        block.text += text
-        block.own += "" if link else text
-    blocks = [b for _, b in sorted(by_number.items(), key=lambda x: x[0][0]) if b.text.strip()]
+        block.parts.append(text)
+        block.outside.append("" if link else text)
+    blocks = [b for _, b in sorted(by_number.items(), key=lambda x: x[0][0]) if b.done().text.strip()]
     if not blocks:
         return ""
-    total: dict[tuple[str, bool], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    total: dict[tuple[_Path, bool], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in blocks:
         s = total[b.path, b.named]
         size = len(b.text.strip())
@@ -159,8 +248,9 @@ def extract(page: str | None) -> str:
     fused = [n * m * LOWERED if p[1] else a * b for p, n, m, a, b in zip(paths, length, marks, _smooth(length), _smooth(marks), strict=True)]
     least = min(statistics.pstdev(fused), max(fused)) * 0.5 if len(fused) > 1 else 0.0
     # within a region that is marked as the article, prose isn't dropped unless a name lowers it
-    keep = {p for p, f in zip(paths, fused, strict=True) if f >= least or "=" in p[0] and not p[1]}
-    kept = [(b.path, b.named) in keep and not b.linked for b in blocks]
+    keep = {p for p, f in zip(paths, fused, strict=True) if f >= least or p[0].inside and not p[1]}
+    # links alone are no prose, but in a marked article a paragraph or heading may be one
+    kept = [(b.path, b.named) in keep and not (b.linked and not (b.path.inside and b.tag in PROSE and not b.named)) for b in blocks]
     lines = (SPACE.sub(" ", entities.unescape(b.text)).strip() for b, k in zip(blocks, _bridged(blocks, kept), strict=True) if k)
     return "\n".join(line for line in lines if line)
 
@@ -184,7 +274,7 @@ def _bridged(blocks: list[_Block], kept: list[bool]) -> list[bool]:
     for i, b in enumerate(blocks):
         if out[i]:
             before = b if kept[i] else before
-        elif b.tag in ITEMS and not b.linked and not b.named and before is not None and (after[i] or LIST.split(b.path)[0] == before.path.rsplit("/", 1)[0]):
+        elif b.tag in ITEMS and not b.linked and not b.named and before is not None and (after[i] or b.path.lists is before.path.parent):
             out[i] = True
         elif b.tag not in ITEMS:
             before = None
@@ -199,9 +289,12 @@ def _smooth(values: list[float]) -> list[float]:
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts = [extract(page) for page in frame["html"]]
+        # ids come and go as text: through floats they would lose their last bits beside nulls
         yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    out = rows.mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", "n_chars")
