@@ -11,7 +11,7 @@ so it fits a task at any input size, and padding is at most about a window a
 group. Tokenising moves no text: what is shuffled is one short row a piece.
 
 Null texts count as empty; an empty document is its end id alone; ties go by
-(doc_id, start), then row; repeated rows are packed as often as they occur; an
+(doc_id as text, start), then row; repeated rows are packed as often as they occur; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -80,7 +80,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(documents: DataFrame, ranks_path: str, pattern: str, window: int, end_id: int) -> DataFrame:
@@ -96,11 +96,10 @@ def pieces(documents: DataFrame, ranks_path: str, pattern: str, window: int, end
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
                     rows.append((doc, start, len(part) // 4, zlib.crc32(part), total))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), whole("text").alias("text")).mapInPandas(run, PIECE)
+    # ids come and go as text: through floats they would lose their last bits beside nulls
+    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), whole("text").alias("text")).mapInPandas(run, PIECE)
 
 
 def packed(documents: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end_id: int = 0, group: int = 20_000) -> DataFrame:
@@ -119,4 +118,4 @@ def packed(documents: DataFrame, ranks_path: str, pattern: str, window: int = 10
     dealt = short.withColumn("bin", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("bin").applyInPandas(pack, f"{PIECE}, sequence_id long, offset long")
     # a full window is a sequence by itself; its number is negative, and so unlike any packed one's
     alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return dealt.unionByName(alone)
+    return dealt.unionByName(alone).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -17,7 +17,7 @@ from functools import cache
 import tiktoken
 
 #: The most parts whose ids a process remembers, twice: the last so many, and as many before them.
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 #: The special token that a text may spell out, and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 STOPS = ".,;:!?"

@@ -14,7 +14,7 @@ logistic regression over the training texts turns it into a score.
 
 Null and empty texts score as texts without a match. Ties between terms go to the
 lesser term. Repeated rows score alike, an empty table gives an empty result.
-Without labelled rows of both kinds the lexicon is the seed terms alone. Rows
+Without labelled rows of both kinds the lexicon is empty and all texts score alike. Rows
 whose id is null take no part in training. Other columns are kept as they are;
 score columns of clashing names are replaced.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,13 +40,8 @@ from tessera.llm.base import whole
 HOMOGLYPHS = {"а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ӏ": "l", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g"}
 #: Digits and signs that stand for letters within a word.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
-#: Terms that need no evidence.
-SEED = ("idiot", "moron", "stupid", "worthless", "scum", "pathetic", "disgusting", "loser", "trash")
-SEED_WEIGHT = 3.0
 #: The most labelled rows used for training, by hash of their ids.
 MAX_LABELLED = 6_000
-#: The most terms of a lexicon.
-MAX_TERMS = 4_000
 
 GLYPHS = str.maketrans(HOMOGLYPHS)
 DIGITS = str.maketrans(SUBSTITUTES)
@@ -56,7 +52,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 #: The most words whose folded form a process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def _letters(match: re.Match) -> str:
@@ -136,14 +132,28 @@ class Lexicon:
             start = end + 1 - size
             if best.get(start, (0, 0.0))[0] < size:
                 best[start] = (size, weight)
-        total = sum(w for start, (_, w) in best.items() if not any(a <= start < b for a, b in spared))
+        inside = _covered(spared)
+        total = sum(w for start, (_, w) in best.items() if not inside(start))
         return total / math.log2(3 + words.count(" ")) if total else 0.0
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.evidence(text) + self.offset))))
 
 
-def learn(rows: list[tuple[str, int]], least: int = 4, ratio: float = 25.0, max_terms: int = MAX_TERMS) -> Lexicon:
+def _covered(spans: list[tuple[int, int]]):
+    """Tells whether a place lies in one of ``spans`` (end exclusive), in the time of a search."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return lambda at: (k := bisect_right(starts, at)) > 0 and at < ends[k - 1]
+
+
+def learn(rows: list[tuple[str, int]], least: int = 4, ratio: float = 25.0) -> Lexicon:
     """From (text, label) rows, bounded by the caller.
 
     A word's support is the number of toxic texts that hold it, or of different
@@ -160,9 +170,8 @@ def learn(rows: list[tuple[str, int]], least: int = 4, ratio: float = 25.0, max_
         if y:
             for a, b in zip(["", *words], words, strict=False):
                 before[b].add(a)
-    seeds = {f" {w} ": SEED_WEIGHT for w in SEED if clean[w] <= toxic[w]}
     if not all(n):
-        return Lexicon(seeds)
+        return Lexicon({})
     support: Counter = Counter()
     against: Counter = Counter()
     bearers: Counter = Counter()
@@ -190,9 +199,7 @@ def learn(rows: list[tuple[str, int]], least: int = 4, ratio: float = 25.0, max_
         kept[t] = math.log((support[t] + 0.5) / (n[1] + 1)) - math.log((against[t] + 0.5) / (n[0] + 1))
         for k in range(4, len(t)):
             covered[t[:k]] += support[t]
-        if len(kept) >= max_terms:
-            break
-    lexicon = Lexicon(seeds | kept)
+    lexicon = Lexicon(kept)
     lexicon.exceptions = _spared(lexicon, rows)
     lexicon.matcher = None
     lexicon.slope, lexicon.offset = _logistic([lexicon.weighed(t) for t, _ in rows], [y for _, y in rows])
@@ -259,10 +266,12 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Le
     return learn(labelled(documents, labels, "toxic", most))
 
 
+OUTPUT = ("held_out", "score", "predicted")
+
+
 def scored(documents: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """``documents`` with held_out, score and predicted."""
-    names = ("held_out", "score", "predicted")
-    documents = documents.drop(*names)
+    documents = documents.drop(*OUTPUT)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in texts:
