@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, html_main, jaccard, packing, quality, secrets, topk, toxicity, vector_dedup
-from tessera.llm.base import checkpointed, table
+from tessera.llm.base import table, whole
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -70,9 +70,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document, whose table comes in two increments to one ledger."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = checkpointed(secrets.scan_blobs(documents))
+    first = secrets.advanced(documents.filter(F.sha2(whole("text"), 256) < "8"))
+    ledger = secrets.advanced(documents, first)
     return secrets.findings(documents, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -5,8 +5,11 @@ its SHA-256, so a text that many paths or versions share is one blob. The ledger
 lists the (blob, rule_version) pairs that were scanned, with their findings; a
 run scans only pairs that it lacks and joins all findings back to all paths.
 
-Only the owner of an unseen blob (its least id) has its text moved and scanned,
-so copies cost a 64-character key each and a hot blob no more than any other.
+Without a ledger all blobs are unseen: texts are scanned where they are, a text that
+a task meets again only once, and ledger rows of one blob are merged after. With a
+ledger, keys alone are moved to find the unseen blobs; their keys are sent to the
+texts while they take at most ``BROADCAST_KEYS`` bytes, beyond that both are joined
+by a shuffle. No other text is moved, and a hot blob costs no more than any other.
 
 Null texts count as empty, empty texts are blobs without findings, repeated rows
 give repeated result rows, an empty table an empty result. Columns that the
@@ -23,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import whole
+from tessera.llm.base import checkpointed, whole
 
 #: Grows whenever a rule changes: blobs are then scanned anew.
 RULE_VERSION = 1
+#: Up to so many bytes of keys of unseen blobs are sent to every executor.
+BROADCAST_KEYS = 16_000_000
 #: The base rules, in the order in which kinds sort at one start.
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -65,9 +70,14 @@ FOUND = "blob string, n_assign long, n_access long, n_hex long, base_sha256 stri
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    met: set[str] = set()
     for frame in frames:
         rows = []
         for blob, text in zip(frame["blob"], frame["text"], strict=True):
+            if blob in met:
+                continue
+            if len(met) < 100_000:
+                met.add(blob)
             spans = find(text)
             base = [s for s in spans if s[2] in BASE_KINDS]
             kinds = [s[2] for s in base]
@@ -83,21 +93,25 @@ def addressed(history: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def scan_blobs(history: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
     """New ledger rows: the findings of every blob that ``ledger`` lacks under ``rule_version``."""
-    blobs = addressed(history, id_col, text_col)
-    unseen = blobs.groupBy("blob").agg(F.min("id").alias("owner"))
+    blobs = addressed(history, id_col, text_col).select("blob", "text")
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        unseen = unseen.join(seen, "blob", "left_anti")
-    owned = blobs.join(unseen.withColumnRenamed("blob", "owned"), F.col("id").eqNullSafe(F.col("owner")) & (F.col("blob") == F.col("owned")), "left_semi")
-    found = owned.select("blob", "text").mapInPandas(_scan, FOUND)
-    # the owner's row may be repeated
-    return found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
+        unseen = checkpointed(blobs.select("blob").distinct().join(seen, "blob", "left_anti"))
+        few = unseen.count() * 100 <= BROADCAST_KEYS
+        blobs = blobs.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
+    return blobs.mapInPandas(_scan, FOUND).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
+
+
+def advanced(history: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
+    """The ledger after a run over ``history``: its rows of before, and those of unseen (blob, rule_version) pairs."""
+    new = scan_blobs(history, ledger, id_col, text_col, rule_version)
+    return checkpointed(new if ledger is None else ledger.unionByName(new))
 
 
 def findings(history: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """The ledger's findings joined back to every path and version."""
+    """The ledger's findings joined back to every path and version; null where the ledger lacks its blob."""
     paths = addressed(history, id_col, text_col).select(F.col("id").alias(id_col), "blob")
-    return paths.join(ledger.filter(F.col("rule_version") == rule_version), "blob")
+    return paths.join(ledger.filter(F.col("rule_version") == rule_version), "blob", "left")
 
 
 def masked(text: str, spans: str) -> str:
