@@ -423,15 +423,15 @@ def _verified(documents: DataFrame, routes: DataFrame, n: int, percent: int) ->
     return checkpointed(routed.mapInPandas(compared, "a long, b long").distinct())
 
 
-def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; ids are long or string."""
     spark = documents.sparkSession
-    documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    documents = documents.select(F.col(id_col).cast(id_type).alias("doc_id"), whole(text_col).alias("text"))
     k = partitions(spark)
     seen = checkpointed(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_seen(n, 2 * k), SEEN))
     counts = checkpointed(seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long"))
     frequent = spark.sparkContext.broadcast(_top(counts, FREQUENT))
-    own = seen.filter("part is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "key")
+    own = seen.filter("part is null").select(F.col("doc_id").cast(id_type).alias("doc_id"), "n", "key")
     del seen, counts  # of what counted, only short rows stay
     own = checkpointed(own)
     groups = checkpointed(documents.select("text").mapInPandas(_postings(n, percent, frequent), POSTING).repartition(k, "h").sortWithinPartitions("h", "key").mapInPandas(_lists(percent), LISTED).distinct())
