@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, chat, html_main, jaccard, packing, quality, queries, secrets, tokens, topk, toxicity, vector_dedup
 from tessera.llm.components import components
 
+LARGE = 2**53 + 1
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "a", "two words", "x  y \n\n z", "ünï çode ñandú 12 34", "it's we'll \t x", "a b　c", "z" * 300, "<|endoftext|> <|im_end|>", "\x01\x02\x03 odd"]
 
@@ -137,9 +139,6 @@ def test_jaccard_groups(spark, monkeypatch, group, grams):
     assert 5 < len(set(got.values())) < 130
 
 
-LARGE = 2**53 + 1
-
-
 def test_jaccard_ids(spark):
     """Ids keep every bit beside a null id."""
     text = " ".join(f"w{i}" for i in range(30))
@@ -165,7 +164,27 @@ def test_toxicity(spark):
     assert lexicon.evidence("") == 0 and 0 <= lexicon.score("idiot " * 9999) <= 1
     odd = toxicity.scored(documents(spark, ODD), lexicon)
     assert odd.filter("score between 0 and 1").count() == len(ODD)
-    assert toxicity.fit(documents(spark, ODD), labels.limit(0)).weights
+    assert toxicity.fit(documents(spark, ODD), labels.limit(0)).weights == {}
+    assert toxicity.scored(docs.limit(0), lexicon).count() == 0
+    twice = toxicity.scored(docs.limit(5).union(docs.limit(5)).withColumn("score", F.lit("clash")), lexicon)
+    assert twice.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("score").alias("k")).filter("n = 2 and k = 1").count() == 5
+
+
+def test_toxicity_brute_force():
+    """Matches, exceptions and weights against a plain scan of every place."""
+    rng = random.Random(1)
+    lexicon = toxicity.Lexicon({" ab": 1.5, " abc ": 2.5, " abcd": 4.0, " b ": 1.0}, (" abz ", " b abc ", " abcde "))
+    for _ in range(400):
+        words = [rng.choice(["ab", "abc", "abz", "abcd", "abcde", "b", "c", "abq"]) for _ in range(rng.randrange(12))]
+        text = toxicity.folded(" ".join(words))
+        total = 0.0
+        for start in range(len(text)):
+            terms = [t for t in lexicon.weights if text.startswith(t, start)]
+            spared = any(text.startswith(p, at) and at <= start < at + len(p) - 1 for p in lexicon.exceptions for at in range(start + 1))
+            if terms and not spared:
+                total += lexicon.weights[max(terms, key=lambda t: len(t.rstrip()))]
+        want = total / np.log2(3 + text.count(" ")) if total else 0.0
+        assert lexicon.weighed(text) == pytest.approx(want)
 
 
 def test_quality(spark):
@@ -177,10 +196,32 @@ def test_quality(spark):
     rates = quality.site_rates(spark.createDataFrame([("a", "x", 1.0)] * 500 + [("a", "y", 0.0)] + [("b", "x", 0.0)] * 500 + [(None, None, 1.0)], "host string, path string, p double"))
     by = {(r["host"], r["path"]): r["path_rate"] for r in rates.collect()}
     assert by[("a", "x")] > by[("a", "y")] > 0.5 > by[("b", "x")] and 0.4 < by[(None, None)] < 0.7
+    assert quality.scored(docs.limit(0), quality.learn([])).count() == 0
     odd = documents(spark, ODD).withColumn("keep", F.lit("clash")).withColumn("source", F.lit(None).cast("string"))
     assert quality.scored(odd, quality.learn([])).filter("keep").count() == len(ODD)
 
 
+def test_quality_rates(spark):
+    """Rates against closed forms over plain lists."""
+    rng = random.Random(2)
+    rows = [(h, p, min(1.0, max(0.0, rng.gauss({"a": 0.8, "b": 0.3, "c": 0.5}[h] + 0.1 * (p == "y"), 0.1)))) for h in "abc" for p in "xyz" for _ in range(rng.randrange(1, 60))]
+    mean = lambda xs: sum(xs) / len(xs)
+    hosts = {h: [p for a, _, p in rows if a == h] for h in "abc"}
+    paths = {(a, b): [p for c, d, p in rows if (c, d) == (a, b)] for a, b, _ in rows}
+    g = mean([p for *_, p in rows])
+    pull = lambda spread, left: max(5.0, min(1e4, spread / left - 1 if left > 0 else 1e4))
+    host_pull = pull(g * (1 - g), mean([(mean(x) - g) ** 2 for x in hosts.values()]) - mean([g * (1 - g) / len(x) for x in hosts.values()]))
+    h_rate = {h: mean(x) for h, x in hosts.items()}
+    b = lambda h: h_rate[h] * (1 - h_rate[h])
+    path_pull = pull(mean([b(h) for h, _ in paths]), mean([(mean(x) - h_rate[h]) ** 2 for (h, _), x in paths.items()]) - mean([b(h) / len(x) for (h, _), x in paths.items()]))
+    got = {(r["host"], r["path"]): r for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"), strength=5.0).collect()}
+    assert got.keys() == paths.keys()
+    for (h, p), x in paths.items():
+        host = (sum(hosts[h]) + host_pull * g) / (len(hosts[h]) + host_pull)
+        assert got[h, p]["host_rate"] == pytest.approx(host)
+        assert got[h, p]["path_rate"] == pytest.approx((sum(x) + path_pull * host) / (len(x) + path_pull))
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_top_k(spark, monkeypatch, large):
     monkeypatch.setattr(topk, "LEAF", 8)
@@ -224,6 +265,22 @@ def test_packing(spark):
     assert sum(r["length"] for r in out) / (128 * len(by_window)) > 0.9
 
 
+def test_packing_ids(spark):
+    """Ids against the tokenizers library, ids of documents beyond 2^53 beside null ones, repeated rows, an empty table."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in ODD] + ["<|endoftext|> and <|endoftext|>"]
+    rows = [(LARGE + 2 * i, t) for i, t in enumerate(texts)] + [(None, "no id"), (LARGE, texts[0])]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.RANKS, vocabularies.PATTERN, window=16).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        got = {(r["start"], r["ids_crc32"]) for r in out if r["doc_id"] == LARGE + 2 * i}
+        assert got == {(a, zlib.crc32(ids[a : a + 16].tobytes())) for a in range(0, len(ids), 16)}
+    assert sum(r["doc_id"] is None for r in out) >= 1 and sum(r["doc_id"] == LARGE for r in out) == 2
+    assert packing.packed(documents(spark, []), queries.RANKS, vocabularies.PATTERN).count() == 0
+
+
 def test_best_fit():
     rng = random.Random(2)
     lengths = sorted((rng.randrange(1, 100) for _ in range(400)), reverse=True)
@@ -250,9 +307,71 @@ def test_html(spark):
     assert "First para, graph." in html_main.extract(plain) and "reader" not in html_main.extract(plain)
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (3, "u", ""), (4, "u", "<p>" * 3000 + "deep")], "page_id long, url string, html string")
     got = [tuple(r) for r in html_main.main_text(df).orderBy("page_id").collect()]
+    assert html_main.main_text(df.limit(0)).count() == 0
+    large = spark.createDataFrame([(LARGE, "u", PAGE), (None, "u", None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html_main.main_text(large).collect()} == {LARGE, None}
     assert [g[3] for g in got][:4] == [len(html_main.extract(PAGE)), 0, 0, 0] and got[4][2] == "deep"
 
 
+def test_html_blocks():
+    named = html_main.extract(f'<article class="share-price notice-board"><p>{PROSE}</p><div class="related-work"><p>More of it.</p></div><p><a href="x">only a link</a></p><ul><li><a href="y">menu</a></li></ul><div class="cookie-banner-box"><p>We use cookies</p></div></article>')
+    assert named == f"{PROSE.strip()}\nMore of it.\nonly a link"
+    assert html_main.extract('<article><p title="broken>oops it is</p><p>More of it.</p></article>') == "oops it is\nMore of it."
+    assert html_main.extract('<article><p title="a > b">Text.</p></article>') == "Text."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "text", '<a x="' * 20_001, '<a "' * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 9_000 + "<p>x</p>" * 9_000, "<" * 50_000, "<!--" * 20_000, "<script>" * 20_000, '<a x="' * 20_001 + '">'])
+def test_html_hostile(page):
+    """Time in proportion to the page."""
+    began = time.perf_counter()
+    html_main.extract(page)
+    assert time.perf_counter() - began < 3
+
+
+def naive_secrets(text):
+    """The base rules by trying every place in turn."""
+    ascii_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda at, chars: next((k for k in range(at, len(text)) if text[k] not in chars), len(text))
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(c.lower() if c in ascii_ else c for c in text[at : at + len(name)]) == name:
+                k = at + len(name)
+                k += text[k : k + 1] in ('"', "'") and k < len(text)
+                k = value(k, " ")
+                if text[k : k + 1] not in (":", "=") or k >= len(text):
+                    return None
+                k = value(k + 1, " ")
+                k += text[k : k + 1] in ('"', "'") and k < len(text)
+                end = value(k, ascii_ + "+/_.=-")
+                return (end, end - k >= 8) if end > k else None
+        return None
+
+    def run(at, first, chars, least):
+        end = value(at + len(first), chars)
+        return (end, end - at >= least) if text.startswith(first, at) and end > at + len(first) else None
+
+    out = []
+    for order, (kind, rule) in enumerate((("assign", assign), ("access", lambda at: run(at, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16)), ("hex", lambda at: run(at, "", "0123456789abcdef", 32)))):
+        at = 0
+        while at < len(text):
+            if (hit := rule(at)) is None:
+                at += 1
+                continue
+            if hit[1]:
+                out.append((at, order, hit[0], kind))
+            at = hit[0]
+    return [(a, b, kind) for a, _, b, kind in sorted(out)]
+
+
+def test_secrets_brute_force():
+    rng = random.Random(6)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", "ſecret", '"', "'", " ", ":", "=", "abcdefgh", "x.=-/", "é", "AKIA", "ABCDEFGHIJKL", "0123456789ab", "0a" * 16, "f", "A1"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert [x for x in secrets.find(text) if x[2] in secrets.BASE_KINDS] == naive_secrets(text), text
+
+
 def test_secrets(spark):
     text = 'password = "abcdEFGH1234" AKIA' + "A" * 12 + " tail " + "0a" * 16 + " secret: short token=token: abcdefgh12 API_KEY:xxxxxxxx"
     kinds = [s[2] for s in secrets.find(text)]
@@ -265,6 +384,12 @@ def test_secrets(spark):
     assert len(found) == 6 and {r["n_assign"] for r in found if r["doc_id"] in (1, 2, None)} == {2}
     assert secrets.scan_blobs(docs, ledger).count() == 0
     assert secrets.scan_blobs(docs, ledger, rule_version=2).count() == 2
+    more = docs.union(spark.createDataFrame([(9, "token: newsecret99"), (None, None)], "doc_id long, text string"))
+    assert [r["n_assign"] for r in secrets.findings(more, ledger).filter("doc_id = 9").collect()] == [None]
+    grown = secrets.advanced(more, ledger)
+    assert grown.count() == 3 and secrets.findings(more, grown).filter("n_assign is null").count() == 0
+    assert secrets.advanced(more, grown).count() == 3
+    assert secrets.advanced(docs.limit(0)).count() == 0 == secrets.findings(docs.limit(0), ledger).count()
 
 
 def test_vectors(spark):
