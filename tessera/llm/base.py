@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return kept
 
 
+#: Bytes of a batch that goes to a Python worker: with long texts, more makes workers and executors grow.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, where they may be greater."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m")
+    digits = now.rstrip("b")
+    if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def lean(run):
+    """``run``, a function of an iterator of frames, that gives memory it is done with back to the system: workers stay for later stages."""
+
+    def wrapped(frames: Iterator) -> Iterator:
+        yield from run(frames)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the usual C library of Linux
+            trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

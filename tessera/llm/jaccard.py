@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import checkpointed, partitions, whole
+from tessera.llm.base import checkpointed, lean, partitions, small_batches, whole
 from tessera.llm.components import components
 
 #: The most n-grams whose counts order the sets, and the least count of one: 16 bytes each are sent to every executor.
@@ -193,7 +193,7 @@ def _postings(n: int, percent: int, frequent):
         values, counts = frequent.value
         met: set[int] = set()
         for frame in frames:
-            out = []
+            out, rows = [], 0
             for text in frame["text"]:
                 found = shingles(text, n)
                 size = len(found)
@@ -209,8 +209,15 @@ def _postings(n: int, percent: int, frequent):
                 prefix = size - -(-percent * size // 100) + 1
                 first = found[np.argsort(rank, kind="stable")[:prefix]]
                 out.append((first.view("i8"), np.full(prefix, size, dtype="i4"), np.arange(prefix, dtype="i4"), np.full(prefix, key, dtype="i8")))
+                rows += prefix
+                if rows > 200_000:
+                    yield made(out)
+                    out, rows = [], 0
             if out:
-                yield pd.DataFrame(dict(zip(("h", "n", "pos", "key"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield made(out)
+
+    def made(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("h", "n", "pos", "key"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -419,22 +426,23 @@ def _verified(documents: DataFrame, routes: DataFrame, n: int, percent: int) ->
         yield pd.DataFrame({"a": a, "b": b})
 
     k = partitions(documents.sparkSession)
-    routed = texts.mapInPandas(sets, "leader long, block long, key long, found binary").repartition(k, "leader", "block").sortWithinPartitions("leader", "block", "key")
-    return checkpointed(routed.mapInPandas(compared, "a long, b long").distinct())
+    routed = texts.mapInPandas(lean(sets), "leader long, block long, key long, found binary").repartition(k, "leader", "block").sortWithinPartitions("leader", "block", "key")
+    return checkpointed(routed.mapInPandas(lean(compared), "a long, b long").distinct())
 
 
 def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
     """doc_id, n_shingles, component_id of every document; ids are long or string."""
     spark = documents.sparkSession
+    small_batches(spark)
     documents = documents.select(F.col(id_col).cast(id_type).alias("doc_id"), whole(text_col).alias("text"))
     k = partitions(spark)
-    seen = checkpointed(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_seen(n, 2 * k), SEEN))
+    seen = checkpointed(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(lean(_seen(n, 2 * k)), SEEN))
     counts = checkpointed(seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long"))
     frequent = spark.sparkContext.broadcast(_top(counts, FREQUENT))
     own = seen.filter("part is null").select(F.col("doc_id").cast(id_type).alias("doc_id"), "n", "key")
     del seen, counts  # of what counted, only short rows stay
     own = checkpointed(own)
-    groups = checkpointed(documents.select("text").mapInPandas(_postings(n, percent, frequent), POSTING).repartition(k, "h").sortWithinPartitions("h", "key").mapInPandas(_lists(percent), LISTED).distinct())
+    groups = checkpointed(documents.select("text").mapInPandas(lean(_postings(n, percent, frequent)), POSTING).repartition(k, "h").sortWithinPartitions("h", "key").mapInPandas(lean(_lists(percent)), LISTED).distinct())
     classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
     found = _verified(documents, _dealt(groups, classes, percent), n, percent)
     named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")

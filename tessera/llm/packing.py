@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.base import checkpointed, whole
+from tessera.llm.base import checkpointed, lean, small_batches, whole
 
 
 class Fit:
@@ -98,8 +98,9 @@ def pieces(documents: DataFrame, ranks_path: str, pattern: str, window: int, end
                     rows.append((doc, start, len(part) // 4, zlib.crc32(part), total))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(documents.sparkSession)
     # ids come and go as text: through floats they would lose their last bits beside nulls
-    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), whole("text").alias("text")).mapInPandas(run, PIECE)
+    return documents.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), whole("text").alias("text")).mapInPandas(lean(run), PIECE)
 
 
 def packed(documents: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end_id: int = 0, group: int = 20_000) -> DataFrame:

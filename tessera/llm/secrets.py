@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import checkpointed, whole
+from tessera.llm.base import checkpointed, lean, small_batches, whole
 
 #: Grows whenever a rule changes: blobs are then scanned anew.
 RULE_VERSION = 1
@@ -93,13 +93,14 @@ def addressed(history: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def scan_blobs(history: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
     """New ledger rows: the findings of every blob that ``ledger`` lacks under ``rule_version``."""
+    small_batches(history.sparkSession)
     blobs = addressed(history, id_col, text_col).select("blob", "text")
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
         unseen = checkpointed(blobs.select("blob").distinct().join(seen, "blob", "left_anti"))
-        few = unseen.count() * 100 <= BROADCAST_KEYS
+        few = unseen.count() * 200 <= BROADCAST_KEYS
         blobs = blobs.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
-    return blobs.mapInPandas(_scan, FOUND).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
+    return blobs.mapInPandas(lean(_scan), FOUND).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
 
 
 def advanced(history: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:

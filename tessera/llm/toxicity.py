@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import whole
+from tessera.llm.base import small_batches, whole
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ӏ": "l", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g"}
@@ -271,6 +271,7 @@ OUTPUT = ("held_out", "score", "predicted")
 
 def scored(documents: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
     """``documents`` with held_out, score and predicted."""
+    small_batches(documents.sparkSession)
     documents = documents.drop(*OUTPUT)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
