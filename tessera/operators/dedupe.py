@@ -23,8 +23,8 @@ def first_wins(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def is_error(prediction: str = "prediction", error: str | None = None) -> Column:
-    """An error row: the sentinel, or a filled error column."""
-    out = F.col(prediction) == "[ERROR]"
+    """An error row: the sentinel, or a filled error column; a null prediction is no error."""
+    out = F.coalesce(F.col(prediction) == "[ERROR]", F.lit(False))
     return out | (F.coalesce(F.col(error), F.lit("")) != "") if error else out
 
 

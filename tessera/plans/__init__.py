@@ -1,6 +1,6 @@
 """Queries by family; importing this package registers them."""
 
-from tessera.plans import facts, flows, solvers, statistics, texts
+from tessera.plans import facts, flows, resampling, solvers, statistics, texts
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "facts", "flows", "solvers", "statistics", "texts"]
+__all__ = ["ORACLES", "QUERIES", "facts", "flows", "resampling", "solvers", "statistics", "texts"]

@@ -24,9 +24,16 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+
+
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, question_id, object_id, modality, source, viz_type, difficulty, task, question, answer, prediction, exact_match, latency, ord_a .. ord_c."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    return _evaluated(spark, sf_dir, _lines(spark, sf_dir))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     key = F.col("l_orderkey")
@@ -82,9 +89,16 @@ KEY = ("model", "question_id", "viz_type")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each (model, question_id, viz_type) the last evaluation.
+
+    Flag, order and line number name that key, so the last row is found before the join and
+    before the key's strings are made, in the partitioning by order that the join also uses.
+    """
     from tessera.operators.dedupe import last_wins
 
-    return last_wins(evaluation_rows(spark, sf_dir), KEY, ORDER)
+    lines = _lines(spark, sf_dir).repartition("l_orderkey")
+    last = last_wins(lines, ["l_returnflag", "l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
+    return _evaluated(spark, sf_dir, last)
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
