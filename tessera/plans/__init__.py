@@ -1,6 +1,6 @@
 """Queries by family; importing this package registers them."""
 
-from tessera.plans import answerable, facts, flows, reports, resampling, solvers, statistics, texts
+from tessera.plans import answerable, facts, flows, reports, resampling, solvers, statistics, templates, texts
 from tessera.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answerable", "facts", "flows", "reports", "resampling", "solvers", "statistics", "texts"]
+__all__ = ["ORACLES", "QUERIES", "answerable", "facts", "flows", "reports", "resampling", "solvers", "statistics", "templates", "texts"]
