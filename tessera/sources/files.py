@@ -186,3 +186,77 @@ def latex(rows: DataFrame, columns: Sequence[str], decimals: int = 2) -> str:
     body = _cells(rows, columns, decimals, escape)
     lines = [" & ".join(x) + r" \\" for x in [[escape(c) for c in columns], *body]]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", lines[0], r"\midrule", *lines[1:], r"\bottomrule", r"\end{tabular}"])
+
+
+def read_config(path: str) -> dict:
+    """A configuration of nested ``key: value`` lines, by indentation; numbers, booleans and null as such. Read on the driver: it is small."""
+    root: dict = {}
+    stack = [(-1, root)]
+    with open(path) as lines:
+        for line in lines:
+            bare = line.split(" #")[0].rstrip()
+            if not bare.strip() or bare.lstrip().startswith("#"):
+                continue
+            depth = len(bare) - len(bare.lstrip())
+            key, _, text = bare.strip().partition(":")
+            while stack[-1][0] >= depth:
+                stack.pop()
+            if text.strip():
+                stack[-1][1][key] = _scalar(text.strip())
+            else:
+                stack[-1][1][key] = child = {}
+                stack.append((depth, child))
+    return root
+
+
+def _scalar(text: str):
+    plain = {"true": True, "false": False, "null": None, "~": None}
+    if text.lower() in plain:
+        return plain[text.lower()]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text.strip("\"'")
+
+
+def read_all_jsonl(spark: SparkSession, folder: str, schema: str, strict: bool = True) -> DataFrame:
+    """All JSON-lines files of a folder, as one."""
+    return read_jsonl(spark, f"{folder}/*.jsonl", schema, strict)
+
+
+def png_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """path, width, height of each PNG, from its header alone; null for files that aren't PNGs."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(folder)
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
+    return found.select("path", F.when(png, number(17)).alias("width"), F.when(png, number(21)).alias("height"))
+
+
+def assembled_ratings(spark: SparkSession, sheets: dict[str, str]) -> DataFrame:
+    """Sheets of several annotators, (name, path), in long form with ``evaluator``; columns that a sheet lacks are null."""
+    if not sheets:
+        raise ValueError("there's no sheet")
+    frames = [spark.read.option("header", True).csv(path).withColumn("evaluator", F.lit(name)) for name, path in sheets.items()]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
+def write_items(items: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Benchmark items as JSON lines with just these columns, nulls kept."""
+    items.select(*columns).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def bundle(results: dict[str, DataFrame]) -> DataFrame:
+    """(name, json): result tables, each as one JSON array in row order of its JSON; for results of few rows."""
+    out = None
+    for name, rows in results.items():
+        text = F.to_json(F.struct(*rows.columns))
+        one = rows.select(text.alias("j")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ","), F.lit("]")).alias("json")).select(F.lit(name).alias("name"), "json")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("there's no result")
+    return out
