@@ -36,7 +36,7 @@ from tessera.llm.base import checkpointed, whole
 
 #: The most words folded ahead: some 100 bytes each are sent to every executor.
 DICTIONARY = 786_432
-#: Entries of the arrays that hashes index; a prime for the pairs' numbers.
+#: Entries of the arrays that hashes index; a prime for the pairs' numbers, a power of two for words.
 RANK_BUCKETS, PAIR_BUCKETS, WORD_BUCKETS = 65_536, 131_071, 262_144
 #: A pair's number is its first rank times this and its second.
 PAIR = 1 << 20
@@ -152,7 +152,7 @@ class Vocabulary:
         counts = words.groupBy("word").agg(F.count("*").alias("n")).filter((F.length("word") < 100) & (F.col("n") > 1))
         top = checkpointed(counts.orderBy(F.desc("n"), "word").limit(most).repartition(64))
         spelled = let(self.word_ids(F.col("word")), self.spelled)
-        entries = checkpointed(top.select(F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).alias("bucket"), "word", spelled.alias("spelled")))
+        entries = checkpointed(top.select(F.xxhash64("word").bitwiseAND(WORD_BUCKETS - 1).alias("bucket"), "word", spelled.alias("spelled")))
         self.dictionary = self._indexed(entries, F.struct("word", "spelled"), WORD_BUCKETS, "struct<word:string,spelled:struct<ids:string,decoded:string>>")
 
     def parts(self, text: Column) -> Column:
@@ -162,7 +162,7 @@ class Vocabulary:
             here = let(self.word_ids(word), self.spelled)
             if self.dictionary is None:
                 return here
-            bucket = F.get(self.dictionary, F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int"))
+            bucket = F.get(self.dictionary, F.xxhash64(word).bitwiseAND(WORD_BUCKETS - 1).cast("int"))
             return F.coalesce(F.try_element_at(bucket, word), here)
 
         return F.transform(self.words(text), part)
@@ -174,6 +174,6 @@ OUTPUT = ("n_tokens", "ids", "decoded")
 def round_trip(documents: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """``documents`` with n_tokens, ids (binary: little-endian unsigned 32-bit integers) and decoded (binary: what the ids stand for)."""
     rows = documents.drop(*OUTPUT).withColumn("__parts", vocabulary.parts(whole(text_col)))
-    joined = lambda side: F.array_join(F.transform("__parts", lambda p: p[side]), "").cast("binary")
+    joined = lambda side: F.array_join(F.col("__parts")[side], "").cast("binary")
     rows = rows.withColumn("ids", joined("ids")).withColumn("decoded", joined("decoded"))
     return rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).drop("__parts")
