@@ -7,9 +7,9 @@ run scans only pairs that it lacks and joins all findings back to all paths.
 
 Without a ledger all blobs are unseen: texts are scanned where they are, a text that
 a task meets again only once, and ledger rows of one blob are merged after. With a
-ledger, keys alone are moved to find the unseen blobs; their keys are sent to the
-texts while they take at most ``BROADCAST_KEYS`` bytes, beyond that both are joined
-by a shuffle. No other text is moved, and a hot blob costs no more than any other.
+ledger, keys alone are moved to find the unseen blobs, and texts are joined with them
+by their keys, which moves each text once, copies too; those of one text meet in one
+task, which scans the first and passes over the rest.
 
 Null texts count as empty, empty texts are blobs without findings, repeated rows
 give repeated result rows, an empty table an empty result. Columns that the
@@ -30,8 +30,6 @@ from tessera.llm.base import checkpointed, lean, small_batches, whole
 
 #: Grows whenever a rule changes: blobs are then scanned anew.
 RULE_VERSION = 1
-#: Up to so many bytes of keys of unseen blobs are sent to every executor.
-BROADCAST_KEYS = 16_000_000
 #: The base rules, in the order in which kinds sort at one start.
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -97,9 +95,8 @@ def scan_blobs(history: DataFrame, ledger: DataFrame | None = None, id_col: str
     blobs = addressed(history, id_col, text_col).select("blob", "text")
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        unseen = checkpointed(blobs.select("blob").distinct().join(seen, "blob", "left_anti"))
-        few = unseen.count() * 200 <= BROADCAST_KEYS
-        blobs = blobs.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
+        unseen = blobs.select("blob").distinct().join(seen, "blob", "left_anti")
+        blobs = blobs.join(unseen, "blob", "left_semi")
     return blobs.mapInPandas(lean(_scan), FOUND).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
 
 
