@@ -16,7 +16,8 @@ Components become floor(scale * x), so scores are exact integers: float products
 up to 2**53, Python's integers beyond. Ties go to the smaller id, also in pruning:
 a pair of nodes is dropped only if its bound is strictly less. Vectors that are
 null or empty, or hold null or non-finite components, take no part, nor do rows
-without an id; vectors of different lengths don't meet. Rows that repeat an id are
+without an id; nor, as their scores would not fit a long, vectors with a scaled
+component of 2**62 or more. Vectors of different lengths don't meet. Rows that repeat an id are
 candidates each; a query's own id is none. An empty table gives an empty result;
 other columns are not read.
 """
