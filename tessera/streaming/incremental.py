@@ -18,23 +18,24 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def score_incrementally(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str] = ("question_id", "viz_type"), order: str = "ord") -> StreamingQuery:
-    """Scores new rows and appends those whose key isn't in ``target`` as a good row yet.
+    """Scores new rows and adds those whose key isn't in ``target`` as a good row yet.
 
-    Each micro-batch is an anti join with what is there, so running it again adds
-    nothing and error rows are tried anew. All that is available is handled, then
-    the query ends.
+    Each micro-batch is an anti join with the keys that batches before it wrote, and is
+    written to a folder of its own, ``batch``, anew: one that stopped half way leaves
+    nothing behind when it runs again. Error rows are tried anew. All that is available
+    is handled, then the query ends.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = last_good(batch, list(key), [order], keep_only_errors=True)
         try:
-            done = spark.read.parquet(target).filter(~is_error()).select(*key)
+            done = spark.read.parquet(target).filter((F.col("batch") != number) & ~is_error()).select(*key)
             fresh = fresh.join(done, list(key), "left_anti")
         except Exception as error:  # the first batch: nothing is there
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-        scored(fresh).write.mode("append").parquet(target)
+        scored(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
