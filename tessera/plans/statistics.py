@@ -135,17 +135,26 @@ def format_ensemble(spark, sf_dir):
     return e.join(q, ["model", "question_id"]).groupBy("model").agg(F.count("*").alias("n"), F.avg("right").alias("ensemble"), F.round(F.avg("r"), 9).alias("random"), F.avg("o").alias("oracle"), F.avg("w").alias("worst"))
 
 
-@query("ensemble_curve", W + FACTS + f""", z AS (SELECT model, question_id, prediction, exact_match, rep, row_number() OVER (PARTITION BY model, question_id, rep ORDER BY {HASH.format("rep || ':' || viz_type")}, viz_type) AS place, viz_type FROM facts, range(6) t(rep)),
-y AS (SELECT z.*, k FROM z, range(1, 4) s(k) WHERE place <= k), c AS (SELECT model, question_id, rep, k, prediction, count(*) AS votes, min(place) AS first, max(exact_match) AS top FROM y GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY model, question_id, rep, k ORDER BY votes DESC, first) AS rn FROM c)
-SELECT model, k::INT AS k, avg((top >= 0.5)::INT) AS accuracy FROM w WHERE rn = 1 GROUP BY ALL""")
-def ensemble_curve(spark, sf_dir):
-    """Votes of k formats drawn by hash, six draws: a question's formats, at most seven, stay in its group."""
-    z = facts(spark, sf_dir).select("model", "question_id", "viz_type", "prediction", "exact_match", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("rep"))
+def ensemble_sql(most, draws):
+    return W + FACTS + f""", z AS (SELECT model, question_id, prediction, exact_match, rep, row_number() OVER (PARTITION BY model, question_id, rep ORDER BY {HASH.format("rep || ':' || viz_type")}, viz_type) AS place, viz_type FROM facts, range({draws}) t(rep)),
+y AS (SELECT z.*, k FROM z, range(1, {most + 1}) s(k) WHERE place <= k), c AS (SELECT model, question_id, rep, k, prediction, count(*) AS votes, min(place) AS first, max(exact_match) AS top FROM y GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY model, question_id, rep, k ORDER BY votes DESC, first) AS rn FROM c)
+SELECT model, k::INT AS k, avg((top >= 0.5)::INT) AS accuracy FROM w WHERE rn = 1 GROUP BY ALL"""
+
+
+def ensemble_accuracy(spark, sf_dir, most, draws):
+    """Votes of k formats drawn by hash: a question's formats, at most seven, stay in its group."""
+    z = facts(spark, sf_dir).select("model", "question_id", "viz_type", "prediction", "exact_match", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep"))
     order = Window.partitionBy("model", "question_id", "rep").orderBy(st.hashed(F.col("rep"), F.col("viz_type")), "viz_type")
-    z = z.withColumn("place", F.row_number().over(order)).filter("place <= 3").withColumn("k", F.explode(F.sequence(F.col("place"), F.lit(3))))
+    z = z.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).withColumn("k", F.explode(F.sequence(F.col("place"), F.lit(most))))
     return st.majority_vote(z, ["model", "question_id", "rep", "k"], F.col("prediction"), "place", "exact_match").groupBy("model", "k").agg(F.avg("right").alias("accuracy"))
 
 
+@query("ensemble_curve", ensemble_sql(3, 6))
+def ensemble_curve(spark, sf_dir):
+    """Up to three formats, six draws."""
+    return ensemble_accuracy(spark, sf_dir, 3, 6)
+
+
 SPLIT = FACTS + """, h AS (SELECT *, ('0x' || substr(md5(question_id), 32, 1))::INT % 2 = 0 AS train FROM facts), m AS (SELECT modality, task, viz_type, avg(exact_match) AS em FROM h WHERE train GROUP BY ALL), b AS (SELECT modality, task, viz_type AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY modality, task ORDER BY em DESC, viz_type) AS rn FROM m) WHERE rn = 1)"""
 
 
@@ -157,17 +166,25 @@ def format_selector(spark, sf_dir):
     return out.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("selected"), F.round(F.avg("mean"), 9).alias("random"))
 
 
-@query("majority_prior_folds", W + ROWS + f""", i AS (SELECT DISTINCT question_id, object_id, task, answer FROM aer), o AS (SELECT *, {HASH.format("s || ':' || object_id")} % 2 AS fold, s FROM i, range(5) t(s)), c AS (SELECT s, fold, task, answer, count(*) AS k FROM o GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, fold, task ORDER BY k DESC, answer) AS rn FROM c) WHERE rn = 1)
-SELECT o.s::INT AS s, count(*) AS n, avg(coalesce((o.answer = b.answer)::INT, 0)) AS accuracy FROM o LEFT JOIN b ON o.s = b.s AND o.task = b.task AND o.fold = 1 - b.fold GROUP BY o.s""")
-def majority_prior_folds(spark, sf_dir):
-    """Two folds of objects by hash, five seeds: each question is answered by its task's majority in the other fold."""
+def prior_sql(seeds):
+    return W + ROWS + f""", i AS (SELECT DISTINCT question_id, object_id, task, answer FROM aer), o AS (SELECT *, {HASH.format("s || ':' || object_id")} % 2 AS fold, s FROM i, range({seeds}) t(s)), c AS (SELECT s, fold, task, answer, count(*) AS k FROM o GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, fold, task ORDER BY k DESC, answer) AS rn FROM c) WHERE rn = 1)
+SELECT o.s::INT AS s, count(*) AS n, avg(coalesce((o.answer = b.answer)::INT, 0)) AS accuracy FROM o LEFT JOIN b ON o.s = b.s AND o.task = b.task AND o.fold = 1 - b.fold GROUP BY o.s"""
+
+
+def prior_accuracy(spark, sf_dir, seeds):
+    """Two folds of objects by hash, as many seeds: each question is answered by its task's majority in the other fold."""
     i = evaluation_rows(spark, sf_dir).select("question_id", "object_id", "task", "answer").distinct()
-    o = i.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("fold", F.pmod(st.hashed(F.col("s"), F.col("object_id")), F.lit(2)))
+    o = i.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("fold", F.pmod(st.hashed(F.col("s"), F.col("object_id")), F.lit(2)))
     c = o.groupBy("s", "fold", "task", "answer").agg(F.count("*").alias("k"))
     b = c.withColumn("rn", F.row_number().over(Window.partitionBy("s", "fold", "task").orderBy(F.desc("k"), "answer"))).filter("rn = 1").select("s", (1 - F.col("fold")).alias("fold"), "task", F.col("answer").alias("guess"))
     return o.join(b, ["s", "fold", "task"], "left").groupBy("s").agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col("answer") == F.col("guess")).cast("int"), F.lit(0))).alias("accuracy"))
 
 
+@query("majority_prior_folds", prior_sql(5))
+def majority_prior_folds(spark, sf_dir):
+    return prior_accuracy(spark, sf_dir, 5)
+
+
 @query("two_by_two", W + FACTS + """, c AS (SELECT modality, avg(exact_match) FILTER (WHERE model = 'N' AND viz_type = 'text_only') AS a, avg(exact_match) FILTER (WHERE model = 'N' AND viz_type = 'bar_chart') AS b, avg(exact_match) FILTER (WHERE model = 'R' AND viz_type = 'text_only') AS c, avg(exact_match) FILTER (WHERE model = 'R' AND viz_type = 'bar_chart') AS d FROM facts GROUP BY modality)
 SELECT modality, round((b + d - a - c) / 2, 9) AS format_effect, round((c + d - a - b) / 2, 9) AS assist_effect, round(d - c - b + a, 9) AS interaction FROM c""")
 def two_by_two(spark, sf_dir):
