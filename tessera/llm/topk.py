@@ -1,7 +1,8 @@
 """Exact top-k inner-product search with two cover trees.
 
-Rows are dealt into blocks: to the nearest of a bounded number of pivots, then,
-evenly, to as many blocks a pivot as its rows need, so no block outgrows a task.
+Rows are dealt into blocks: to the nearest of a number of pivots that grows with the
+rows, a pivot a block, up to ``MAX_PIVOTS``, then, evenly, to as many blocks a pivot as
+its rows need, so no block outgrows a task.
 A task builds a block's cover tree; queries get trees of their own the same way.
 A pair of trees is searched from both roots: of a query node with centre q and
 covering radius r and a row node with centre x and radius s, no inner product
@@ -36,6 +37,10 @@ from pyspark.sql import functions as F
 from tessera.llm.base import checkpointed
 
 LEAF, FANOUT = 48, 24
+#: The least and the most pivots; they are collected, so their number is bounded.
+MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+#: Rows whose distances to all pivots are in memory at once.
+NEAR = 1024
 #: Sums of products up to this are exact in doubles.
 EXACT = 2.0**52
 
@@ -187,8 +192,9 @@ def _grow(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(frame["block"].iloc[0]), dims, len(frame), tree.points[tree.centre[0]].astype("f8").tobytes(), float(tree.radius[0]), tree.packed())], columns=["block", "dims", "n", "centre", "radius", "tree"])
 
 
-def _blocks(rows: DataFrame, size: int, pivots: int) -> DataFrame:
-    """One row a block: its root and its tree. ``pivots`` rows, by hash of their ids, are the sample that the dealing is fitted on."""
+def _blocks(rows: DataFrame, size: int, pivots: int | None, least: int = MIN_PIVOTS) -> DataFrame:
+    """One row a block: its root and its tree. ``pivots`` rows, by hash of their ids, are the sample that the dealing is fitted on; by default one a block, within bounds."""
+    pivots = pivots or min(MAX_PIVOTS, max(least, -(-rows.count() // size)))
     sample = [(r["dims"], r["vector"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("dims", "vector").collect()]
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,8 +205,10 @@ def _blocks(rows: DataFrame, size: int, pivots: int) -> DataFrame:
                 at = np.nonzero(dims == d)[0]
                 own = [v for s, v in sample if s == d]
                 if own:
-                    x, p = _points(frame["vector"].iloc[at], d).astype("f8"), _points(own, d).astype("f8")
-                    cell[at] = np.argmin((p * p).sum(1)[None, :] - 2 * (x @ p.T), axis=1)
+                    p = _points(own, d).astype("f8")
+                    for some in np.split(at, range(NEAR, len(at), NEAR)):
+                        x = _points(frame["vector"].iloc[some], d).astype("f8")
+                        cell[some] = np.argmin((p * p).sum(1)[None, :] - 2 * (x @ p.T), axis=1)
                 cell[at] += int(d) * (pivots + 1)
             yield frame.assign(cell=cell)
 
@@ -214,13 +222,13 @@ def _blocks(rows: DataFrame, size: int, pivots: int) -> DataFrame:
 FOUND = "query_id long, vec_id long, score long"
 
 
-def top_k(vectors: DataFrame, queries, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, query_block: int = 1024, pivots: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, queries, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, query_block: int = 1024, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score. ``queries``: a condition on a column ``id`` that chooses the query rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter("id is not null").mapInPandas(lambda frames: _integers(frames, scale), "id long, dims long, vector binary")
     rows = checkpointed(rows)
     # a query id that repeats asks once, with the vector that is least as bytes
     asked = rows.filter(queries).groupBy("id").agg(F.min(F.struct("dims", "vector")).alias("v")).select("id", "v.dims", "v.vector")
-    data, wanted = _blocks(rows, block, pivots), _blocks(asked, query_block, 4)
+    data, wanted = _blocks(rows, block, pivots), _blocks(checkpointed(asked), query_block, None, 4)
     roots = data.select(F.col("block").alias("d_block"), "dims", F.col("centre").alias("d_centre"), F.col("radius").alias("d_radius"))
     # roots only, a few hundred bytes a block of thousands of rows, meet here
     bound = F.pandas_udf(_root_bounds, "double")("centre", "radius", "d_centre", "d_radius")

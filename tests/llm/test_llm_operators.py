@@ -222,14 +222,15 @@ def test_quality_rates(spark):
         assert got[h, p]["path_rate"] == pytest.approx((sum(x) + path_pull * host) / (len(x) + path_pull))
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_top_k(spark, monkeypatch, large):
+@pytest.mark.parametrize("large, block, pivots", [(False, 64, 5), (True, 64, 5), (False, 8, None)])
+def test_top_k(spark, monkeypatch, large, block, pivots):
     monkeypatch.setattr(topk, "LEAF", 8)
+    monkeypatch.setattr(topk, "NEAR", 50)
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(150, 6)) + c for c in (0, 4, -4)]) * (2.0**16 if large else 1)
     x[7] = x[8] = x[9]  # ties
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [None] * 6), (902, [float("nan")] * 6), (1000, [1.0, 2.0]), (None, [1.0] * 6)]
-    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 50 = 0", k=10, block=64, query_block=4, pivots=5)
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 50 = 0", k=10, block=block, query_block=4, pivots=pivots)
     got = {}
     for r in out.collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
