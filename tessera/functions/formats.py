@@ -64,7 +64,10 @@ def quoted(text: Column) -> Column:
 
 
 def placeholder(context: Column, most: int = 140) -> Column:
-    return F.substring(F.split_part(F.trim(context), F.lit("."), F.lit(1)), 1, most)
+    """A text's first sentence, of at most ``most`` characters; null and empty ones have a fixed name."""
+    stripped = F.regexp_replace(F.coalesce(context, F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    first = F.substring(F.split_part(stripped, F.lit("."), F.lit(1)), 1, most)
+    return F.when(first == "", "structured sample").otherwise(first)
 
 
 def rating(raw: Column) -> Column:
@@ -74,6 +77,10 @@ def rating(raw: Column) -> Column:
     return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown rating: "), F.coalesce(raw, F.lit("null")))).cast("string"))
 
 
-def public(rows: DataFrame) -> DataFrame:
-    """``rows`` without internal columns, whose names begin with an underscore."""
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+#: Fields that items given to raters don't carry.
+INTERNAL = ("source_type", "modality", "difficulty")
+
+
+def public(rows: DataFrame, internal: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` without internal columns: those named, and those whose names begin with an underscore."""
+    return rows.drop(*internal, *[c for c in rows.columns if c.startswith("_")])

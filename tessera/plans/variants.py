@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring
+from tessera.functions import formats, scoring
 from tessera.operators import aggregate, dedupe, graph
 from tessera.operators import statistics as st
 from tessera.plans.registry import ORACLES, query
@@ -115,16 +115,12 @@ def items_merged(spark, sf_dir):
     return dedupe.first_wins(rows, ["id"], ["place", "text"]).select("id", "source", "source_file", "size")
 
 
-#: Fields that a published item doesn't carry.
-INTERNAL = ("source_type", "modality", "difficulty")
-
-
-@query("listed_items", W + ROWS + ", q AS (SELECT DISTINCT question_id, object_id, question, answer FROM aer WHERE modality = 'tabular') SELECT question_id, question, answer FROM q WHERE object_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND " + HASH.format("question_id") + " % 4 = 1")
+@query("listed_items", W + ROWS + ", q AS (SELECT DISTINCT question_id, object_id, question, answer FROM aer WHERE modality = 'tabular') SELECT question_id, question, answer FROM q WHERE object_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def listed_items(spark, sf_dir):
-    """Items of one modality, of listed objects, of shard 1 of 4, without internal fields."""
+    """Items of one modality and of listed objects, without internal fields."""
     items = evaluation_rows(spark, sf_dir).filter("modality = 'tabular'").select("question_id", "object_id", "question", "answer", "modality", "difficulty").distinct()
     listed = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("object_id"))
-    return items.join(listed, "object_id", "left_semi").filter(F.pmod(st.hashed(F.col("question_id")), F.lit(4)) == 1).drop("object_id", *INTERNAL)
+    return formats.public(items.join(listed, "object_id", "left_semi").drop("object_id"), formats.INTERNAL)
 
 
 @query("reading_sample", W + ROWS + ", q AS (SELECT DISTINCT question_id, modality FROM aer) SELECT question_id, modality FROM q ORDER BY " + HASH.format("'42:' || question_id") + ", question_id LIMIT 500")
@@ -137,9 +133,8 @@ def reading_sample(spark, sf_dir):
 @query("placeholder_answers", r"""SELECT doc_id, 'From the given context, what is the key insight for ' || coalesce(lang, '') || '?' AS question, coalesce(nullif(left(split_part(regexp_replace(coalesce(text, ''), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g'), '.', 1), 140), ''), 'structured sample') AS answer FROM documents""")
 def placeholder_answers(spark, sf_dir):
     """A text's first sentence, 140 characters at most, as the answer of a fixed question."""
-    first = F.substring(F.split_part(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+$", ""), F.lit("."), F.lit(1)), 1, 140)
     question = F.concat(F.lit("From the given context, what is the key insight for "), F.coalesce("lang", F.lit("")), F.lit("?"))
-    return read(spark, sf_dir, "documents").select("doc_id", question.alias("question"), F.when(first == "", "structured sample").otherwise(first).alias("answer"))
+    return read(spark, sf_dir, "documents").select("doc_id", question.alias("question"), formats.placeholder(F.col("text")).alias("answer"))
 
 
 @query("table_variants", W + PART + """, s AS (SELECT data_id, round(quantile_cont(size, 0.45), 2) AS a, round(quantile_cont(size, 0.6), 2) AS b FROM part_rows GROUP BY ALL)
