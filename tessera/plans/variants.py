@@ -9,9 +9,9 @@ from tessera.functions import formats, scoring
 from tessera.operators import aggregate, dedupe, graph
 from tessera.operators import statistics as st
 from tessera.plans.registry import ORACLES, query
-from tessera.plans.solvers import PART, all_t, by_t, parts
+from tessera.plans.solvers import PART, all_t, by_t, parts, series_changes, series_extremes
 from tessera.plans.statistics import HASH, RATERS, ensemble_accuracy, ensemble_sql, prior_accuracy, prior_sql, raters
-from tessera.plans.templates import COMPONENT, DEGREES, series_graph_context
+from tessera.plans.templates import COMPONENT, DEGREES, series_counterfactuals, series_graph_context
 from tessera.sources.adapters import FACTS, GRAPHS, ROWS, SERIES, evaluation_rows, facts, graphs, read, series
 
 W = "WITH "
@@ -248,3 +248,33 @@ def series_graph_templates(spark, sf_dir):
     s = series(spark, sf_dir).groupBy(F.col("data_id").alias("series_id")).agg(F.avg("value").alias("mean"), F.max("value").alias("most"), F.bround(F.median("value")).alias("whole_median"), F.round(F.stddev_pop("value"), 9).alias("std"))
     both = x.join(s, "series_id").join(F.broadcast(shapes(*graphs(spark, sf_dir))), "graph_id")  # seven graphs
     return asked(both, ["series_id", "graph_id"], SERIES_GRAPH)
+
+
+#: Difficulty, task and answer of each question of a series, in pool order.
+SERIES_ITEMS = (
+    *(("1-hop", task, f"CAST({task} AS VARCHAR(20))") for task in ("peak", "trough", "n", "trend")),
+    *(("2-hop", task, f"CAST({task} AS VARCHAR(20))") for task in ("sign_changes", "local_maxima", "median_relation")),
+    *(("3-hop", task, task) for task in ("same_direction", "peak_after_trough", "wide", "stronger_change", "high_maxima")),
+    *(("counterfactual", task, task) for task in ("scale_peak", "half_shift", "sign_flip", "translation", "scaled_trend")),
+)
+#: Of each five of twenty series, the items of each difficulty; and the items of a series.
+PLAN = ((8, 8, 6, 3), (7, 7, 7, 4), (7, 8, 6, 4), (8, 7, 6, 4))
+ITEMS_EACH = 25
+LEVELS = ("1-hop", "2-hop", "3-hop", "counterfactual")
+PLACED = [(p + 1, LEVELS.index(d) + 1, sum(e[0] == d for e in SERIES_ITEMS[: p + 1]), d, task, sql) for p, (d, task, sql) in enumerate(SERIES_ITEMS)]
+
+
+@query("series_items", W + ", ".join(f"{a} AS ({ORACLES[n]})" for a, n in (("e", "series_extremes"), ("g", "series_changes"), ("f", "series_counterfactuals"))) + ", s AS (" + ORACLES["series_structure"] + "), x AS (SELECT * FROM e JOIN g USING (data_id) JOIN f USING (data_id) JOIN s USING (data_id)), pool AS ("
+       + " UNION ALL ".join(f"SELECT data_id, {p} AS place, {lv} AS level, {k} AS k, '{d}' AS difficulty, '{task}' AS task, {sql} AS answer FROM x" for p, lv, k, d, task, sql in PLACED)
+       + f"), c AS (SELECT *, 0 AS turn FROM pool WHERE k <= ({[list(q) for q in PLAN]})[data_id % 20 // 5 + 1][level]), a AS (SELECT * FROM c UNION ALL SELECT pool.*, 1 FROM pool JOIN (SELECT data_id, count(*) AS had FROM c GROUP BY ALL) USING (data_id) WHERE place <= {ITEMS_EACH} - had)"
+       + " SELECT data_id, row_number() OVER (PARTITION BY data_id ORDER BY turn, place)::INT AS item, difficulty, task, answer FROM a")
+def series_items(spark, sf_dir):
+    """Items of each series: of each difficulty the plan's first ones, then the pool from its start until there are enough."""
+    x = series_extremes(spark, sf_dir).join(series_changes(spark, sf_dir), "data_id").join(series_counterfactuals(spark, sf_dir), "data_id").join(series_structure(spark, sf_dir), "data_id")
+    quota = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, q)) for q in PLAN]), (F.floor(F.col("data_id") % 20 / 5) + 1).cast("int")), F.col("level"))
+    every = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(lv).alias("level"), F.lit(k).alias("k"), F.lit(d).alias("difficulty"), F.lit(task).alias("task"), F.expr(sql).alias("answer")) for p, lv, k, d, task, sql in PLACED])
+    pool = x.select("data_id", F.explode(every).alias("q")).select("data_id", "q.*").withColumn("own", F.col("k") <= quota)
+    had = F.count_if("own").over(Window.partitionBy("data_id"))  # a pool is a few rows a series
+    turns = F.array_compact(F.array(F.when(F.col("own"), 0), F.when(F.col("place") <= ITEMS_EACH - F.col("had"), 1)))
+    taken = pool.withColumn("had", had).withColumn("turn", F.explode(turns))
+    return taken.select("data_id", F.row_number().over(Window.partitionBy("data_id").orderBy("turn", "place")).alias("item"), "difficulty", "task", "answer")
