@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, html_main, jaccard, packing, quality, secrets, topk, toxicity, vector_dedup
+from tessera.llm import bpe, chat, html_main, jaccard, manifest, packing, quality, secrets, topk, toxicity, vector_dedup
 from tessera.llm.base import table, whole
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -82,7 +82,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    return manifest.document_proofs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors, "op11_manifest": op11_manifest}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
         WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -125,4 +130,26 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_manifest": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, 'x' || coalesce(source, '') AS name,
+                               list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+                                 lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+             h AS (SELECT r, doc_id, source, sha256(begun || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                          CASE WHEN crc % 2 = 1 THEN sha256(begun || coalesce(strlen(bare) || ':' || bare, '-')) ELSE sha256(begun || coalesce(strlen(text) || ':' || text, '-')) END AS found
+                   FROM (SELECT *, replace(text, chr(10), '') AS bare, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS begun FROM d)),
+             l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM h),
+             t(g, lvl, idx, n, h) AS (SELECT g, 0, idx, n, leaf FROM l
+                UNION ALL SELECT g, lvl + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY g, lvl, idx // 3),
+             u(g, lvl, idx, n, h) AS (SELECT 0::BIGINT, 0, g - 1, count(*) OVER (), h FROM t WHERE n = 1
+                UNION ALL SELECT g, lvl + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY g, lvl, idx // 3),
+             v AS (SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                          coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+                   FROM (FROM t UNION ALL FROM u) WINDOW w AS (PARTITION BY g, lvl, idx // 3 ORDER BY idx)),
+             x(r, g, lvl, idx, now, proof, over) AS (SELECT r, g, 0, idx, found, '', false FROM l
+                UNION ALL SELECT x.r, CASE WHEN v.n = 1 THEN 0 ELSE x.g END, CASE WHEN v.n = 1 THEN 0 ELSE x.lvl + 1 END, CASE WHEN v.n = 1 THEN x.g - 1 ELSE x.idx // 3 END,
+                                 CASE WHEN v.n = 1 THEN now ELSE sha256(before || now || after) END, CASE WHEN v.n = 1 THEN proof ELSE proof || before || after END, v.n = 1 AND x.g = 0
+                          FROM x JOIN v ON x.g = v.g AND x.lvl = v.lvl AND x.idx = v.idx WHERE NOT over)
+        SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.h AS verified
+        FROM x JOIN l ON x.r = l.r JOIN t s ON s.g = l.g AND s.n = 1 JOIN u root ON root.n = 1 WHERE over""",
 }
