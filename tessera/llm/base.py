@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,22 +13,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset and no folder was chosen (tests) a temporary one is taken.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``, only where that is unset and none was chosen (tests) a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of what isn't referenced any more go when both collectors have run, not at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the cluster's shared checkpoint folder."""
+    spark = df.sparkSession
+    _shared_folder(spark)
     kept = df.checkpoint(eager=True)
     del df
-    # the shuffle files of what isn't referenced any more go when both collectors have run, not at some later time
-    gc.collect()
-    context._jvm.System.gc()
+    _let_go(spark)
+    return kept
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a Parquet table in the shared checkpoint folder: small, and read by columns."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    del df
+    _let_go(spark)
     return kept
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, html_main, jaccard, manifest, packing, quality, secrets, topk, toxicity, vector_dedup
+from tessera.llm import bpe, chat, collocations, html_main, jaccard, manifest, packing, quality, secrets, topk, toxicity, vector_dedup
 from tessera.llm.base import table, whole
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,7 +87,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_proofs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors, "op11_manifest": op11_manifest}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score of each language's 2000 best phrases."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors, "op11_manifest": op11_manifest, "op12_collocations": op12_collocations}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
         WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -152,4 +157,18 @@ ORACLE_SQL: dict[str, str] = {
                           FROM x JOIN v ON x.g = v.g AND x.lvl = v.lvl AND x.idx = v.idx WHERE NOT over)
         SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = root.h AS verified
         FROM x JOIN l ON x.r = l.r JOIN t s ON s.g = l.g AND s.n = 1 JOIN u root ON root.n = 1 WHERE over""",
+    "op12_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+             g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, range(1, 5) r(k) WHERE len(w) >= k),
+             s AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+             f AS (SELECT lang, k, g, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+             i AS (SELECT lang, g[i:i + m - 1] AS g, max(a) AS longer FROM f, range(2, 4) x(m), range(1, 4) y(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+             c AS (SELECT f.* FROM f LEFT JOIN i ON f.lang = i.lang AND f.g = i.g WHERE k > 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+             u AS (SELECT c.lang, c.g, c.a, l.a AS l, r.a AS r, (2000000 * c.a) // (l.a + r.a) AS score,
+                          row_number() OVER (PARTITION BY c.lang, c.g ORDER BY (2000000 * c.a) // (l.a + r.a), x.m) AS cut
+                   FROM c CROSS JOIN range(1, 4) x(m) JOIN f l ON l.lang = c.lang AND l.g = c.g[1:x.m] JOIN f r ON r.lang = c.lang AND r.g = c.g[x.m + 1:] WHERE x.m < c.k),
+             o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM u WHERE cut = 1)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN s USING (lang) WHERE rank <= 2000""",
 }
