@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, collocations, html_main, jaccard, manifest, packing, quality, secrets, topk, toxicity, vector_dedup
+from tessera.llm import bpe, chat, collocations, fingerprints, html_main, jaccard, manifest, packing, quality, secrets, topk, toxicity, vector_dedup
 from tessera.llm.base import table, whole
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,7 +92,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors, "op11_manifest": op11_manifest, "op12_collocations": op12_collocations}
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_topk": op6_topk, "op7_packing": op7_packing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_vectors": op10_vectors, "op11_manifest": op11_manifest, "op12_collocations": op12_collocations, "op13_fingerprints": op13_fingerprints}
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
         WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
