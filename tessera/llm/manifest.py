@@ -32,7 +32,7 @@ from tessera.llm.base import checkpointed, partitions
 
 FANOUT = 3
 #: Levels that one round of merging covers: the edges below one node of the last of these levels meet in one group.
-SPAN = 12
+SPAN = 6
 #: Levels of a block of proofs.
 DEPTH = 7
 
