@@ -5,8 +5,9 @@ A text's bytes are parsed into phrases, each the longest one known so far and on
 fingerprint is the SIZE least hashes of the set, in hexadecimal; likeness is the share of common
 hashes among the least of both sets (their Jaccard coefficient, exact for sets of fewer phrases).
 
-Texts are dealt out by range of their order, so a text's neighbour is the row behind it; a
-task's last row is finished in a second step, with the first row of the next task.
+Texts are dealt out in buckets by range of their order, so a text's neighbour is the row
+behind it; a bucket also gets a copy of the next bucket's first row. Bounds of buckets come from
+approximate percentiles; a key that holds more than a bucket is split by the texts' hashes.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import lean, partitions, small_batches, whole, written
+from tessera.llm.base import lean, partitions, small_batches, whole
 
 #: Hashes of a fingerprint, 32 bits each.
 SIZE = 128
@@ -135,47 +135,70 @@ _ROW = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
 _TYPES = "key string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _bucket(bounds: list[int]):
+    """(key, hash) -> number of the bucket, ascending in both; ``bounds``: ascending, a bound that is there n times splits its key's rows into n buckets by hash."""
+    values, many = np.unique(np.array(bounds, dtype=np.int64), return_counts=True)
+    begins = np.concatenate([[0], np.cumsum(many)])
+
+    def of(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(values, keys)
+        own = np.minimum(at, len(values) - 1)
+        part = ((hashes >> 11) + (1 << 52)) * many[own] >> 53  # of the hash's 53 upper bits
+        return begins[at] + np.where(values[own] == keys, part, 0)
+
+    return of
+
+
+def _bucketed(rows: DataFrame, tasks: int) -> DataFrame:
+    """``rows`` (place, text, ...) with hash and bucket; rows without place come before all others, in buckets of their own."""
+    told = rows.agg(F.count("*").alias("n"), F.count("place").alias("known"), F.percentile_approx("place", [i / tasks for i in range(1, tasks)] or [0.5], 100 * tasks).alias("bounds")).first()
+    none = -(-tasks * (told["n"] - told["known"]) // max(1, told["n"]))
+    of = _bucket(sorted(told["bounds"])) if told["known"] else None
+
+    @F.pandas_udf("long")
+    def bucket(place: pd.Series, hashed: pd.Series) -> pd.Series:
+        h = hashed.to_numpy(dtype=np.int64)
+        return pd.Series((((h >> 11) + (1 << 52)) * none >> 53) if of is None else none + of(place.to_numpy(dtype=np.int64), h))
+
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    null = F.floor((F.shiftright("hash", 11) + (1 << 52)) * none / F.lit(float(1 << 53))).cast("long")
+    return rows.withColumn("bucket", F.when(F.col("place").isNull(), null).otherwise(bucket(F.coalesce("place", F.lit(0)), "hash")) if of else null)
+
+
 def edited(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    """``key`` (integers), n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The next row is the one behind in descending order of ``key`` (nulls last; repeated keys by the text's hash,
-    then the text), behind the last the first, which may be the row itself. The edited text has the last third
-    (rounded down) of the code points replaced by as many first ones of the next row's text, or all it has. Null
-    texts are empty. No rows give none; other columns don't matter.
+    descending, then the text), behind the last the first, which may be the row itself. The edited text has the last
+    third (rounded down) of the code points replaced by as many first ones of the next row's text, or all it has.
+    Null texts are empty. No rows give none; other columns don't matter.
     """
     spark = rows.sparkSession
     small_batches(spark)
-    order = [F.col("place").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ranged = rows.select(F.col(key).alias("place"), F.col(key).cast("string").alias("key"), whole(text).alias("text"))
-    ranged = ranged.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
+    tasks = partitions(spark)
+    own = _bucketed(rows.select(F.col(key).cast("long").alias("place"), whole(text).alias("text")), tasks)
+    # the first row of each bucket, no more than twice the tasks: sent to the bucket before, too
+    heads = own.groupBy("bucket").agg(F.max(F.struct("place", "hash")).alias("head")).select("bucket", "head.*").orderBy(F.desc("bucket")).collect()
+    back = [(h["bucket"], h["place"], h["hash"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
+    back = spark.createDataFrame(back, "b long, p long, h long, back long")
+    dealt = own.join(F.broadcast(back), (F.col("bucket") == F.col("b")) & F.col("place").eqNullSafe(F.col("p")) & (F.col("hash") == F.col("h")), "left")
+    to = lambda bucket, copy: F.struct(bucket.alias("bucket"), F.lit(copy).alias("copy"))
+    dealt = dealt.select("place", "hash", "text", F.explode(F.when(F.col("back").isNull(), F.array(to(F.col("bucket"), False))).otherwise(F.array(to(F.col("bucket"), False), to(F.col("back"), True)))).alias("to"))
+    order = [F.desc("bucket"), F.col("copy"), F.desc_nulls_last("place"), F.desc("hash"), F.col("text")]
+    dealt = dealt.select("to.*", "place", "hash", "text").repartitionByRange(tasks, F.desc("bucket")).sortWithinPartitions(*order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held = TaskContext.get().partitionId(), None
-        framed = lambda rows: pd.DataFrame(rows, columns=["task", "kind", "text", *_ROW], dtype=object)
+        held, now = None, None
         for frame in frames:
             out = []
-            for key_, text_ in frame.itertuples(index=False, name=None):
-                now = _Edits(key_, text_)
-                if held is None:
-                    out.append((task, "first", text_, None, None, None, _text(now.own), None, None, None))
-                else:
-                    out.append((task, "row", None, *held.row(text_, now.own)))
-                held = now
-            yield framed(out)
-        if held is not None:
-            yield framed([(task, "last", held.text, held.key, *[None] * 6)])
-
-    pieces = written(ranged.mapInPandas(lean(run), f"task int, kind string, text string, {_TYPES}"))
-    # tasks that have rows, in order: no more than there are partitions
-    tasks = sorted(r[0] for r in pieces.filter("kind = 'first'").select("task").collect())
-    behind = spark.createDataFrame([(t, tasks[(i + 1) % len(tasks)]) for i, t in enumerate(tasks)], "task int, behind int")
-    lasts = pieces.filter("kind = 'last'").select("task", "key", "text").join(F.broadcast(behind), "task")
-    firsts = pieces.filter("kind = 'first'").select(F.col("task").alias("behind"), F.col("text").alias("beside"), F.col("fingerprint").alias("theirs"))
-
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([_Edits(k, t).row(b, _hashes(f)) for k, t, b, f in frame.itertuples(index=False, name=None)], columns=_ROW)
-
-    ends = lasts.join(firsts, "behind").select("key", "text", "beside", "theirs").mapInPandas(lean(finish), _TYPES)
-    done = pieces.filter("kind = 'row'").select(*_ROW).union(ends)
+            for bucket, copy, key_, text_ in frame.itertuples(index=False, name=None):
+                if copy and now != bucket:
+                    continue  # the bucket before was finished by a first copy
+                this = _Edits(key_, text_)
+                if now == bucket:
+                    out.append(held.row(text_, this.own))
+                held, now = (None, None) if copy else (this, bucket)
+            yield pd.DataFrame(out, columns=_ROW, dtype=object)
+
+    done = dealt.select("bucket", "copy", F.col("place").cast("string").alias("key"), "text").mapInPandas(lean(run), _TYPES)
     return done.select(F.col("key").cast(rows.schema[key].dataType).alias(key), *_ROW[1:])

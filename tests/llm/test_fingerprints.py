@@ -104,3 +104,20 @@ def test_long_text(spark):
     got = fingerprints.fingerprints(spark.createDataFrame([(1, long), (2, long[:1_900_000]), (3, "short")], "doc_id long, text string")).collect()
     marks = {r["doc_id"]: fingerprints._hashes(r["fingerprint"]) for r in got}
     assert fingerprints.likeness(marks[1], marks[2]) > 0.8 and fingerprints.likeness(marks[1], marks[3]) < 0.1
+
+
+def test_hot_key(spark, monkeypatch):
+    """A key, and none, that hold a third of all rows each are split by hash; the order goes on over buckets."""
+    monkeypatch.setattr(fingerprints, "partitions", lambda spark: 7)
+    rows = [(None if i % 3 == 0 else 40 if i % 3 == 1 else i, f"text {i * 7919 % 50} " * (i % 5), None, None, None) for i in range(240)]
+    df = spark.createDataFrame(rows, DOCS)
+    order = [tuple(r) for r in df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) as h", "text").collect()]
+    order.sort(key=lambda r: r[2])
+    order.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = []
+    for i, (key, _, text) in enumerate(order):
+        beside, third = order[(i + 1) % len(order)][2], len(text) // 3
+        want.append((key, hashlib.sha256((text[: len(text) - third] + beside[:third]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in fingerprints.edited(df).collect()), key=str) == sorted(want, key=str)
+    buckets = fingerprints._bucketed(df.selectExpr("doc_id as place", "coalesce(text, '') as text"), 7).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in buckets) < 80
