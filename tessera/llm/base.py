@@ -46,11 +46,20 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
+    kept.tessera_path = path
     del df
+    spark.range(1).write.format("noop").mode("overwrite").save()  # the last query's plan is held until another one has run
     _let_go(spark)
     return kept
 
 
+def forgotten(table: DataFrame) -> None:
+    """Deletes the files of a ``written`` table, which nothing that is still to run may read."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.tessera_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of a batch that goes to a Python worker: with long texts, more makes workers and executors grow.
 BATCH_BYTES = 4 << 20
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import checkpointed, lean, small_batches, whole, written
+from tessera.llm.base import checkpointed, forgotten, lean, small_batches, whole, written
 
 #: Places of a block; a longer text makes a longer block.
 PLACES = 1 << 21
@@ -72,19 +72,19 @@ class _Lists:
 
 
 def postings(texts: DataFrame, size: int = PLACES) -> DataFrame:
-    """(lang, word, block, found, places) of (lang, text): a row a word and block; places: ascending, as 32-bit integers, ``found`` of them."""
+    """(lang, word, block, found, places) of (lang, text): a row a word and block, a block has one language; places: ascending, as 32-bit integers, ``found`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, lists, held, block = TaskContext.get().partitionId(), {}, 0, 0
+        block, lists, held = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 held += lists.setdefault(lang, _Lists()).add(text)
                 if held >= size:
-                    yield from (own.batch(k, task << 32 | block) for k, own in lists.items())
-                    lists, held, block = {}, 0, block + 1
-        yield from (own.batch(k, task << 32 | block) for k, own in lists.items())
+                    yield from (own.batch(k, block + i) for i, (k, own) in enumerate(lists.items()))
+                    block, lists, held = block + len(lists), {}, 0
+        yield from (own.batch(k, block + i) for i, (k, own) in enumerate(lists.items()))
 
-    return texts.mapInArrow(run, "lang string, word string, block long, found long, places binary")
+    return texts.mapInArrow(lean(run), "lang string, word string, block long, found long, places binary")
 
 
 def _mixed(keys: list[np.ndarray], room: int) -> np.ndarray:
@@ -96,9 +96,8 @@ def _mixed(keys: list[np.ndarray], room: int) -> np.ndarray:
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64) % room
 
 
-def bit_map(phrases: DataFrame, size: int, room: int = BITS) -> np.ndarray:
-    """The map of phrases w1 ... w``size``: ``room`` bits (a multiple of 2 ** 15), collected in parts."""
-    names = [f"w{i + 1}" for i in range(size)]
+def bit_map(phrases: DataFrame, names: list[str], room: int = BITS) -> np.ndarray:
+    """The map of the columns ``names``: ``room`` bits (a multiple of 2 ** 15), collected in parts."""
 
     def places(frames):
         for frame in frames:
@@ -138,36 +137,34 @@ def extended(index: DataFrame, size: int, maps: list) -> DataFrame:
             for ids, counts, places in zip(*(batch[c] for c in ("ids", "counts", "places")), strict=True):
                 ids, counts, places = (np.frombuffer(x.as_py(), t) for x, t in ((ids, "<i8"), (counts, "<i4"), (places, "<i4")))
                 order = np.argsort(places, kind="stable")
-                at, words = places[order].astype(np.int64), np.repeat(ids, counts)[order]
-                here, keys = at, [words]
+                here = places[order]
+                keys = [np.repeat(np.arange(len(ids), dtype=np.int32), counts)[order]]  # words by their number in the block
+                del order, places
                 for n in range(2, size + 1):
                     # the places of phrases of n - 1 words, and one on from each those of its last n - 1 words
                     a, b = _merge(here, here, 1)
-                    keys = [k[a] for k in keys] + [keys[-1][b]]
-                    here = here[a]
+                    keys, here = [k[a] for k in keys] + [keys[-1][b]], here[a]
                     if n < size:
                         bits = maps[n - 2].value
-                        kept = _told(bits, _mixed(keys, 8 * len(bits)))
-                        here, keys = here[kept], [k[kept] for k in keys]
+                        kept = _told(bits, _mixed([ids[k] for k in keys], 8 * len(bits)))
+                        keys, here = [k[kept] for k in keys], here[kept]
                 if not len(here):
                     continue
-                order = np.lexsort(keys)
+                order = np.lexsort(keys) if len(ids) ** size >= 2**63 else np.argsort(sum(k.astype(np.int64) * len(ids) ** i for i, k in enumerate(keys)))
                 keys = [k[order] for k in keys]
-                new = np.ones(len(here), bool)
-                new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-                starts = np.flatnonzero(new)
+                starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
                 found = np.diff(np.append(starts, len(here)))
-                yield pa.record_batch([*(pa.array(k[starts]) for k in keys), pa.array(found.astype(np.int64))], names=[*names, "found"])
+                yield pa.record_batch([*(pa.array(ids[k[starts]]) for k in keys), pa.array(found.astype(np.int64))], names=[*names, "found"])
 
     return index.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names) + ", found long")
 
 
 def _index(frame: pa.Table) -> pa.Table:
     """One row of a block: its words' numbers, list lengths and lists, one after the other."""
-    places = frame["places"].combine_chunks()
-    blob = b"".join(x.as_py() for x in places)
-    ids, counts = (np.asarray(frame[c].combine_chunks()) for c in ("id", "found"))
-    return pa.table({"ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "counts": pa.array([counts.astype("<i4").tobytes()], pa.binary()), "places": pa.array([blob], pa.binary())})
+    places = [x.as_py() for x in frame["places"].combine_chunks()]
+    counts = np.array([len(p) // 4 for p in places], "<i4")
+    rows = {"ids": np.asarray(frame["id"].combine_chunks()).astype("<i8").tobytes(), "counts": counts.tobytes(), "places": b"".join(places)}
+    return pa.table({k: pa.array([v], pa.binary()) for k, v in rows.items()})
 
 
 def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES, room: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,11 +177,21 @@ def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES
     small_batches(spark)
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole("text").alias("text"))
     lists = written(postings(texts, places))
-    sizes = lists.groupBy("lang").agg(F.sum("found").alias("n"))
+    sizes = checkpointed(lists.groupBy("lang").agg(F.sum("found").alias("n")))
     words = lists.groupBy("lang", "word").agg(F.sum("found").alias("a")).filter(F.col("a") >= least)
     words = checkpointed(words.withColumn("id", F.monotonically_increasing_id()))
-    known = lists.join(words.select("lang", "word", "id"), ["lang", "word"]).select("lang", "block", "id", "found", "places")
-    index = written(known.groupBy("lang", "block").applyInArrow(_index, "ids binary, counts binary, places binary"))
+    hashed = F.xxhash64("lang", "word")
+    known = spark.sparkContext.broadcast(bit_map(words.select(hashed.alias("w")), ["w"], room))
+
+    @F.pandas_udf("boolean")
+    def perhaps(h: pd.Series) -> pd.Series:
+        return pd.Series(_told(known.value, _mixed([h.to_numpy()], 8 * len(known.value))))
+
+    # most words are rare: their lists don't go through the join
+    lasting = lists.filter(perhaps(hashed)).drop("found").join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "id", "places")
+    index = written(lasting.groupBy("block").applyInArrow(_index, "ids binary, counts binary, places binary"))
+    del lasting
+    forgotten(lists)
     counts = words.select(F.array("id").alias("ids"), "lang", "a")
     langs = words.select("id", "lang")
     maps = []
@@ -194,7 +201,7 @@ def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES
         found = checkpointed(found)
         counts = counts.union(found.join(langs, found.w1 == langs.id).select(F.array(*names), "lang", "a"))
         if size < longest:
-            maps.append(spark.sparkContext.broadcast(bit_map(found, size, room)))
+            maps.append(spark.sparkContext.broadcast(bit_map(found, names, room)))
     return words, counts, sizes
 
 
