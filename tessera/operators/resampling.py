@@ -1,38 +1,99 @@
-"""Bootstrap and permutation tests over items that were aggregated before.
-
-Draws come from hashes of (seed, replicate, draw), so they are the same in any engine
-and partitioning. Rows are groups x items x replicates short ones: aggregate to items
-first, whose number doesn't grow with the facts.
+"""Bootstrap and permutation tests by weights: a replicate gives each unit a weight of its own.
+
+A unit's weight in a replicate comes from a hash of both (Poisson of mean 1 for the bootstrap,
+a sign for permutations), so it is the same in any engine, group and partitioning, and no
+unit has to be numbered or drawn by a join. A task turns its units into a matrix of weights,
+some rows at a time, and multiplies it with their values: it sends one vector of the
+replicates' sums a group, whatever the number of units. The vectors are added by blocks of
+replicates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.statistics import hashed
 
+#: Replicates of one row of sums.
+BLOCK = 2000
+#: Cells of a task's matrix of weights.
+CELLS = 1 << 21
+#: Poisson(1) weights by 16 bits of a hash: the shares of 65536 at or below 0, 1, ... 7.
+SHARES = (24109, 48219, 60274, 64292, 65296, 65497, 65531, 65535)
+_WEIGHTS = np.searchsorted(np.array(SHARES), np.arange(1 << 16), side="right").astype(np.float32)
+
+
+def mixed(unit: np.ndarray, replicate: np.ndarray) -> np.ndarray:
+    """32 bits of each pair of a unit's 32 bits and a replicate's number."""
+    x = unit.astype(np.uint32) + replicate.astype(np.uint32) * np.uint32(2654435761)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(2146121005)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(2221713035)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def poisson(bits: np.ndarray) -> np.ndarray:
+    return _WEIGHTS[bits >> np.uint32(16)]
 
-def drawn(items: DataFrame, group: Sequence[str], key: str, replicates: int, seed: int = 0) -> DataFrame:
-    """``items`` of each group drawn with replacement, as many as there are, for each replicate ``rep``."""
-    own = Window.partitionBy(*group)
-    numbered = items.withColumn("i", F.row_number().over(own.orderBy(key)) - 1).withColumn("c", F.count("*").over(own))
-    draws = numbered.select(*group, "c", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = draws.withColumn("i", F.pmod(hashed(F.lit(seed), F.col("rep"), F.col("draw")), F.col("c")))
-    return draws.join(numbered.drop("c"), [*group, "i"]).drop("draw", "c")
 
+def signs(bits: np.ndarray) -> np.ndarray:
+    return 1 - 2 * (bits & np.uint32(1)).astype(np.float32)
 
-def replicated(items: DataFrame, group: Sequence[str], key: str, statistic: Column, replicates: int, seed: int = 0) -> DataFrame:
-    """(group, rep, v): the statistic of each replicate, to nine places."""
-    return drawn(items, group, key, replicates, seed).groupBy(*group, "rep").agg(F.round(statistic, 9).alias("v"))
 
+def weighted_sums(units: DataFrame, group: Sequence[str], key: str, values: Sequence[str], replicates: int, weights: Callable = poisson, seed: int = 0) -> DataFrame:
+    """(group, rep, values): each replicate's sum of weight times value.
 
-def ordered_interval(statistics: DataFrame, group: Sequence[str], replicates: int, level: float = 0.95) -> DataFrame:
-    """(group, low, high): the replicates at places floor((1 - level) / 2 * B) and floor((1 + level) / 2 * B), counted from 0."""
+    Rows of one ``key`` have one weight in a replicate, in all groups; null values count as 0.
+    """
+    kinds = [(g, units.schema[g].dataType.simpleString()) for g in group]
+    rows = units.select(*group, hashed(F.lit(seed), F.col(key)).alias("unit"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    step = max(1, CELLS // replicates)
+    every = np.arange(replicates, dtype=np.uint32)
+
+    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            parts = frame.groupby(list(group), dropna=False) if group else [((), frame)]
+            for name, part in parts:
+                total = sums.setdefault(tuple(None if pd.isna(n) else n for n in name), np.zeros((replicates, len(values))))
+                unit, value = part["unit"].to_numpy(), part[list(values)].to_numpy(dtype=float)
+                for at in range(0, len(unit), step):
+                    total += weights(mixed(unit[None, at : at + step], every[:, None])) @ value[at : at + step]
+        out = [(*name, at // BLOCK, total[at : at + BLOCK].astype("<f8").tobytes()) for name, total in sums.items() for at in range(0, replicates, BLOCK)]
+        yield pd.DataFrame(out, columns=[*group, "block", "sums"])
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(bytes(b), "<f8") for b in frame["sums"]).reshape(-1, len(values))
+        out = pd.DataFrame(total, columns=list(values))
+        out.insert(0, "rep", int(frame["block"].iloc[0]) * BLOCK + np.arange(len(total)))
+        for i, (g, _) in enumerate(kinds):
+            out.insert(i, g, [frame[g].iloc[0]] * len(total))
+        return out
+
+    own = "".join(f"`{g}` {t}, " for g, t in kinds)
+    partial = rows.mapInPandas(vectors, f"{own}block int, sums binary")
+    return partial.groupBy(*group, "block").applyInPandas(added, f"{own}rep long, " + ", ".join(f"`{v}` double" for v in values))
+
+
+def replicated(items: DataFrame, group: Sequence[str], key: str, value: str, replicates: int, weight: str | None = None, seed: int = 0) -> DataFrame:
+    """(group, rep, v): each replicate's mean of ``value`` (ratio of the sums of ``value`` and ``weight``), to nine places; null where it has no unit."""
+    items = items.withColumn("__one", F.lit(1.0) if weight is None else F.col(weight))
+    sums = weighted_sums(items, group, key, [value, "__one"], replicates, seed=seed)
+    return sums.select(*group, "rep", F.round(F.try_divide(F.col(value), F.col("__one")), 9).alias("v"))
+
+
+def ordered_interval(statistics: DataFrame, group: Sequence[str], level: float = 0.95) -> DataFrame:
+    """(group, low, high): of B replicates that aren't null those at places floor((1 - level) / 2 * B) and floor((1 + level) / 2 * B), counted from 0."""
     values = F.sort_array(F.collect_list("v"))
-    at = lambda share: F.get(values, F.lit(min(replicates - 1, int(round(share * replicates, 9)))))
+    size = F.count("v")
+    at = lambda share: F.get(values, F.least(size - 1, F.floor(F.round(share * size, 9))).cast("int"))
     return statistics.groupBy(*group).agg(at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
 
 
@@ -44,20 +105,54 @@ def two_sided(statistics: DataFrame, group: Sequence[str]) -> DataFrame:
 def paired(items: DataFrame, group: Sequence[str], key: str, diff: str, replicates: int) -> DataFrame:
     """(group, n, diff, d, low, high, p) of paired differences; d by the deviation of all, null where it is 0."""
     point = items.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(diff), 9).alias("diff"), F.round(F.try_divide(F.avg(diff), F.round(F.stddev_pop(diff), 12)), 9).alias("d"))
-    stats = replicated(items, group, key, F.avg(diff), replicates)
-    return point.join(ordered_interval(stats, group, replicates), list(group)).join(two_sided(stats, group), list(group))
+    stats = replicated(items, group, key, diff, replicates)
+    return point.join(ordered_interval(stats, group), list(group)).join(two_sided(stats, group), list(group))
 
 
-def sign_test(items: DataFrame, group: Sequence[str], diff: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Sign flips of differences of -1, 0 and 1 from their counts alone: a replicate's sum is that of as many random bits as there are differences.
+def sign_test(items: DataFrame, group: Sequence[str], key: str, diff: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(group, n, observed, p): the sum of differences against sums under random signs; p = (hits + 1) / (replicates + 1).
 
-    32 bits come from one hash, so a replicate costs one short row for 32 differences.
+    Sums are compared to nine places, so a difference's parts may come in any order.
     """
-    counts = items.groupBy(*group).agg(F.count_if(F.col(diff) > 0).alias("plus"), F.count_if(F.col(diff) < 0).alias("minus"), F.count("*").alias("n"))
-    m = F.col("plus") + F.col("minus")
-    words = counts.withColumn("m", m).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("word", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") + 31) / 32))))
-    left = F.greatest(F.lit(0), F.least(F.lit(32), F.col("m") - 32 * F.col("word")))
-    bits = F.bit_count(F.pmod(hashed(F.lit(seed), F.col("rep"), F.col("word")), F.pow(F.lit(2), left).cast("long")))
-    sums = words.groupBy(*group, "rep").agg(F.abs(2 * F.sum(bits) - F.first("m")).alias("v"), F.first(F.abs(F.col("plus") - F.col("minus"))).alias("seen"))
-    hits = sums.groupBy(*group).agg(F.count_if(F.col("v") >= F.col("seen")).alias("hits"))
-    return counts.join(hits, list(group)).withColumn("p", (F.col("hits") + 1) / F.lit(replicates + 1)).drop("hits")
+    seen = items.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.abs(F.sum(diff)), 9).alias("observed"))
+    sums = weighted_sums(items, group, key, [diff], replicates, signs, seed).withColumn("v", F.round(F.abs(F.col(diff)), 9)).select(*group, "v")
+    hits = sums.join(F.broadcast(seen), list(group)).groupBy(*group).agg(F.count_if(F.col("v") >= F.col("observed")).alias("hits"))
+    return seen.join(hits, list(group)).withColumn("p", (F.col("hits") + 1) / F.lit(replicates + 1)).drop("hits")
+
+
+def ratio_interval(clusters: DataFrame, group: Sequence[str], key: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(group, mean, clusters, low, high): the ratio sum(s) / sum(n) with its percentile interval over clusters, aggregated before to one (s, n) each."""
+    stats = replicated(clusters, group, key, "s", replicates, "n", seed)
+    bounds = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    point = clusters.groupBy(*group).agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("clusters"))
+    return point.join(stats.groupBy(*group).agg(F.round(bounds[0], 9).alias("low"), F.round(bounds[1], 9).alias("high")), list(group))
+
+
+
+#: Replicates of the registered queries.
+DRAWS = 10_000
+_UNIT = "('0x' || substr(md5({}), 1, 8))::UBIGINT"
+
+
+def _bits_sql(units: str, group: str, key: str, values: str, name: str, replicates: int) -> str:
+    """CTEs: ``name``_x has each unit's ``x``, the 32 bits of ``mixed``, in replicate b."""
+    whole, number = "4294967295::UBIGINT", lambda n: f"{n}::UBIGINT"
+    return f""", {name}_1 AS (SELECT {group}, {values}, {_UNIT.format(f"'0:' || {key}")} AS h FROM {units}),
+{name}_2 AS (SELECT * EXCLUDE (h), (h + b * {number(2654435761)}) & {whole} AS x FROM {name}_1, (SELECT unnest(range({replicates}))::UBIGINT AS b)),
+{name}_3 AS (SELECT * REPLACE ((xor(x, x >> {number(16)}) * {number(2146121005)}) & {whole} AS x) FROM {name}_2),
+{name}_4 AS (SELECT * REPLACE ((xor(x, x >> {number(15)}) * {number(2221713035)}) & {whole} AS x) FROM {name}_3),
+{name}_x AS (SELECT * REPLACE (xor(x, x >> {number(16)}) AS x) FROM {name}_4)"""
+
+
+def replicated_sql(units: str, group: str, key: str, value: str, weight: str = "1", name: str = "v", replicates: int = DRAWS) -> str:
+    """DuckDB CTEs of ``replicated``: ``name`` has (group, b, v)."""
+    w = " + ".join(f"(x >> 16::UBIGINT >= {share}::UBIGINT)::INT" for share in SHARES)
+    return _bits_sql(units, group, key, f"{value} AS num, {weight} AS den", name, replicates) + f""",
+{name}_w AS (SELECT * EXCLUDE (x), {w} AS w FROM {name}_x), {name} AS (SELECT {group}, b, round(sum(w * num) / nullif(sum(w * den), 0), 9) AS v FROM {name}_w GROUP BY ALL)"""
+
+
+def signed_sql(units: str, group: str, key: str, diff: str, replicates: int = DRAWS) -> str:
+    """DuckDB CTEs of ``sign_test``: sign_p has (group, n, observed, p)."""
+    return _bits_sql(units, group, key, f"{diff} AS d", "sign", replicates) + f""",
+sign_v AS (SELECT {group}, b, round(abs(sum(CASE WHEN x & 1::UBIGINT = 0 THEN d ELSE -d END)), 9) AS v FROM sign_x GROUP BY ALL), sign_s AS (SELECT {group}, count(*) AS n, round(abs(sum({diff})), 9) AS observed FROM {units} GROUP BY ALL),
+sign_p AS (SELECT {group}, n, observed, (sum((v >= observed)::INT) + 1) / {replicates + 1} AS p FROM sign_v JOIN sign_s USING ({group}) GROUP BY ALL)"""

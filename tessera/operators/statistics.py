@@ -60,31 +60,6 @@ def fleiss_kappa(ratings: DataFrame, item: str, rating: str) -> DataFrame:
     return observed.crossJoin(F.broadcast(chance)).select("items", "raters", F.when(pe >= 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
-def cluster_bootstrap(clusters: DataFrame, group: Sequence[str], key: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Percentile interval of the ratio sum(s) / sum(n) over clusters drawn with replacement.
-
-    ``clusters`` is aggregated before: one (s, n) a cluster, numbered within its
-    group; draws come from hashes of (seed, replicate, draw), so the rows are
-    groups x clusters x replicates short ones, whatever the facts' size.
-    """
-    numbered = clusters.withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy(key)) - 1).withColumn("c", F.count("*").over(Window.partitionBy(*group)))
-    drawn = numbered.select(*group, F.col("c"), F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = drawn.withColumn("i", F.pmod(hashed(F.lit(seed), F.col("rep"), F.col("draw")), F.col("c")))
-    stats = drawn.join(numbered.select(*group, "i", "s", "n"), [*group, "i"]).groupBy(*group, "rep").agg((F.sum("s") / F.sum("n")).alias("v"))
-    bounds = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
-    point = clusters.groupBy(*group).agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("clusters"))
-    return point.join(stats.groupBy(*group).agg(bounds[0].alias("low"), bounds[1].alias("high")), list(group))
-
-
-def sign_flip(clusters: DataFrame, group: Sequence[str], key: str, diff: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Two-sided permutation p = (hits + 1) / (replicates + 1): each cluster's difference under a hashed sign."""
-    reps = clusters.select(*group, diff, F.col(key), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    sign = F.when(F.pmod(hashed(F.lit(seed), F.col("rep"), F.col(key)), F.lit(2)) == 0, 1).otherwise(-1)
-    sums = reps.groupBy(*group, "rep").agg(F.abs(F.sum(F.col(diff) * sign)).alias("v"))
-    seen = clusters.groupBy(*group).agg(F.abs(F.sum(diff)).alias("observed"), F.count("*").alias("clusters"))
-    return sums.join(F.broadcast(seen), list(group)).groupBy(*group).agg(F.first("observed").alias("observed"), F.first("clusters").alias("clusters"), ((F.count_if(F.col("v") >= F.col("observed")) + 1) / F.lit(replicates + 1)).alias("p"))
-
-
 def majority_vote(rows: DataFrame, keys: Sequence[str], value: Column, order: str, score: str) -> DataFrame:
     """The most frequent value of each group, ties to the one met first in ``order``; right if a winner's score is at least a half."""
     votes = rows.withColumn("__v", value).groupBy(*keys, "__v").agg(F.count("*").alias("votes"), F.min(order).alias("first"), F.max(score).alias("top"))

@@ -1,6 +1,6 @@
 """Queries of bootstrap intervals, paired tests and contrasts of resampled evaluations.
 
-Items are the questions' texts, of which there are as many at any size of the facts.
+Items are the questions (``question_id``), each with a weight of its own in every replicate.
 """
 
 from __future__ import annotations
@@ -15,62 +15,56 @@ from tessera.plans.statistics import DIFFS, HASH, RATERS, differences, raters
 from tessera.sources.adapters import FACTS, facts
 
 W = "WITH "
-#: Replicates.
-B = 200
-LOW, HIGH = int(0.025 * B), int(0.975 * B)
-ITEMS = FACTS + """, means AS (SELECT model, question, viz_type, avg(exact_match) AS em FROM facts GROUP BY ALL), items AS (SELECT model, question, max(em) - min(em) AS gap, (max(em) > min(em))::INT AS flip FROM means GROUP BY ALL)"""
-INTERVAL = f"list_sort(list(v))[{LOW + 1}] AS low, list_sort(list(v))[{HIGH + 1}] AS high"
+B = rs.DRAWS
+ITEMS = FACTS + """, items AS (SELECT model, question_id, max(exact_match) - min(exact_match) AS gap, (max(exact_match) > min(exact_match))::INT AS flip FROM facts GROUP BY ALL)"""
+INTERVAL = "list_sort(list(v))[floor(round(0.025 * count(v), 9))::INT + 1] AS low, list_sort(list(v))[least(count(v), floor(round(0.975 * count(v), 9)) + 1)::INT] AS high"
 P = "least(1.0, 2 * least(avg((v <= 0)::INT), avg((v >= 0)::INT)))"
 
 
-def drawn_sql(items: str, group: str, statistic: str, name: str = "v") -> str:
-    """CTEs: the replicates' statistics ``v`` of a group's items drawn anew; ``o`` is a drawn item."""
-    return f""", {name}_k AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY question) - 1 AS i, count(*) OVER (PARTITION BY {group}) AS c FROM {items}),
-{name} AS (SELECT k.{group}, b, round({statistic}, 9) AS v FROM {name}_k k, range({B}) t(b), {name}_k o WHERE o.{group} = k.{group} AND o.i = {HASH.format("'0:' || b || ':' || k.i")} % k.c GROUP BY ALL)"""
-
-
 def paired_sql(items: str, group: str) -> str:
-    return drawn_sql(items, group, "avg(o.diff)") + f""", i AS (SELECT {group}, {INTERVAL}, {P} AS p FROM v GROUP BY ALL), x AS (SELECT {group}, count(*) AS n, round(avg(diff), 9) AS diff, CASE WHEN round(stddev_pop(diff), 12) <> 0 THEN round(avg(diff) / round(stddev_pop(diff), 12), 9) END AS d FROM {items} GROUP BY ALL)"""
+    return rs.replicated_sql(items, group, "question_id", "diff") + f""", i AS (SELECT {group}, {INTERVAL}, {P} AS p FROM v GROUP BY ALL), x AS (SELECT {group}, count(*) AS n, round(avg(diff), 9) AS diff, CASE WHEN round(stddev_pop(diff), 12) <> 0 THEN round(avg(diff) / round(stddev_pop(diff), 12), 9) END AS d FROM {items} GROUP BY ALL)"""
 
 
 def gaps(spark, sf_dir):
-    means = facts(spark, sf_dir).groupBy("model", "question", "viz_type").agg(F.avg("exact_match").alias("em"))
-    return means.groupBy("model", "question").agg((F.max("em") - F.min("em")).alias("gap"), (F.max("em") > F.min("em")).cast("int").alias("flip"))
+    best, worst = F.max("exact_match"), F.min("exact_match")
+    return facts(spark, sf_dir).groupBy("model", "question_id").agg((best - worst).alias("gap"), (best > worst).cast("int").alias("flip"))
 
 
-@query("gap_bootstrap", W + ITEMS + drawn_sql("items", "model", "avg(o.gap)") + f" SELECT model, {INTERVAL}, (SELECT round(avg(gap), 9) FROM items WHERE items.model = v.model) AS mean_gap FROM v GROUP BY model")
+@query("gap_bootstrap", W + ITEMS + rs.replicated_sql("items", "model", "question_id", "gap") + f", k AS (SELECT model, round(avg(gap), 9) AS mean_gap FROM items GROUP BY ALL) SELECT model, {INTERVAL}, any_value(mean_gap) AS mean_gap FROM v JOIN k USING (model) GROUP BY model")
 def gap_bootstrap(spark, sf_dir):
     """The mean gap between a question's best and worst format, with the interval of order statistics."""
     items = gaps(spark, sf_dir)
-    stats = rs.replicated(items, ["model"], "question", F.avg("gap"), B)
-    return rs.ordered_interval(stats, ["model"], B).join(items.groupBy("model").agg(F.round(F.avg("gap"), 9).alias("mean_gap")), "model")
+    stats = rs.replicated(items, ["model"], "question_id", "gap", B)
+    return rs.ordered_interval(stats, ["model"]).join(items.groupBy("model").agg(F.round(F.avg("gap"), 9).alias("mean_gap")), "model")
 
 
-@query("sensitivity_interval", W + ITEMS + drawn_sql("items", "model", "avg(o.gap)") + f", s AS (SELECT model, avg(flip) AS flip_rate, 1 - avg(flip) AS consistency, list_sort(list(round(gap, 9)))[(count(*) // 2 + 1)::INT] AS median_gap FROM items GROUP BY ALL) SELECT s.*, low, high FROM s JOIN (SELECT model, {INTERVAL} FROM v GROUP BY model) USING (model)")
+@query("sensitivity_interval", W + ITEMS + rs.replicated_sql("items", "model", "question_id", "gap") + f", s AS (SELECT model, avg(flip) AS flip_rate, 1 - avg(flip) AS consistency, list_sort(list(round(gap, 9)))[(count(*) // 2 + 1)::INT] AS median_gap FROM items GROUP BY ALL) SELECT s.*, low, high FROM s JOIN (SELECT model, {INTERVAL} FROM v GROUP BY model) USING (model)")
 def sensitivity_interval(spark, sf_dir):
-    """Flip rate, consistency, the upper median of the gaps and the mean gap's interval."""
+    """Flip rate, consistency, the upper median of the gaps (from counts of their few values) and the mean gap's interval."""
     items = gaps(spark, sf_dir)
-    values = F.sort_array(F.collect_list(F.round("gap", 9)))
-    own = items.groupBy("model").agg(F.avg("flip").alias("flip_rate"), (1 - F.avg("flip")).alias("consistency"), F.get(values, F.floor(F.count("*") / 2).cast("int")).alias("median_gap"))
-    return own.join(rs.ordered_interval(rs.replicated(items, ["model"], "question", F.avg("gap"), B), ["model"], B), "model")
+    own = items.groupBy("model").agg(F.avg("flip").alias("flip_rate"), (1 - F.avg("flip")).alias("consistency"))
+    values = items.groupBy("model", F.round("gap", 9).alias("gap")).agg(F.count("*").alias("k"))
+    sofar, all_ = F.sum("k").over(Window.partitionBy("model").orderBy("gap")), F.sum("k").over(Window.partitionBy("model"))
+    medians = values.select("model", "gap", (sofar > F.floor(all_ / 2)).alias("behind")).filter("behind").groupBy("model").agg(F.min("gap").alias("median_gap"))
+    return own.join(medians, "model").join(rs.ordered_interval(rs.replicated(items, ["model"], "question_id", "gap", B), ["model"]), "model")
 
 
-PAIRS = FACTS + ", items AS (SELECT modality, question, avg(CASE WHEN model = 'A' THEN exact_match END) - avg(CASE WHEN model = 'R' THEN exact_match END) AS diff FROM facts WHERE model IN ('A', 'R') GROUP BY ALL HAVING diff IS NOT NULL)"
+PAIRS = FACTS + ", items AS (SELECT modality, question_id, avg(CASE WHEN model = 'A' THEN exact_match END) - avg(CASE WHEN model = 'R' THEN exact_match END) AS diff FROM facts WHERE model IN ('A', 'R') GROUP BY ALL HAVING diff IS NOT NULL)"
 
 
 def model_pairs(spark, sf_dir, *group: str):
     em = lambda m: F.avg(F.when(F.col("model") == m, F.col("exact_match")))
-    return facts(spark, sf_dir).filter(F.col("model").isin("A", "R")).groupBy(*group, "question").agg((em("A") - em("R")).alias("diff")).filter("diff is not null")
+    return facts(spark, sf_dir).filter(F.col("model").isin("A", "R")).groupBy(*group, "question_id").agg((em("A") - em("R")).alias("diff")).filter("diff is not null")
 
 
 @query("paired_bootstrap", W + PAIRS + paired_sql("items", "modality") + " SELECT x.*, low, high, p FROM x JOIN i USING (modality)")
 def paired_bootstrap(spark, sf_dir):
     """Two models' difference by question: interval, two-sided p and effect size."""
-    return rs.paired(model_pairs(spark, sf_dir, "modality"), ["modality"], "question", "diff", B)
+    return rs.paired(model_pairs(spark, sf_dir, "modality"), ["modality"], "question_id", "diff", B)
 
 
 BEST = FACTS + """, g AS (SELECT modality, viz_type, avg(exact_match) AS em FROM facts WHERE viz_type <> 'text_only' GROUP BY ALL), e AS (SELECT modality, arg_max(viz_type, (em, viz_type)) AS best, arg_min(viz_type, (em, viz_type)) AS worst FROM g GROUP BY ALL),
-items AS (SELECT modality, question, avg(CASE WHEN viz_type = best THEN exact_match END) - avg(CASE WHEN viz_type = worst THEN exact_match END) AS diff FROM facts JOIN e USING (modality) GROUP BY ALL HAVING diff IS NOT NULL)"""
+items AS (SELECT modality, question_id, avg(CASE WHEN viz_type = best THEN exact_match END) - avg(CASE WHEN viz_type = worst THEN exact_match END) AS diff FROM facts JOIN e USING (modality) GROUP BY ALL HAVING diff IS NOT NULL)"""
 
 
 @query("best_worst_bootstrap", W + BEST + paired_sql("items", "modality") + " SELECT x.*, low, high, p, best, worst FROM x JOIN i USING (modality) JOIN e USING (modality)")
@@ -81,52 +75,47 @@ def best_worst_bootstrap(spark, sf_dir):
     order = F.struct("em", "viz_type")
     ends = g.groupBy("modality").agg(F.max_by("viz_type", order).alias("best"), F.min_by("viz_type", order).alias("worst"))
     em = lambda c: F.avg(F.when(F.col("viz_type") == F.col(c), F.col("exact_match")))
-    items = rows.join(F.broadcast(ends), "modality").groupBy("modality", "question").agg((em("best") - em("worst")).alias("diff")).filter("diff is not null")
-    return rs.paired(items, ["modality"], "question", "diff", B).join(ends, "modality")
+    items = rows.join(F.broadcast(ends), "modality").groupBy("modality", "question_id").agg((em("best") - em("worst")).alias("diff")).filter("diff is not null")
+    return rs.paired(items, ["modality"], "question_id", "diff", B).join(ends, "modality")
 
 
-@query("prediction_sets", W + PAIRS.replace("SELECT modality, question", "SELECT 'all' AS g, question") + drawn_sql("items", "g", "avg(o.diff)") + f" SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, {P} AS p, (SELECT round(avg(diff), 9) FROM items) AS diff FROM v")
+@query("prediction_sets", W + PAIRS.replace("SELECT modality, question_id", "SELECT 'all' AS g, question_id") + rs.replicated_sql("items", "g", "question_id", "diff") + f" SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, {P} AS p, (SELECT round(avg(diff), 9) FROM items) AS diff FROM v")
 def prediction_sets(spark, sf_dir):
     """Two sets of predictions, overall, with an interval of interpolated percentiles."""
     items = model_pairs(spark, sf_dir).withColumn("g", F.lit("all"))
-    stats = rs.replicated(items, ["g"], "question", F.avg("diff"), B)
+    stats = rs.replicated(items, ["g"], "question_id", "diff", B)
     bounds = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
     interval = stats.groupBy("g").agg(F.round(bounds[0], 9).alias("low"), F.round(bounds[1], 9).alias("high"))
     return interval.join(rs.two_sided(stats, ["g"]), "g").join(items.groupBy("g").agg(F.round(F.avg("diff"), 9).alias("diff")), "g").drop("g")
 
 
-CELLS = FACTS + """, cells AS (SELECT question, m.name, m.value, sum(exact_match) AS s, count(*) AS n FROM facts, LATERAL (SELECT unnest([{'name': 'overall', 'value': 'all'}, {'name': 'modality', 'value': modality}, {'name': 'difficulty', 'value': difficulty}, {'name': 'format', 'value': viz_type}]) AS m) GROUP BY ALL), q AS (SELECT 'all' AS g, question FROM facts GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (ORDER BY question) - 1 AS i, count(*) OVER () AS c FROM q), d AS (SELECT b, o.question FROM k, range(""" + str(B) + """) t(b), k o WHERE o.i = """ + HASH.format("'0:' || b || ':' || k.i") + """ % k.c),
-r AS (SELECT b, name, value, round(sum(s) / sum(n), 9) AS v FROM d JOIN cells USING (question) GROUP BY ALL), z AS (SELECT b, 'gap' AS name, 'format' AS value, round(max(v) - min(v), 9) AS v FROM r WHERE name = 'format' GROUP BY ALL UNION ALL SELECT * FROM r)"""
+CELLS = FACTS + """, cells AS (SELECT question_id, m.name, m.value, sum(exact_match) AS s, count(*) AS n FROM facts, LATERAL (SELECT unnest([{'name': 'overall', 'value': 'all'}, {'name': 'modality', 'value': modality}, {'name': 'difficulty', 'value': difficulty}, {'name': 'format', 'value': viz_type}]) AS m) GROUP BY ALL)"""
 
 
-@query("simultaneous_bootstrap", W + CELLS + f" SELECT name, value, {INTERVAL} FROM z GROUP BY ALL")
+@query("simultaneous_bootstrap", W + CELLS + rs.replicated_sql("cells", "name, value", "question_id", "s", "n") + f""", z AS (SELECT 'gap' AS name, 'format' AS value, b, round(max(v) - min(v), 9) AS v FROM v WHERE name = 'format' GROUP BY b UNION ALL SELECT name, value, b, v FROM v) SELECT name, value, {INTERVAL} FROM z GROUP BY ALL""")
 def simultaneous_bootstrap(spark, sf_dir):
-    """Overall, by modality, difficulty and format, and the gap between formats, all from the same draws over cells."""
+    """Overall, by modality, difficulty and format, and the gap between formats, all from the same weights of questions."""
     rows = facts(spark, sf_dir)
     names = {"overall": F.lit("all"), "modality": F.col("modality"), "difficulty": F.col("difficulty"), "format": F.col("viz_type")}
-    cells = rows.select("question", "exact_match", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in names.items()])).alias("m"))
-    cells = cells.groupBy("question", "m.name", "m.value").agg(F.sum("exact_match").alias("s"), F.count("*").alias("n"))
-    items = cells.select("question").distinct().withColumn("g", F.lit("all"))
-    stats = rs.drawn(items, ["g"], "question", B).join(cells, "question").groupBy("rep", "name", "value").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("v"))
+    cells = rows.select("question_id", "exact_match", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in names.items()])).alias("m"))
+    cells = cells.groupBy("question_id", "m.name", "m.value").agg(F.sum("exact_match").alias("s"), F.count("*").alias("n"))
+    stats = rs.replicated(cells, ["name", "value"], "question_id", "s", B, "n")
     gap = stats.filter("name = 'format'").groupBy("rep").agg(F.lit("gap").alias("name"), F.lit("format").alias("value"), F.round(F.max("v") - F.min("v"), 9).alias("v"))
-    return rs.ordered_interval(stats.unionByName(gap), ["name", "value"], B)
+    return rs.ordered_interval(stats.unionByName(gap), ["name", "value"])
 
 
-@query("question_bootstrap", W + FACTS + ", items AS (SELECT model, question, avg(exact_match) AS m FROM facts GROUP BY ALL)" + drawn_sql("items", "model", "avg(o.m)") + f" SELECT model, {INTERVAL}, (SELECT round(avg(m), 9) FROM items WHERE items.model = v.model) AS mean FROM v GROUP BY model")
+@query("question_bootstrap", W + FACTS + ", items AS (SELECT model, question_id, avg(exact_match) AS m FROM facts GROUP BY ALL)" + rs.replicated_sql("items", "model", "question_id", "m") + f", k AS (SELECT model, round(avg(m), 9) AS mean FROM items GROUP BY ALL) SELECT model, {INTERVAL}, any_value(mean) AS mean FROM v JOIN k USING (model) GROUP BY model")
 def question_bootstrap(spark, sf_dir):
-    """The mean of questions' means, questions drawn as clusters."""
-    items = facts(spark, sf_dir).groupBy("model", "question").agg(F.avg("exact_match").alias("m"))
-    stats = rs.replicated(items, ["model"], "question", F.avg("m"), B)
-    return rs.ordered_interval(stats, ["model"], B).join(items.groupBy("model").agg(F.round(F.avg("m"), 9).alias("mean")), "model")
+    """The mean of questions' means, questions weighted as clusters."""
+    items = facts(spark, sf_dir).groupBy("model", "question_id").agg(F.avg("exact_match").alias("m"))
+    stats = rs.replicated(items, ["model"], "question_id", "m", B)
+    return rs.ordered_interval(stats, ["model"]).join(items.groupBy("model").agg(F.round(F.avg("m"), 9).alias("mean")), "model")
 
 
-@query("paired_sign_flip", W + PAIRS + f""", c AS (SELECT modality, sum((diff > 0)::INT)::BIGINT AS plus, sum((diff < 0)::INT)::BIGINT AS minus, count(*) AS n FROM items GROUP BY ALL),
-w AS (SELECT *, plus + minus AS m, unnest(range({B})) AS b FROM c), u AS (SELECT *, unnest(range((m + 31) // 32 + 1)) AS k FROM w), s AS (SELECT modality, b, abs(2 * sum(bit_count({HASH.format("'0:' || b || ':' || k")} % pow(2, greatest(0, least(32, m - 32 * k)))::BIGINT)) - any_value(m)) AS v, abs(any_value(plus) - any_value(minus)) AS seen FROM u GROUP BY ALL)
-SELECT c.*, (h + 1) / {B + 1} AS p FROM c JOIN (SELECT modality, sum((v >= seen)::INT) AS h FROM s GROUP BY ALL) USING (modality)""")
+@query("paired_sign_flip", W + PAIRS + rs.signed_sql("items", "modality", "question_id", "diff") + " SELECT * FROM sign_p")
 def paired_sign_flip(spark, sf_dir):
-    """Random signs of paired differences, counted by bits."""
-    return rs.sign_test(model_pairs(spark, sf_dir, "modality"), ["modality"], "diff", B)
+    """Random signs of the questions' paired differences."""
+    return rs.sign_test(model_pairs(spark, sf_dir, "modality"), ["modality"], "question_id", "diff", B)
 
 
 @query("bonferroni", W + DIFFS + ", z AS (SELECT modality, round(exp(-abs(sum(diff)) / sqrt(count(*))), 9) AS p FROM d GROUP BY ALL) SELECT modality, p, round(least(1.0, p * count(*) OVER ()), 9) AS adjusted, least(1.0, p * count(*) OVER ()) < 0.05 AS reject FROM z")
@@ -202,22 +191,21 @@ def style_contrast(spark, sf_dir):
     return common.groupBy("model").agg(F.round(F.max(F.when(own, F.col("em"))) - F.max(F.when(~own, F.col("em"))), 9).alias("contrast"), F.max(other)["task"].alias("best_other"))
 
 
-ADAPTED = FACTS + """, q AS (SELECT model, question, viz_type, avg(exact_match) AS em FROM facts WHERE model IN ('A', 'R') GROUP BY ALL), s AS (SELECT model, question, max(em) - min(em) AS gap, stddev_pop(em) AS std FROM q GROUP BY ALL),
-items AS (SELECT 'all' AS g, question, max(CASE WHEN model = 'A' THEN gap END) - max(CASE WHEN model = 'R' THEN gap END) AS gap, max(CASE WHEN model = 'A' THEN std END) - max(CASE WHEN model = 'R' THEN std END) AS std FROM s GROUP BY ALL HAVING gap IS NOT NULL)"""
+ADAPTED = FACTS + """, s AS (SELECT model, question_id, max(exact_match) - min(exact_match) AS gap, stddev_pop(exact_match) AS std FROM facts WHERE model IN ('A', 'R') GROUP BY ALL),
+items AS (SELECT question_id, max(CASE WHEN model = 'A' THEN gap END) - max(CASE WHEN model = 'R' THEN gap END) AS gap, max(CASE WHEN model = 'A' THEN std END) - max(CASE WHEN model = 'R' THEN std END) AS std FROM s GROUP BY ALL HAVING gap IS NOT NULL),
+measures AS (SELECT 'gap' AS measure, question_id, gap AS x FROM items UNION ALL SELECT 'std', question_id, std FROM items)"""
 
 
-@query("adapted_bootstrap", W + ADAPTED + drawn_sql("items", "g", "avg(o.gap)", "vg") + drawn_sql("items", "g", "avg(o.std)", "vs") + """, z AS (SELECT 'gap' AS measure, v FROM vg UNION ALL SELECT 'std', v FROM vs) SELECT measure, """ + INTERVAL + """, avg((v >= 0)::INT) AS p FROM z GROUP BY ALL""")
+@query("adapted_bootstrap", W + ADAPTED + rs.replicated_sql("measures", "measure", "question_id", "x") + " SELECT measure, " + INTERVAL + ", avg((v >= 0)::INT) AS p FROM v GROUP BY ALL")
 def adapted_bootstrap(spark, sf_dir):
-    """Changes of gap and spread between a base and an adapted model, with one-sided p."""
-    em = facts(spark, sf_dir).filter(F.col("model").isin("A", "R")).groupBy("model", "question", "viz_type").agg(F.avg("exact_match").alias("em"))
-    s = em.groupBy("model", "question").agg((F.max("em") - F.min("em")).alias("gap"), F.stddev_pop("em").alias("std"))
+    """Changes of gap and spread between a base and an adapted model, with one-sided p, from the same weights."""
+    em = facts(spark, sf_dir).filter(F.col("model").isin("A", "R"))
+    s = em.groupBy("model", "question_id").agg((F.max("exact_match") - F.min("exact_match")).alias("gap"), F.stddev_pop("exact_match").alias("std"))
     of = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    items = s.groupBy("question").agg(*[(of("A", c) - of("R", c)).alias(c) for c in ("gap", "std")]).filter("gap is not null").withColumn("g", F.lit("all"))
-    out = []
-    for c in ("gap", "std"):
-        stats = rs.replicated(items, ["g"], "question", F.avg(c), B).withColumn("measure", F.lit(c))
-        out.append(rs.ordered_interval(stats, ["measure"], B).join(stats.groupBy("measure").agg(F.avg((F.col("v") >= 0).cast("int")).alias("p")), "measure"))
-    return out[0].unionByName(out[1])
+    items = s.groupBy("question_id").agg(*[(of("A", c) - of("R", c)).alias(c) for c in ("gap", "std")]).filter("gap is not null")
+    measures = items.unpivot(["question_id"], ["gap", "std"], "measure", "x")
+    stats = rs.replicated(measures, ["measure"], "question_id", "x", B)
+    return rs.ordered_interval(stats, ["measure"]).join(stats.groupBy("measure").agg(F.avg((F.col("v") >= 0).cast("int")).alias("p")), "measure")
 
 
 #: Names of checks, what they measure, and what is expected within a tolerance; no expectation skips the check.

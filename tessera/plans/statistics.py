@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring
+from tessera.operators import resampling as rs
 from tessera.operators import statistics as st
 from tessera.plans.facts import retrievability
 from tessera.plans.registry import query
@@ -41,19 +42,19 @@ def retention_pearson(spark, sf_dir):
     return g.join(F.broadcast(retrievability(spark)), "viz_type").agg(F.round(F.corr("r", "em"), 9).alias("r"), F.count("*").alias("formats"))
 
 
-DIFFS = FACTS + """, d AS (SELECT modality, object_id % 300 AS cl, sum(CASE WHEN viz_type = 'text_only' THEN exact_match WHEN viz_type = 'bar_chart' THEN -exact_match ELSE 0 END)::BIGINT AS diff, count(*) AS n FROM facts GROUP BY ALL)"""
+DIFFS = FACTS + """, d AS (SELECT modality, object_id AS cl, sum(CASE WHEN viz_type = 'text_only' THEN exact_match WHEN viz_type = 'bar_chart' THEN -exact_match ELSE 0 END)::BIGINT AS diff, count(*) AS n FROM facts GROUP BY ALL)"""
 
 
 def differences(spark, sf_dir):
-    """One row a (modality, cluster): objects are grouped into 300 clusters."""
+    """One row a (modality, object)."""
     diff = F.when(F.col("viz_type") == "text_only", F.col("exact_match")).when(F.col("viz_type") == "bar_chart", -F.col("exact_match")).otherwise(0)
-    return facts(spark, sf_dir).groupBy("modality", (F.col("object_id") % 300).alias("cl")).agg(F.sum(diff).cast("long").alias("diff"), F.count("*").alias("n"))
+    return facts(spark, sf_dir).groupBy("modality", F.col("object_id").alias("cl")).agg(F.sum(diff).cast("long").alias("diff"), F.count("*").alias("n"))
 
 
-@query("sign_flip", W + DIFFS + f""", r AS (SELECT modality, b, abs(sum(diff * CASE WHEN {HASH.format("'0:' || b || ':' || cl")} % 2 = 0 THEN 1 ELSE -1 END)) AS v FROM d, range(500) t(b) GROUP BY ALL), o AS (SELECT modality, abs(sum(diff))::BIGINT AS observed, count(*) AS clusters FROM d GROUP BY ALL)
-SELECT modality, observed, clusters, (sum((v >= observed)::INT) + 1) / 501 AS p FROM r JOIN o USING (modality) GROUP BY ALL""")
+@query("sign_flip", W + DIFFS + rs.signed_sql("d", "modality", "cl", "diff") + " SELECT modality, n AS clusters, observed, p FROM sign_p")
 def sign_flip(spark, sf_dir):
-    return st.sign_flip(differences(spark, sf_dir), ["modality"], "cl", "diff", 500)
+    """Every object's difference under random signs."""
+    return rs.sign_test(differences(spark, sf_dir).drop("n"), ["modality"], "cl", "diff", rs.DRAWS).withColumnRenamed("n", "clusters")
 
 
 @query("holm_adjusted", W + DIFFS + """, z AS (SELECT modality, round(exp(-abs(sum(diff)) / sqrt(count(*))), 9) AS p FROM d GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM z)
@@ -63,13 +64,12 @@ def holm_adjusted(spark, sf_dir):
     return st.holm(z, [], "p").withColumn("threshold", F.round("threshold", 9)).withColumn("adjusted", F.round("adjusted", 9))
 
 
-@query("cluster_bootstrap", W + FACTS + f""", c AS (SELECT model, c_nationkey AS cl, sum(exact_match) AS s, count(*) AS n FROM facts JOIN customer ON object_id = c_custkey GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cl) - 1 AS i, count(*) OVER (PARTITION BY model) AS c FROM c),
-v AS (SELECT k.model, b, sum(o.s) / sum(o.n) AS v FROM k, range(400) t(b), k o WHERE o.model = k.model AND o.i = {HASH.format("'0:' || b || ':' || k.i")} % k.c GROUP BY ALL)
-SELECT model, (SELECT sum(s) / sum(n) FROM c WHERE c.model = v.model) AS mean, (SELECT count(*) FROM c WHERE c.model = v.model) AS clusters, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM v GROUP BY model""")
+@query("cluster_bootstrap", W + FACTS + ", c AS (SELECT model, object_id, sum(exact_match) AS s, count(*) AS n FROM facts GROUP BY ALL)" + rs.replicated_sql("c", "model", "object_id", "s", "n") + """, k AS (SELECT model, sum(s) / sum(n) AS mean, count(*) AS clusters FROM c GROUP BY ALL)
+SELECT model, any_value(mean) AS mean, any_value(clusters) AS clusters, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM v JOIN k USING (model) GROUP BY model""")
 def cluster_bootstrap(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id"), F.col("c_nationkey").alias("cl"))
-    c = facts(spark, sf_dir).join(customers, "object_id").groupBy("model", "cl").agg(F.sum("exact_match").alias("s"), F.count("*").alias("n"))
-    return st.cluster_bootstrap(c, ["model"], "cl", 400).withColumn("low", F.round("low", 9)).withColumn("high", F.round("high", 9))
+    """Accuracy with its interval over objects."""
+    c = facts(spark, sf_dir).groupBy("model", "object_id").agg(F.sum("exact_match").alias("s"), F.count("*").alias("n"))
+    return rs.ratio_interval(c, ["model"], "object_id", rs.DRAWS)
 
 
 RATERS = "r AS (SELECT doc_id, lang, quality, toxic, (n_chars > 1000)::INT AS long FROM labels JOIN documents USING (doc_id))"
