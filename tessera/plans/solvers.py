@@ -222,24 +222,39 @@ def graph_paths(spark, sf_dir):
     return graph.distances(*graphs(spark, sf_dir), source=0)
 
 
-@query("graph_summaries")
+@query("graph_summaries", "WITH RECURSIVE " + GRAPHS + """, b(data_id, s, node, d) AS (SELECT data_id, node, node, 0 FROM nodes UNION SELECT b.data_id, s, sym.v, d + 1 FROM b JOIN sym ON b.data_id = sym.data_id AND b.node = sym.u WHERE d < 25),
+dist AS (SELECT data_id, s, node, min(d)::BIGINT AS d FROM b GROUP BY ALL),
+p(data_id, s, node, d) AS (SELECT data_id, node, node, 0::BIGINT FROM nodes UNION ALL SELECT p.data_id, p.s, sym.v, p.d + 1 FROM p JOIN sym ON p.data_id = sym.data_id AND p.node = sym.u JOIN dist ON dist.data_id = p.data_id AND dist.s = p.s AND dist.node = sym.v AND dist.d = p.d + 1),
+q AS (SELECT data_id, s, node, count(*) AS paths, any_value(d) AS d FROM p GROUP BY ALL),
+f AS (SELECT x.data_id, x.node, sum(x.paths * y.paths / z.paths) AS share FROM q x JOIN q y ON x.data_id = y.data_id AND x.node = y.s JOIN q z ON z.data_id = x.data_id AND z.s = x.s AND z.node = y.node AND z.d = x.d + y.d WHERE x.s <> x.node AND y.node <> x.node GROUP BY ALL),
+c AS (SELECT data_id, arg_max(node, (round(coalesce(share, 0), 9), -node)) AS central FROM nodes LEFT JOIN f USING (data_id, node) GROUP BY data_id),
+o AS (SELECT data_id, s, min(node) AS component, max(d) AS far, count(*) AS size FROM dist GROUP BY ALL),
+k AS (SELECT data_id, component, max(far) AS far, any_value(size) AS size FROM o GROUP BY ALL),
+g AS (SELECT data_id, sum(size)::BIGINT AS nodes, count(*) AS components, max(size) AS largest, arg_max(far, (size, -component)) AS diameter FROM k GROUP BY data_id),
+r AS (SELECT dist.data_id, dist.node, d % 2 AS side FROM dist JOIN o ON dist.data_id = o.data_id AND dist.s = o.s AND o.component = o.s),
+m AS (SELECT e.data_id, count(*) AS edges, bool_and(a.side <> b.side) AS bipartite FROM edges e JOIN r a ON a.data_id = e.data_id AND a.node = e.src JOIN r b ON b.data_id = e.data_id AND b.node = e.dst GROUP BY e.data_id)
+SELECT g.data_id, nodes, coalesce(edges, 0) AS edges, components, largest, diameter, coalesce(bipartite, true) AS bipartite, coalesce(edges, 0) > nodes - components AS cyclic, central FROM g JOIN c USING (data_id) LEFT JOIN m USING (data_id)""")
 def graph_summaries(spark, sf_dir):
-    """Diameter, two-colouring and betweenness: one kernel a graph, tested against brute force."""
+    """Diameter, two-colouring and betweenness, all pairs level by level."""
     return graph.summaries(*graphs(spark, sf_dir))
 
 
+@query("graph_communities")
+def graph_communities(spark, sf_dir):
+    """Groups of nodes by modularity, tested against a plain version."""
+    return graph.communities(*graphs(spark, sf_dir))
+
+
+@query("part_projection", """WITH m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS m FROM lineitem) SELECT x.m AS a, y.m AS b, count(*) AS weight FROM m x JOIN m y ON x.e = y.e AND x.m < y.m GROUP BY ALL""")
+def part_projection(spark, sf_dir):
+    """Parts as a graph: an edge where two are in one order, weighted by the number of such orders."""
+    return graph.projected(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @query("graph_bridges", "WITH RECURSIVE " + GRAPHS + """, e AS (SELECT data_id, src, dst FROM edges), r(data_id, s, t, a) AS (SELECT data_id, src, dst, src FROM e UNION SELECT r.data_id, r.s, r.t, sym.v FROM r JOIN sym ON r.data_id = sym.data_id AND r.a = sym.u AND NOT (sym.u = r.s AND sym.v = r.t) AND NOT (sym.u = r.t AND sym.v = r.s)), x AS (SELECT data_id, s, t, bool_or(a = t) AS still FROM r GROUP BY ALL) SELECT data_id, s AS src, t AS dst FROM x WHERE NOT still""")
 def graph_bridges(spark, sf_dir):
-    """Edges whose removal adds a component: removing each is a graph of its own."""
-    nodes, edges = graphs(spark, sf_dir)
-    numbered = edges.withColumn("cut", F.row_number().over(Window.partitionBy("data_id").orderBy("src", "dst")))
-    key = F.col("data_id") * 100_000 + F.col("cut")
-    cuts = numbered.select("data_id", "cut", key.alias("g"), F.col("src").alias("s"), F.col("dst").alias("t"))
-    own = cuts.join(nodes, "data_id").select(F.col("g").alias("data_id"), "node")
-    rest = cuts.join(edges, "data_id").filter("not (src = s and dst = t)").select(F.col("g").alias("data_id"), "src", "dst")
-    parts = graph.labels(own, rest)
-    ends = lambda c, a: parts.select(F.col("data_id").alias("g"), F.col("node").alias(c), F.col("component").alias(a))
-    return cuts.join(ends("s", "x"), ["g", "s"]).join(ends("t", "y"), ["g", "t"]).filter("x <> y").select("data_id", F.col("s").alias("src"), F.col("t").alias("dst"))
+    """Edges whose removal adds a component, from one spanning forest."""
+    return graph.bridges(*graphs(spark, sf_dir))
 
 
 @query("graph_adjacency", W + GRAPHS + """, m AS (SELECT a.data_id, a.node AS u, b.node AS v FROM nodes a JOIN nodes b USING (data_id)) SELECT m.data_id, m.u, list((sym.v IS NOT NULL)::INT ORDER BY m.v) AS cells FROM m LEFT JOIN sym ON m.data_id = sym.data_id AND m.u = sym.u AND m.v = sym.v GROUP BY ALL""")
