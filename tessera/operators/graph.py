@@ -7,27 +7,15 @@ rounds. No graph is one group: a large one is spread over its nodes, edges or pa
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.keeping import kept as _kept
 from tessera.operators.statistics import hashed
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Cut off from what made it, in the shared checkpoint folder; without one only a local session takes a temporary folder."""
-    spark = rows.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return rows.checkpoint()
-
-
 def symmetric(edges: DataFrame) -> DataFrame:
     """(data_id, u, v) in both directions."""
     return edges.select("data_id", F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("data_id", F.col("dst"), F.col("src")))

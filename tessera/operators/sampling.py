@@ -47,36 +47,42 @@ def even(total: int, names: Sequence) -> dict:
     return {n: total // len(names) + (i < total % len(names)) for i, n in enumerate(names)}
 
 
-def deficit_sample(items: DataFrame, strata: Mapping[str, Sequence[str]], key: str, total: int, seed: int) -> DataFrame:
-    """Even shares of all strata; then, one by one, the item whose stratum, modality, difficulty and source lack most (weights 4, 2, 2, 1), the first in hash order on a tie.
+def deficits(sizes: Mapping[tuple, int], strata: Mapping[str, Sequence], total: int) -> dict[tuple, int]:
+    """How many to take of each stratum of ``sizes``: even shares, then one by one of the stratum with items left that lacks most.
 
-    Candidates are at most ``total`` of each stratum, so the choice is made on the driver
-    over a number of rows that doesn't grow with the items.
+    A stratum lacks what its share, its modality, its difficulty and its source are short of, with weights 4, 2, 2 and 1
+    (the columns in order, then the last one 1). Ties go to the stratum with most items left, then the least name.
     """
-    columns = list(strata)
-    pool = _placed(items, columns, key, seed).filter(F.col("__k") <= total)
-    rows = sorted(((r["__h"], r[key], tuple(r[c] for c in columns)) for r in pool.select("__h", key, *columns).toLocalIterator()))
     targets = even(total, list(product(*strata.values())))
-    sides = [even(total, strata[c]) for c in columns]
-    chosen, left, taken = [], [], Counter()
-    for row in rows:
-        if taken[row[2]] < targets.get(row[2], 0):
-            taken[row[2]] += 1
-            chosen.append(row)
-        else:
-            left.append(row)
-    counts = [Counter(row[2][i] for row in chosen) for i in range(len(columns))]
-    weights = (2, 2, 1)
-
-    def lack(row) -> int:
-        return 4 * max(0, targets.get(row[2], 0) - taken[row[2]]) + sum(w * max(0, side.get(v, 0) - count[v]) for w, side, count, v in zip(weights, sides, counts, row[2], strict=True))
-
-    while len(chosen) < total and left:
-        best = max(range(len(left)), key=lambda i: (lack(left[i]), -i))
-        row = left.pop(best)
-        chosen.append(row)
-        taken[row[2]] += 1
-        for count, v in zip(counts, row[2], strict=True):
+    sides = [even(total, values) for values in strata.values()]
+    weights = [2] * (len(sides) - 1) + [1]
+    taken = {s: min(n, targets.get(s, 0)) for s, n in sizes.items()}
+    counts = [Counter() for _ in sides]
+    for s, n in taken.items():
+        for count, v in zip(counts, s, strict=True):
+            count[v] += n
+
+    def lack(s: tuple) -> int:
+        return 4 * max(0, targets.get(s, 0) - taken[s]) + sum(w * max(0, side.get(v, 0) - count[v]) for w, side, count, v in zip(weights, sides, counts, s, strict=True))
+
+    for _ in range(min(total, sum(sizes.values())) - sum(taken.values())):
+        best = min((s for s in sizes if taken[s] < sizes[s]), key=lambda s: (-lack(s), taken[s] - sizes[s], tuple(map(str, s))))
+        taken[best] += 1
+        for count, v in zip(counts, best, strict=True):
             count[v] += 1
-    keys = items.sparkSession.createDataFrame([(row[1],) for row in chosen], f"{key} string")
-    return items.join(F.broadcast(keys), key, "left_semi")  # total rows
+    return taken
+
+
+def deficit_sample(items: DataFrame, strata: Mapping[str, Sequence[str]], key: str, total: int, seed: int) -> DataFrame:
+    """``total`` items by ``deficits``, of each stratum the first in hash order.
+
+    The driver sees the strata's sizes alone; items are numbered within their stratum and joined with its number.
+    """
+    columns = list(strata)
+    sizes = {tuple(r[c] for c in columns): r["n"] for r in items.groupBy(*columns).agg(F.count("*").alias("n")).collect()}
+    taken = [(*s, n) for s, n in deficits(sizes, strata, total).items() if n]
+    schema = ", ".join(f"`__{c}` {items.schema[c].dataType.simpleString()}" for c in columns) + ", __take long"
+    take = items.sparkSession.createDataFrame(taken, schema)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+    both = _placed(items, columns, key, seed).join(F.broadcast(take), same)  # a row a stratum
+    return both.filter(F.col("__k") <= F.col("__take")).select(items.columns)

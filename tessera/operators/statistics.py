@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.keeping import kept
+
 
 def hashed(*parts: Column) -> Column:
     """A number below 2**32 from the MD5 of parts joined by colons, the same in any engine."""
@@ -19,11 +21,32 @@ def average_rank(value: Column, within: Sequence[str] = ()) -> Column:
     return F.rank().over(Window.partitionBy(*within).orderBy(value)) + (F.count("*").over(ties) - 1) / 2
 
 
+def all_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """(value, k, rank) of every distinct value: rows that have it, and their mean rank among all rows, nulls first.
+
+    Values' counts are dealt out by range; a task ranks its own, behind the rows of the tasks before it.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("k"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = kept(counts.repartitionByRange(tasks, value).withColumn("__task", F.spark_partition_id()))
+    sums = counts.groupBy("__task").agg(F.sum("k").alias("s"))
+    ahead = sums.select("__task", F.coalesce(F.sum("s").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a task
+    here = F.coalesce(F.sum("k").over(Window.partitionBy("__task").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("__here", here).join(F.broadcast(ahead), "__task").select(value, "k", (F.col("ahead") + F.col("__here") + (F.col("k") + 1) / 2).alias("rank"))
+
+
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """1 - 6 sum d^2 / (n (n^2 - 1)) of average ranks, also with ties; 0 below three rows."""
-    ranked = rows.withColumn("__d", average_rank(F.col(x), keys) - average_rank(F.col(y), keys))
+    """1 - 6 sum d^2 / (n (n^2 - 1)) of average ranks, also with ties; 0 below three rows. Without keys all rows are ranked by ``all_ranks``."""
     n = F.count("*")
-    return ranked.groupBy(*keys).agg(F.when(n < 3, 0.0).otherwise(1 - 6 * F.sum(F.col("__d") * F.col("__d")) / (n * (n * n - 1))).alias("rho"), n.alias("n"))
+    if keys:
+        ranked = rows.withColumn("__d", average_rank(F.col(x), keys) - average_rank(F.col(y), keys))
+        return ranked.groupBy(*keys).agg(F.when(n < 3, 0.0).otherwise(1 - 6 * F.sum(F.col("__d") * F.col("__d")) / (n * (n * n - 1))).alias("rho"), n.alias("n"))
+    cells = rows.groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__n"))
+    for c, name in ((x, "__x"), (y, "__y")):
+        ranks = all_ranks(rows, c).select(F.col(c).alias("__v"), F.col("rank").alias(f"{name}_rank"))
+        cells = cells.join(ranks, F.col(name).eqNullSafe(F.col("__v"))).drop("__v")
+    d, n = F.col("__x_rank") - F.col("__y_rank"), F.coalesce(F.sum("__n"), F.lit(0)).cast("double")
+    return cells.agg(F.when(n < 3, 0.0).otherwise(1 - F.try_divide(6 * F.sum(d * d * F.col("__n")), n * (n * n - 1))).alias("rho"), n.cast("long").alias("n"))
 
 
 def holm(tests: DataFrame, family: Sequence[str], p: str, alpha: float = 0.05) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, pairs
 from tessera.plans.registry import query
 from tessera.sources.adapters import GRAPHS, SERIES, graphs, read, series
 
@@ -100,11 +100,9 @@ def series_interpolated(spark, sf_dir):
 @query("series_recurrence", W + SERIES + """, p AS (SELECT a.data_id, a.t AS i, b.t AS j, abs(a.value - b.value) AS d FROM ts a JOIN ts b ON a.data_id = b.data_id), q AS (SELECT data_id, quantile_cont(d, 0.2) AS lim FROM p GROUP BY ALL)
 SELECT data_id, sum((d <= lim)::INT)::BIGINT AS recurrent, count(*) AS cells FROM p JOIN q USING (data_id) GROUP BY data_id""")
 def series_recurrence(spark, sf_dir):
-    """All pairs of one picture's points: a row a point, which holds its series' values."""
-    s = series(spark, sf_dir).groupBy("data_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("v"))
-    d = s.select("data_id", "v", F.explode("v").alias("a")).select("data_id", F.explode(F.transform("v", lambda b: F.abs(F.col("a") - b))).alias("d"))
-    limit = d.groupBy("data_id").agg(F.percentile("d", F.lit(0.2)).alias("lim"))
-    return d.join(limit, "data_id").groupBy("data_id").agg(F.count_if(F.col("d") <= F.col("lim")).alias("recurrent"), F.count("*").alias("cells"))
+    """All pairs of one picture's points, none of which is made: distances are counted over the sorted values."""
+    s = series(spark, sf_dir).groupBy("data_id").agg(F.sort_array(F.collect_list("value")).alias("v"), F.count("*").alias("n"))
+    return s.select("data_id", pairs.recurrent(F.col("v"), 0.2).alias("recurrent"), (F.col("n") * F.col("n")).alias("cells"))
 
 
 @query("series_angular_field", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: 2 * (x::DOUBLE - list_min(embedding)) / (list_max(embedding)::DOUBLE - list_min(embedding)) - 1) AS s FROM embeddings)

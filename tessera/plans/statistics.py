@@ -36,6 +36,14 @@ def spearman_difficulty(spark, sf_dir):
     return both.agg(F.round(1 - 6 * F.sum(d * d * F.col("k")) / (n * (n * n - 1)), 9).alias("rho"), F.sum("k").alias("n"))
 
 
+@query("spearman_latency", W + FACTS + """, x AS (SELECT question_id, max(latency) AS a, avg(exact_match) AS m FROM facts GROUP BY ALL), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 AS rm FROM x)
+SELECT round(1 - 6 * sum((ra - rm) * (ra - rm)) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 9) AS rho, count(*) AS n FROM r""")
+def spearman_latency(spark, sf_dir):
+    """A question's longest latency against its accuracy: as many values as questions, ranked by range."""
+    q = facts(spark, sf_dir).groupBy("question_id").agg(F.max("latency").alias("a"), F.avg("exact_match").alias("m"))
+    return st.spearman(q, [], "a", "m").withColumn("rho", F.round("rho", 9))
+
+
 @query("retention_pearson", W + FACTS + """, g AS (SELECT viz_type, avg(exact_match) AS em FROM facts GROUP BY ALL) SELECT round(corr(r, em), 9) AS r, count(*) AS formats FROM g JOIN (VALUES ('text_only', 1.0::DOUBLE), ('table_image', 0.95), ('bar_chart', 0.8), ('scatter_plot', 0.6), ('heatmap', 0.55), ('node_link', 0.7), ('adjacency_matrix', 0.5)) t(viz_type, r) USING (viz_type)""")
 def retention_pearson(spark, sf_dir):
     g = facts(spark, sf_dir).groupBy("viz_type").agg(F.avg("exact_match").alias("em"))
