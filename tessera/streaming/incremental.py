@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions import scoring
-from tessera.operators.dedupe import is_error, last_good
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -17,27 +18,40 @@ def scored(rows: DataFrame) -> DataFrame:
     return rows.select("*", s["exact"].alias("exact_match"), s["f1"].alias("f1"), s["numeric"].alias("numeric_accuracy"))
 
 
+def first_good(stream: DataFrame, key: Sequence[str], order: str, prediction: str = "prediction") -> DataFrame:
+    """Of each key the last row without an error of the first micro-batch that has one; until then the last error of each batch.
+
+    A key's state says that a good row went out. It lies in the state store, which the checkpoint brings back after
+    a failure; a batch reads its own keys' states, however many rows went out before. Many keys want the RocksDB
+    store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+
+    def choose(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames), ignore_index=True)
+        if state.exists:
+            return
+        good = rows[rows[prediction] != "[ERROR]"]
+        if len(good):
+            state.update((True,))
+        best = (good if len(good) else rows).sort_values(order, kind="stable")
+        yield best.tail(1)
+
+    return stream.groupBy(*key).applyInPandasWithState(choose, stream.schema, "good boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def score_incrementally(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str] = ("question_id", "viz_type"), order: str = "ord") -> StreamingQuery:
-    """Scores new rows and adds those whose key isn't in ``target`` as a good row yet.
+    """Scores new rows and adds those whose key has no good row yet; error rows are tried anew.
 
-    Each micro-batch is an anti join with the keys that batches before it wrote, and is
-    written to a folder of its own, ``batch``, anew: one that stopped half way leaves
-    nothing behind when it runs again. Error rows are tried anew. All that is available
-    is handled, then the query ends.
+    ``target`` is never read: ``first_good`` knows what went out. Each micro-batch is written to a folder of its
+    own, ``batch``, anew: one that stopped half way leaves nothing behind when it runs again. All that is
+    available is handled, then the query ends.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = last_good(batch, list(key), [order], keep_only_errors=True)
-        try:
-            done = spark.read.parquet(target).filter((F.col("batch") != number) & ~is_error()).select(*key)
-            fresh = fresh.join(done, list(key), "left_anti")
-        except Exception as error:  # the first batch: nothing is there
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        scored(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        scored(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    fresh = first_good(stream, list(key), order)
+    return fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
