@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.statistics import hashed
+from tessera.plans import facts as solved
 from tessera.plans import solvers, templates
 from tessera.plans.registry import ORACLES, query
+from tessera.plans.statistics import HASH, SPLIT
 from tessera.plans.variants import ITEMS_EACH, LEVELS, PLAN
+from tessera.sources.adapters import ROWS, SERIES, evaluation_rows, facts, series
 
 #: Difficulty, task and answer (an expression of both engines) of each question of a table, in pool order.
 TABLE_POOL = (
@@ -95,3 +99,82 @@ def graph_items(spark, sf_dir):
     x = templates.graph_counts(spark, sf_dir).join(solvers.graph_degrees(spark, sf_dir).select("data_id", "hub", "isolated", "top_degree", "leaves"), "data_id")
     x = x.join(solvers.graph_summaries(spark, sf_dir).select("data_id", "diameter", "bipartite", "central"), "data_id").join(solvers.graph_clustering(spark, sf_dir), "data_id").join(added, "data_id", "left")
     return planned(x, F.col("data_id"), GRAPH_POOL)
+
+
+#: Words of a question.
+WORDS = "[a-z0-9]+"
+
+
+@query("classified_selector", "WITH " + SPLIT + f""", tr AS (SELECT modality, task, unnest(regexp_extract_all(lower(question), '{WORDS}')) AS w FROM h WHERE train), k AS (SELECT modality, task, w, count(*) AS k FROM tr GROUP BY ALL), v AS (SELECT modality, count(DISTINCT w) AS size FROM k GROUP BY ALL), t AS (SELECT modality, task, sum(k.k) AS total FROM k GROUP BY ALL),
+c AS (SELECT *, sum(seen) OVER (PARTITION BY modality) AS every FROM (SELECT modality, task, count(*) AS seen FROM h WHERE train GROUP BY modality, task)), te AS (SELECT DISTINCT question_id, modality, task, question FROM h WHERE NOT train), u AS (SELECT question_id, modality, unnest(regexp_extract_all(lower(question), '{WORDS}')) AS w FROM te), z AS (SELECT question_id, count(*) AS q FROM u GROUP BY ALL),
+s AS (SELECT u.question_id, k.task, sum(ln(k.k + 1)) AS said FROM u JOIN k USING (modality, w) GROUP BY ALL),
+g AS (SELECT te.question_id, any_value(te.task) AS task, arg_max(c.task, (round(ln(seen / every) + coalesce(said, 0) - coalesce(q, 0) * ln(total + size), 6), c.task)) AS guess FROM te LEFT JOIN z USING (question_id) JOIN c USING (modality) JOIN t ON t.modality = te.modality AND t.task = c.task JOIN v ON v.modality = te.modality LEFT JOIN s ON s.question_id = te.question_id AND s.task = c.task GROUP BY te.question_id),
+o AS (SELECT h.model, question_id, any_value(g.task = guess) AS hit, max(CASE WHEN viz_type = b.chosen THEN exact_match END) AS known, max(CASE WHEN viz_type = x.chosen THEN exact_match END) AS told, avg(exact_match) AS mean, max(exact_match) AS best FROM h JOIN g USING (question_id) LEFT JOIN b ON b.modality = h.modality AND b.task = h.task LEFT JOIN b x ON x.modality = h.modality AND x.task = guess WHERE NOT train GROUP BY ALL)
+SELECT model, count(*) AS n, round(avg(mean), 9) AS single, round(avg(coalesce(known, mean)), 9) AS by_task, round(avg(coalesce(told, mean)), 9) AS by_guess, round(avg((best >= 0.5)::INT), 9) AS oracle, round(avg(hit::INT), 9) AS task_accuracy FROM o GROUP BY model""")
+def classified_selector(spark, sf_dir):
+    """The format selector fed with the task that a question's words tell (multinomial Bayes within a modality), beside the one that knows the task.
+
+    Classes are few, so a question's scores are a row a class; its evidence is one sum over the words its classes know.
+    """
+    h = facts(spark, sf_dir).withColumn("train", F.conv(F.substring(F.md5("question_id"), 32, 1), 16, 10).cast("int") % 2 == 0)
+    train, test = h.filter("train"), h.filter("not train")
+    words = F.regexp_extract_all(F.lower("question"), F.lit(WORDS), F.lit(0))
+    k = train.select("modality", "task", F.explode(words).alias("w")).groupBy("modality", "task", "w").agg(F.count("*").alias("k"))
+    known = k.groupBy("modality").agg(F.count_distinct("w").alias("v"))
+    c = train.groupBy("modality", "task").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("modality")))
+    classes = c.join(k.groupBy("modality", "task").agg(F.sum("k").alias("t")), ["modality", "task"]).join(known, "modality").withColumnRenamed("task", "class")
+    asked = test.select("question_id", "modality", "task", words.alias("words")).distinct()
+    found = asked.select("question_id", "modality", F.explode("words").alias("w")).join(k.withColumnRenamed("task", "class"), ["modality", "w"]).groupBy("question_id", "class").agg(F.sum(F.ln(F.col("k") + 1)).alias("s"))
+    scored = asked.join(classes, "modality").join(found, ["question_id", "class"], "left")
+    score = F.round(F.ln(F.col("c") / F.col("n")) + F.coalesce("s", F.lit(0.0)) - F.size("words") * F.ln(F.col("t") + F.col("v")), 6)
+    guess = scored.groupBy("question_id").agg(F.max_by("class", F.struct(score, "class")).alias("guess"))
+    means = train.groupBy("modality", "task", "viz_type").agg(F.avg("exact_match").alias("m"))
+    tops = means.groupBy("modality", "task").agg(F.max("m").alias("top"))
+    best = means.join(tops, ["modality", "task"]).filter("m = top").groupBy("modality", "task").agg(F.min("viz_type").alias("chosen"))
+    rows = test.join(guess, "question_id").join(best, ["modality", "task"], "left")
+    rows = rows.join(best.select("modality", F.col("task").alias("guess"), F.col("chosen").alias("told")), ["modality", "guess"], "left")
+    em = lambda viz: F.max(F.when(F.col("viz_type") == F.col(viz), F.col("exact_match")))
+    o = rows.groupBy("model", "question_id").agg(F.first(F.col("task") == F.col("guess")).alias("hit"), em("chosen").alias("known"), em("told").alias("told"), F.avg("exact_match").alias("mean"), F.max("exact_match").alias("best"))
+    mean = lambda x, name: F.round(F.avg(x), 9).alias(name)
+    return o.groupBy("model").agg(F.count("*").alias("n"), mean("mean", "single"), mean(F.coalesce("known", "mean"), "by_task"), mean(F.coalesce("told", "mean"), "by_guess"), mean((F.col("best") >= 0.5).cast("int"), "oracle"), mean(F.col("hit").cast("int"), "task_accuracy"))
+
+
+#: The bounds of a format's category, in the order in which they are tried.
+CATEGORY = "CASE WHEN retrievability < 0.4 THEN 'information_loss' WHEN retrievability >= 0.6 AND em < 0.3 THEN 'reasoning_failure' WHEN em >= 0.4 THEN 'adequate' ELSE 'mixed' END"
+
+
+@query("retention_categories", f"SELECT *, {CATEGORY} AS category FROM ({ORACLES['retention']})")
+def retention_categories(spark, sf_dir):
+    """What holds a format back: what it loses, or how it is read."""
+    return solved.retention(spark, sf_dir).withColumn("category", F.expr(CATEGORY))
+
+
+#: What refusals say.
+REFUSALS = ("i cannot", "i can't", "cannot answer", "can't answer", "unable", "insufficient", "not enough information", "as an ai", "sorry", "do not have")
+REFUSED = " OR ".join("contains(said, '" + r.replace("'", "''") + "')" for r in REFUSALS)
+
+
+@query("answer_lengths", "WITH " + ROWS + f""", p AS (SELECT model, regexp_replace(lower(trim(prediction)), '\\s+', ' ', 'g') AS said FROM aer), s AS (SELECT model, ({REFUSED})::INT AS refused, CASE WHEN said = '' THEN 0 ELSE len(string_split(said, ' ')) END AS tokens FROM p) SELECT model, sum(refused)::BIGINT AS refusals, round(avg(refused), 9) AS refusal_rate, avg(tokens) AS mean_tokens, median(tokens) AS median_tokens FROM s GROUP BY model""")
+def answer_lengths(spark, sf_dir):
+    """Refusals, and the words of answers."""
+    said = evaluation_rows(spark, sf_dir).select("model", F.regexp_replace(F.lower(F.trim("prediction")), r"\s+", " ").alias("said"))
+    refused = F.lit(False)
+    for words in REFUSALS:
+        refused = refused | F.contains(F.col("said"), F.lit(words))
+    s = said.select("model", refused.cast("int").alias("refused"), F.when(F.col("said") == "", 0).otherwise(F.size(F.split("said", " "))).alias("tokens"))
+    return s.groupBy("model").agg(F.sum("refused").alias("refusals"), F.round(F.avg("refused"), 9).alias("refusal_rate"), F.avg("tokens").alias("mean_tokens"), F.median("tokens").alias("median_tokens"))
+
+
+#: Points of a window, and windows of a series.
+WIDTH, CHOSEN = 20, 3
+
+
+@query("series_window_sample", "WITH " + SERIES + f""", w AS (SELECT data_id, t // {WIDTH} * {WIDTH} AS start, list(round(value, 6) ORDER BY t) AS vals FROM ts GROUP BY ALL HAVING count(*) = {WIDTH} OR min(t) = 0),
+n AS (SELECT *, count(*) OVER (PARTITION BY data_id) AS many FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY {HASH.format("'42:' || data_id || ':' || start")}, start) AS k FROM n WHERE len(vals) = {WIDTH} OR many = 1) SELECT data_id, start, vals FROM o WHERE k <= {CHOSEN}""")
+def series_window_sample(spark, sf_dir):
+    """Of each series' whole windows, which don't overlap, three by hash; a series shorter than a window is one itself."""
+    s = series(spark, sf_dir).withColumn("start", F.floor(F.col("t") / WIDTH) * WIDTH)
+    w = s.groupBy("data_id", "start").agg(F.sort_array(F.collect_list(F.struct("t", F.round("value", 6).alias("value")))).alias("p")).select("data_id", "start", F.transform("p", lambda x: x["value"]).alias("vals"))
+    whole = (F.size("vals") == WIDTH) | (F.col("start") == 0)  # a first window that isn't whole is the only one
+    order = Window.partitionBy("data_id").orderBy(hashed(F.lit(42), F.col("data_id"), F.col("start")), "start")
+    return w.filter(whole).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= CHOSEN).select("data_id", "start", "vals")
