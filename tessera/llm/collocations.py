@@ -62,17 +62,16 @@ class _Lists:
 
     def batch(self, lang: str, block: int) -> pa.RecordBatch:
         at = np.frombuffer(self.at, dtype=np.int32)
-        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :].astype(np.int32)
-        counts = np.bincount(at[at >= 0], minlength=len(self.codes)).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts) * 4])
-        places = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(order)])
-        n = len(counts)
+        places = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :].astype("<i4")
+        counts = np.bincount(at[at >= 0], minlength=len(self.codes)).astype(np.int32)
         words = pa.array(list(self.codes), pa.binary()).cast(pa.string())
-        return pa.record_batch([pa.array([lang] * n, pa.string()), words, pa.array(np.full(n, block)), pa.array(counts), places.cast(pa.binary())], names=["lang", "word", "block", "found", "places"])
+        ends = pa.array([0, len(words)], pa.int32())
+        columns = {"lang": pa.array([lang], pa.string()), "block": pa.array([block], pa.int64()), "words": pa.ListArray.from_arrays(ends, words), "counts": pa.ListArray.from_arrays(ends, pa.array(counts)), "places": pa.array([places.tobytes()], pa.binary())}
+        return pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def postings(texts: DataFrame, size: int = PLACES) -> DataFrame:
-    """(lang, word, block, found, places) of (lang, text): a row a word and block, a block has one language; places: ascending, as 32-bit integers, ``found`` of them."""
+    """(lang, block, words, counts, places) of (lang, text), a row a block of one language: its words, their lists' lengths, and the lists one after the other, ascending 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, lists, held = TaskContext.get().partitionId() << 32, {}, 0
@@ -84,7 +83,7 @@ def postings(texts: DataFrame, size: int = PLACES) -> DataFrame:
                     block, lists, held = block + len(lists), {}, 0
         yield from (own.batch(k, block + i) for i, (k, own) in enumerate(lists.items()))
 
-    return texts.mapInArrow(lean(run), "lang string, word string, block long, found long, places binary")
+    return texts.mapInArrow(lean(run), "lang string, block long, words array<string>, counts array<int>, places binary")
 
 
 def _mixed(keys: list[np.ndarray], room: int) -> np.ndarray:
@@ -159,12 +158,23 @@ def extended(index: DataFrame, size: int, maps: list) -> DataFrame:
     return index.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names) + ", found long")
 
 
-def _index(frame: pa.Table) -> pa.Table:
-    """One row of a block: its words' numbers, list lengths and lists, one after the other."""
-    places = [x.as_py() for x in frame["places"].combine_chunks()]
-    counts = np.array([len(p) // 4 for p in places], "<i4")
-    rows = {"ids": np.asarray(frame["id"].combine_chunks()).astype("<i8").tobytes(), "counts": counts.tobytes(), "places": b"".join(places)}
-    return pa.table({k: pa.array([v], pa.binary()) for k, v in rows.items()})
+def _numbers(frame: pa.Table) -> pa.Table:
+    """One row of a block: which of its words are frequent, and their numbers."""
+    codes, ids = (np.asarray(frame[c].combine_chunks()) for c in ("code", "id"))
+    order = np.argsort(codes)
+    return pa.table({"block": frame["block"][:1], "codes": pa.array([codes[order].astype("<i4").tobytes()], pa.binary()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary())})
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the lists of their frequent words alone."""
+    for batch in batches:
+        for ids, codes, counts, places in zip(*(batch[c] for c in ("ids", "codes", "counts", "places")), strict=True):
+            counts, codes = np.asarray(counts.values), np.frombuffer(codes.as_py(), "<i4")
+            known = np.zeros(len(counts), bool)
+            known[codes] = True
+            kept = np.frombuffer(places.as_py(), "<i4")[np.repeat(known, counts)]
+            rows = {"ids": ids.as_py(), "counts": counts[codes].astype("<i4").tobytes(), "places": kept.tobytes()}
+            yield pa.record_batch([pa.array([v], pa.binary()) for v in rows.values()], names=list(rows))
 
 
 def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES, room: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,8 +187,9 @@ def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES
     small_batches(spark)
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole("text").alias("text"))
     lists = written(postings(texts, places))
-    sizes = checkpointed(lists.groupBy("lang").agg(F.sum("found").alias("n")))
-    words = lists.groupBy("lang", "word").agg(F.sum("found").alias("a")).filter(F.col("a") >= least)
+    sizes = checkpointed(lists.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda n, x: n + x)).alias("n")))
+    own = lists.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "list")).select("lang", "block", "code", F.col("list.words").alias("word"), F.col("list.counts").alias("found"))
+    words = own.groupBy("lang", "word").agg(F.sum("found").alias("a")).filter(F.col("a") >= least)
     words = checkpointed(words.withColumn("id", F.monotonically_increasing_id()))
     hashed = F.xxhash64("lang", "word")
     known = spark.sparkContext.broadcast(bit_map(words.select(hashed.alias("w")), ["w"], room))
@@ -187,10 +198,12 @@ def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES
     def perhaps(h: pd.Series) -> pd.Series:
         return pd.Series(_told(known.value, _mixed([h.to_numpy()], 8 * len(known.value))))
 
-    # most words are rare: their lists don't go through the join
-    lasting = lists.filter(perhaps(hashed)).drop("found").join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "id", "places")
-    index = written(lasting.groupBy("block").applyInArrow(_index, "ids binary, counts binary, places binary"))
-    del lasting
+    # most words are rare: they don't go through the join; lists stay with their block
+    numbers = own.filter(perhaps(hashed)).join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "code", "id")
+    numbers = numbers.groupBy("block").applyInArrow(_numbers, "block long, codes binary, ids binary")
+    index = lists.select("block", "counts", "places").join(numbers, "block").select("ids", "codes", "counts", "places")
+    index = written(index.mapInArrow(lean(_indexed), "ids binary, counts binary, places binary"))
+    del numbers, own
     forgotten(lists)
     counts = words.select(F.array("id").alias("ids"), "lang", "a")
     langs = words.select("id", "lang")
