@@ -143,7 +143,7 @@ def _bucket(bounds: list[int]):
     def of(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(values, keys)
         own = np.minimum(at, len(values) - 1)
-        part = ((hashes >> 11) + (1 << 52)) * many[own] >> 53  # of the hash's 53 upper bits
+        part = ((hashes >> 33) + (1 << 30)) * many[own] >> 31  # of the hash's 31 upper bits
         return begins[at] + np.where(values[own] == keys, part, 0)
 
     return of
@@ -158,10 +158,10 @@ def _bucketed(rows: DataFrame, tasks: int) -> DataFrame:
     @F.pandas_udf("long")
     def bucket(place: pd.Series, hashed: pd.Series) -> pd.Series:
         h = hashed.to_numpy(dtype=np.int64)
-        return pd.Series((((h >> 11) + (1 << 52)) * none >> 53) if of is None else none + of(place.to_numpy(dtype=np.int64), h))
+        return pd.Series(none + of(place.to_numpy(dtype=np.int64), h))
 
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    null = F.floor((F.shiftright("hash", 11) + (1 << 52)) * none / F.lit(float(1 << 53))).cast("long")
+    null = F.shiftright((F.shiftright("hash", 33) + (1 << 30)) * F.lit(none).cast("long"), 31)
     return rows.withColumn("bucket", F.when(F.col("place").isNull(), null).otherwise(bucket(F.coalesce("place", F.lit(0)), "hash")) if of else null)
 
 
