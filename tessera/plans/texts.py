@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parsing, paraphrase, scoring
 from tessera.plans.registry import query
-from tessera.sources.adapters import TASKS, pick, read
+from tessera.sources.adapters import pick, read
 
 #: Shapes of answers by orderkey; %s is the gold value.
 SHAPES = (
@@ -80,10 +80,39 @@ def extraction_flips(spark, sf_dir):
     return texts(spark, sf_dir).select(scoring.exact_match(F.col("prediction"), F.col("answer")).alias("e")).agg(F.count("*").alias("n"), F.sum("e").alias("before"))
 
 
-@query("parsed_answers")
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+EDGED = f"trim({{0}}, {_quoted(parsing.EDGES)})"
+UNMARKED = EDGED.format(r"regexp_replace(regexp_replace(regexp_replace(prediction, '`{1,3}([^`]*)`{1,3}', '\1', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '\s+', ' ', 'g')")
+SHORT = "whole"
+for opening in parsing.OPENINGS:
+    SHORT = f"trim(regexp_replace({SHORT}, {_quoted(opening)}, ''))"
+SQL_YES_NO = r"""CASE WHEN regexp_matches({0}, '(?i)^yes\b') THEN 'yes' WHEN regexp_matches({0}, '(?i)^no\b') THEN 'no' WHEN regexp_matches({0}, '(?i)\b(yes|true)\b') THEN 'yes'
+ WHEN regexp_matches({0}, '(?i)\b(no|false|not connected|not directly|cannot|wouldn''t|would not)\b') THEN 'no' WHEN {0} = '0' THEN 'no' WHEN {0} = '1' THEN 'yes' END"""
+SQL_NUMBER = r"""CASE WHEN regexp_full_match(short, '[-+]?\d*\.?\d+') THEN short WHEN regexp_matches(short, '(is|=|:)\s*[-+]?\d*\.?\d+\s*[.!]?\s*$') THEN regexp_extract(short, '(is|=|:)\s*([-+]?\d*\.?\d+)\s*[.!]?\s*$', 2)
+ ELSE list_last(regexp_extract_all(short, '[-+]?\d*\.?\d+')) END"""
+SQL_DIRECTION = "CASE " + " ".join(f"WHEN contains(lower(short), '{word}') THEN '{word}'" for _, word in parsing.DIRECTIONS) + " END"
+SUBJECT = EDGED.format(r"regexp_split_to_array(short, '\b(has|have|is|are|was|were|the|with|which|that)\b')[1]")
+SQL_LABEL = f"""CASE WHEN regexp_matches(short, '[''"][^''"]+[''"]') THEN trim(regexp_extract(short, '[''"]([^''"]+)[''"]', 1)) WHEN length({SUBJECT}) BETWEEN 1 AND 79 THEN {SUBJECT} ELSE short END"""
+
+
+def _in_kind(kind: str) -> str:
+    names = ", ".join(_quoted(name) for name in parsing.KINDS[kind])
+    return "(" + " OR ".join([f"task IN ({names})", *(f"contains(task, {_quoted(hint)})" for hint in parsing.HINTS.get(kind, ()))]) + ")"
+
+
+@query("parsed_answers", "WITH " + TEXTS + f""", k AS (SELECT id, prediction, ([{', '.join(_quoted(t) for t in parsing.ALL_TASKS)}])[id % {len(parsing.ALL_TASKS)} + 1] AS task FROM p),
+w AS (SELECT id, task, {UNMARKED} AS whole FROM k), s AS (SELECT *, {EDGED.format(SHORT)} AS short FROM w),
+r AS (SELECT *, {SQL_YES_NO.format('whole')} AS yes_whole, {SQL_YES_NO.format('short')} AS yes_short, {SQL_NUMBER} AS num, {SQL_DIRECTION} AS dir, {SQL_LABEL} AS label, len(list_filter(string_split(short, ' '), lambda x: x <> '')) AS n FROM s)
+SELECT id, task, CASE WHEN {' OR '.join(f'regexp_matches(short, {_quoted(p)})' for p in parsing.REFUSALS)} THEN coalesce(num, '[REFUSED]')
+ WHEN {_in_kind('yes_no')} AND coalesce(yes_whole, yes_short) IS NOT NULL THEN coalesce(yes_whole, yes_short) WHEN {_in_kind('number')} AND num IS NOT NULL THEN num WHEN {_in_kind('direction')} AND dir IS NOT NULL THEN dir
+ WHEN task = 'change_point' AND regexp_matches(short, '(?i)\\b(none|no significant|no clear|no change)\\b') THEN 'none' WHEN task = 'change_point' AND num IS NOT NULL THEN num WHEN {_in_kind('label')} THEN label
+ WHEN n <= 3 THEN lower(short) WHEN n <= 6 AND yes_short IS NOT NULL THEN yes_short WHEN n > 5 AND num IS NOT NULL THEN num ELSE coalesce(dir, lower(short)) END AS parsed FROM r""")
 def parsed_answers(spark, sf_dir):
-    """Responses parsed by their tasks; tested against a plain implementation."""
-    rows = texts(spark, sf_dir).withColumn("task", pick(TASKS, F.col("id") % 5))
+    """Responses parsed by their tasks, of every kind and of none."""
+    rows = texts(spark, sf_dir).withColumn("task", pick(parsing.ALL_TASKS, F.col("id") % len(parsing.ALL_TASKS)))
     return rows.select("id", "task", parsing.parsed(F.col("prediction"), F.col("task")).alias("parsed"))
 
 

@@ -87,6 +87,26 @@ def test_extracted(spark, text, want):
         ("no significant change", "change_point", "none"),
         ("0", "connectivity", "no"),
         ("Blue", "other", "blue"),
+        ("Sorry, but I counted 7 of them", "connectivity", "7"),
+        ("True, they are joined", "boolean_check", "yes"),
+        ("They are not directly joined", "connectivity", "no"),
+        ("There are between 3 and 12 nodes here", "node_count", "12"),
+        ("There are many", "node_count", "there are many"),
+        ("First Half is more volatile", "volatility", "first half"),
+        ("Hard to say for this one", "volatility", "hard to say for this one"),
+        ("The change is at 17", "change_point", "17"),
+        ("Somewhere in the middle", "change_point", "Somewhere in"),
+        ("Company C was the largest of all", "comparison", "Company C"),
+        ("the has of it", "ranking", "the has of it"),
+        ("The has of it", "ranking", "The"),
+        ("I think that yes holds", "other", "yes"),
+        ("We found that all seven of them sum up to 40 points", "other", "40"),
+        ("Over all of the years it seems higher", "other", "higher"),
+        ("Final answer:   `-3.5`.", "value_lookup", "-3.5"),
+        ("", "ranking", ""),
+        (" \u2003 ", "other", ""),
+        (None, "ranking", None),
+        ("7", None, None),
     ],
 )
 def test_parsed(spark, raw, task, want):
