@@ -457,3 +457,41 @@ def test_html_names(open_, close):
     assert text == f"Short\n{PROSE.strip()}"
     both = html_main.extract(f"<html><body><article><p>{PROSE}</p><section id='related-work'><h2>Related</h2><p>{PROSE}</p></section><div class='share'>Share it</div></article></body></html>")
     assert both == f"{PROSE.strip()}\nRelated\n{PROSE.strip()}"
+
+
+COMMENTS = "I think that this is, on the whole, a fine idea; others, though, may not agree. " * 12
+ARTICLE, ARTICLE_TEXT = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>", f"Title\n{PROSE.strip()}\n{PROSE.strip()}"
+
+
+@pytest.mark.parametrize("name", ["comments", "user-comments", "comment-body", "userComments", "reader-replies", "advert-slot", "ad-wrapper", "sponsored"])
+@pytest.mark.parametrize("page", ["<article>{0}<section class='{1}'><h3>Say</h3><p>{2}</p></section></article>", "<div>{0}</div><div id='{1}'><h3>Say</h3><p>{2}</p></div>", "<article>{0}</article><section class='{1}'><article class='{1}'><p>{2}</p></article></section>"])
+def test_html_comments(page, name):
+    """Comments and adverts go, however long they are, with and without a marked article."""
+    assert html_main.extract(page.format(ARTICLE, name, COMMENTS)) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("name", ["site-footer", "more-stories", "newsletter-signup", "main-nav", "sidebar widget", "related"])
+def test_html_compound_names(name):
+    beside = f"<div class='{name}'><p>Copyright, all rights are ours; write to us.</p></div>"
+    assert html_main.extract(f"<article>{ARTICLE}{beside}</article>") == ARTICLE_TEXT
+    assert html_main.extract(f"<div>{ARTICLE}</div>{beside}") == ARTICLE_TEXT
+    # around the article it tells nothing, nor do titles and states
+    assert html_main.extract(f"<div class='{name}'>{ARTICLE}</div>") == ARTICLE_TEXT
+    assert html_main.extract(f"<article>{beside[:-10]}</p></div><h2 id='comments-on-{name[:4]}'>Told</h2><p class='no-comments'>{PROSE}</p></article>").endswith(f"Told\n{PROSE.strip()}")
+
+
+def test_html_forms():
+    assert html_main.extract(f"<form><article>{ARTICLE}</article><input></form>") == ARTICLE_TEXT
+    assert html_main.extract(f"<form action=x>{ARTICLE}<div><label>Name</label></div></form>") == ARTICLE_TEXT
+    assert html_main.extract(f"<article>{ARTICLE}<form><p>Your mail please</p></form></article>") == ARTICLE_TEXT
+    assert html_main.extract(f"<div>{ARTICLE}</div><form><label>Your mail</label><p>and more</p></form>") == ARTICLE_TEXT
+
+
+def test_html_beside():
+    """Tables and quotes between or beside kept blocks stay; within a marked article sparse paths that aren't prose go by their ratios."""
+    inner = f"<p>{PROSE}</p><table><tr><th>k</th><th>v</th></tr><tr><td>one</td><td>2</td></tr></table><blockquote><p>Short quote</p></blockquote>"
+    assert html_main.extract(f"<div>{inner}<p>{PROSE}</p></div>") == f"{PROSE.strip()}\nk\nv\none\n2\nShort quote\n{PROSE.strip()}"
+    assert html_main.extract(f"<div>{inner}</div><div><a href='x'>a</a> <a href='y'>b</a></div>") == f"{PROSE.strip()}\nk\nv\none\n2\nShort quote"
+    sparse = "<section><div>Like</div><div><div>Tweet</div><div><div>Mail</div><section>Pin</section></div></div></section>"
+    assert html_main.extract(f"<article><p>{PROSE}</p><p>Short.</p><table><tr><td>1</td></tr></table>{sparse}</article>") == f"{PROSE.strip()}\nShort.\n1"
+    assert html_main.extract("<div class='comments'><p>all of it</p></div>") == "all of it"
