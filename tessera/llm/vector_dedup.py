@@ -1,13 +1,17 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass hashes every vector, taken from the mean of its label, with its own random
-hyperplanes, orders vectors of a label lexicographically by the concatenated hash
-bits and compares each with its ``window`` neighbours in that order. Pairs whose
+Each pass hashes every vector, taken from a centre of its label, with its own random hashes: the
+place and sign of the largest of ``DIRECTIONS`` random projections. It orders vectors of a label lexicographically by the
+concatenated hashes and compares each with its ``window`` neighbours in that order. Pairs whose
 exact cosine passes the threshold are kept and united across all passes. A task
 streams its part of the order and holds ``window`` rows of it; the first and last
 rows of each part meet those of the next in a second step, so neither cuts nor the
 number of partitions change what is compared.
 
+The centres come from a sample of some ``SAMPLE`` vectors a label, by hash: its mean, for the first ``PLAIN`` passes, and
+for all others up to ``CELLS`` centres, each row taken from its nearest one, so that hashes tell apart what lies in a
+tight cluster. The plain passes find pairs that two cells cut. Labels of no more than ``window`` vectors are compared whole.
+
 Links are counted exactly within the united groups: a group's vectors are compared
 in blocks of bounded size, of which each gives one count a vector, so no pairs are
 written; a block all of whose vectors lie within half the threshold's angle of their
@@ -40,8 +44,14 @@ from tessera.llm.components import components
 CHUNK = 2_048
 #: Rows of a product of matrices.
 TILE = 256
-#: Up to so many bytes of means are sent to every executor; beyond, they are joined by a shuffle.
-BROADCAST_MEANS = 8_000_000
+#: Vectors of a label, about, that its centres come from; centres of a label at most; no more centres once each vector is so near to one.
+SAMPLE, CELLS, NEAR = 1_024, 32, 0.9
+#: Passes that take a label's mean as its only centre.
+PLAIN = 3
+#: Projections of which a hash names the largest.
+DIRECTIONS = 32
+#: Up to so many bytes of centres are sent to every executor; beyond, they are joined.
+BROADCAST_CENTRES = 8_000_000
 
 
 def _usable(vector) -> np.ndarray | None:
@@ -63,10 +73,10 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "vector": out, "width": size})
 
 
-def _planes(dims: int, passes: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dims, passes * bits))
-
-
+def _directions(dims: int, passes: int, hashes: int, seed: int) -> np.ndarray:
+    """For each pass and hash, directions as columns: at right angles where there are dimensions enough."""
+    out = np.random.default_rng(seed).standard_normal((passes, hashes, dims, DIRECTIONS))
+    return np.linalg.qr(out)[0] if dims >= DIRECTIONS else out / np.linalg.norm(out, axis=2, keepdims=True)
 
 
 def _matrix(vectors: list[bytes], width: int) -> np.ndarray:
@@ -87,26 +97,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / _norms(x)[:, None]
 
 
-def _means(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of unit vectors by label and kind."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for frame in frames:
-        for (label, kind), part in frame.groupby(["label", "kind"]):
-            total = _unit(_matrix(part["vector"].tolist(), int(kind) >> 32)).sum(axis=0)
-            sums[label, kind] = sums.get((label, kind), 0) + total
-        if len(sums) > 10_000:
-            yield _sums(sums)
-            sums = {}
-    yield _sums(sums)
-
-
-def _sums(sums: dict) -> pd.DataFrame:
-    return pd.DataFrame([(label, kind, total.tobytes()) for (label, kind), total in sums.items()], columns=["label", "kind", "mean"])
-
-
-def _mean(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x) for x in frame["mean"]], axis=0)
-    return pd.DataFrame({"label": frame["label"].iloc[:1], "kind": frame["kind"].iloc[:1], "mean": [total.tobytes()]})
+def _centres(frame: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a label's sample, then its cells' centres: vectors farthest from those before, moved to the means of what is nearest."""
+    frame = frame.sort_values("vector")  # whatever order the rows come in
+    unit = _unit(_matrix(frame["vector"].tolist(), int(frame["kind"].iloc[0]) >> 32))
+    best, chosen = unit @ unit[0], [0]
+    while len(chosen) < CELLS and best.min() < NEAR:
+        chosen.append(int(best.argmin()))
+        best = np.maximum(best, unit @ unit[chosen[-1]])
+    centres = unit[chosen]
+    for _ in range(3):
+        cell = (unit @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, unit)
+        filled = np.bincount(cell, minlength=len(centres))[:, None]
+        centres = np.where(filled > 0, total / np.maximum(filled, 1), centres)
+    centres = np.concatenate([unit.mean(axis=0)[None], centres])
+    return pd.DataFrame({"label": frame["label"].iloc[:1].tolist(), "kind": frame["kind"].iloc[:1].tolist(), "centres": [centres.tobytes()]})
+
+
+def _codes(plain: np.ndarray, celled: np.ndarray, cell: np.ndarray, directions: np.ndarray) -> Iterator[np.ndarray]:
+    """Each pass's code of each row: its cell, but in the plain passes, and the hashes, first ones first."""
+    for p, some in enumerate(directions):
+        x = plain if p < PLAIN else celled
+        code = np.zeros(len(x), dtype="i8") if p < PLAIN else cell.astype("i8")
+        for hash_ in some:
+            y = x @ hash_
+            largest = np.abs(y).argmax(axis=1)
+            code = code * (2 * DIRECTIONS) + 2 * largest + (y[np.arange(len(y)), largest] < 0)
+        yield code
 
 
 def _run_labels(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
@@ -127,18 +146,26 @@ def _run_labels(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
 
 
 def _near(x: np.ndarray, run: np.ndarray, at: np.ndarray, cosine: float, window: int, since: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of one run, at most ``window`` places apart, j not before row ``since``, whose cosine passes."""
+    """Pairs that join what links: rows of one run, at most ``window`` places apart, one of them not before row ``since``, whose cosine passes."""
     x = _scaled(x)
     unit, norms = _unit(x), _norms(x)
     found = []
-    for step in range(1, min(window, len(x) - 1) + 1):
-        i = np.arange(max(0, since - step), len(x) - step)
-        j = i + step
-        # j - i rows apart in this frame, and not more in the order itself
-        near = (np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine - 1e-9) & (run[i] == run[j]).all(axis=1) & (at[j] - at[i] <= window)
-        i, j = i[near], j[near]
-        exact = np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j]) >= cosine
-        found.append((i[exact], j[exact]))
+    for start in range(since, len(x), TILE):
+        low, end = max(0, start - window), min(start + TILE, len(x))
+        got = unit[start:end] @ unit[low:end].T
+        j, i = np.nonzero(got >= cosine - 1e-9)
+        doubtful = np.abs(got[j, i] - cosine) < 1e-9
+        i, j = i + low, j + start
+        # places, not rows: a frame may lack some between
+        near = (i < j) & (at[j] - at[i] <= window) & (run[i] == run[j]).all(axis=1)
+        i, j, doubtful = i[near], j[near], doubtful[near]
+        # where rounding may decide: cosine of the vectors themselves
+        sure = ~doubtful
+        a, b = i[doubtful], j[doubtful]
+        sure[doubtful] = np.einsum("ij,ij->i", x[a], x[b]) / (norms[a] * norms[b]) >= cosine
+        label = _run_labels(i[sure] - low, j[sure] - low, end - low)
+        other = np.nonzero(label != np.arange(end - low))[0]
+        found.append((label[other] + low, other + low))
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, dtype=int),) * 2
 
 
@@ -198,28 +225,39 @@ def _across(frame: pd.DataFrame, cosine: float, window: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def links(reps: DataFrame, cosine: float, passes: int, bits: int, window: int, seed: int) -> DataFrame:
+def links(reps: DataFrame, cosine: float, passes: int, hashes: int, window: int, seed: int) -> DataFrame:
     """(a, b) pairs that join what the passes find, of rows (id, label, vector, width)."""
+    spark = reps.sparkSession
     reps = reps.withColumn("kind", F.shiftleft(F.col("width").cast("long"), 32) + F.octet_length("vector"))
-    means = checkpointed(reps.select("label", "kind", "vector").mapInPandas(_means, "label long, kind long, mean binary").groupBy("label", "kind").applyInPandas(_mean, "label long, kind long, mean binary"))
     counts = reps.groupBy("label", "kind").agg(F.count("*").alias("n"))
-    means = means.join(counts, ["label", "kind"])
-    if (means.agg(F.sum(F.octet_length("mean") + 32)).first()[0] or 0) <= BROADCAST_MEANS:
-        means = F.broadcast(means)
+    sample = reps.join(counts, ["label", "kind"]).filter(F.pmod(F.xxhash64("vector", F.lit(seed)), F.col("n")) < SAMPLE)
+    centres = checkpointed(sample.select("label", "kind", "vector").groupBy("label", "kind").applyInPandas(_centres, "label long, kind long, centres binary"))
+    known = None
+    if (centres.agg(F.sum(F.octet_length("centres") + 32)).first()[0] or 0) <= BROADCAST_CENTRES:
+        known = spark.sparkContext.broadcast({(r["label"], r["kind"]): bytes(r["centres"]) for r in centres.collect()})
+        rows = reps.withColumn("centres", F.lit(None).cast("binary"))
+    else:
+        rows = reps.join(centres, ["label", "kind"])
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        directions: dict[int, np.ndarray] = {}
         for frame in frames:
             for kind, part in frame.groupby("kind"):
                 x = _unit(_matrix(part["vector"].tolist(), int(kind) >> 32))
-                x -= np.frombuffer(b"".join(part["mean"])).reshape(len(x), -1) / part["n"].to_numpy()[:, None]
-                signs = x @ _planes(x.shape[1], passes, bits, seed) >= 0
-                weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
-                for p in range(passes):
-                    yield pd.DataFrame({"pass": p, "label": part["label"], "kind": kind, "code": signs[:, p * bits : (p + 1) * bits] @ weights, "name": part["name"], "id": part["id"], "vector": part["vector"]})
-
-    n = max(partitions(reps.sparkSession), 1)
+                if x.shape[1] not in directions:
+                    directions[x.shape[1]] = _directions(x.shape[1], passes, hashes, seed)
+                plain, celled, cell = np.empty_like(x), np.empty_like(x), np.empty(len(x), dtype="i8")
+                for label, at in part.reset_index(drop=True).groupby("label").indices.items():
+                    raw = part["centres"].iloc[at[0]] if known is None else known.value[label, kind]
+                    of_label = np.frombuffer(raw).reshape(-1, x.shape[1])
+                    cell[at] = (x[at] @ of_label[1:].T).argmax(axis=1)
+                    plain[at], celled[at] = x[at] - of_label[0], x[at] - of_label[1:][cell[at]]
+                for p, code in enumerate(_codes(plain, celled, cell, directions[x.shape[1]])):
+                    yield pd.DataFrame({"pass": p, "label": part["label"], "kind": kind, "code": code, "name": part["name"], "id": part["id"], "vector": part["vector"]})
+
+    n = max(partitions(spark), 1)
     order = ["pass", "label", "kind", "code", "name", "id"]
-    rows = reps.withColumn("name", F.xxhash64("vector")).join(means, ["label", "kind"]).mapInPandas(hashed, "pass int, label long, kind long, code long, name long, id long, vector binary")
+    rows = rows.withColumn("name", F.xxhash64("vector")).select("label", "kind", "name", "id", "vector", "centres").mapInPandas(hashed, "pass int, label long, kind long, code long, name long, id long, vector binary")
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     out = checkpointed(rows.select("pass", "label", "kind", "id", "vector").mapInPandas(_stream(cosine, window), PASSED))
     # where each partition starts in the whole order: one number a partition
@@ -308,7 +346,7 @@ def counted(members: DataFrame, cosine: float) -> DataFrame:
     return rows.mapInPandas(run, "class long, others long").groupBy("class").agg(F.sum("others").alias("others"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, passes: int = 14, bits: int = 30, window: int = 24, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, passes: int = 14, hashes: int = 4, window: int = 512, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id_col, n_links, component_id, kept of every vector."""
     # ids and labels pass Python as text: through floats they would lose their last bits beside nulls
     rows = vectors.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(label_col).cast("long").cast("string").alias("label"), F.col(vector_col).alias("embedding"))
@@ -318,7 +356,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, passes: int = 14,
     classes = checkpointed(rows.filter("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"), F.first("width").alias("width")))
     # ids may repeat: a class is named by a number of its own
     classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
-    pairs = checkpointed(links(classes.select(F.col("class").alias("id"), "label", "vector", "width"), cosine, passes, bits, window, seed))
+    pairs = checkpointed(links(classes.select(F.col("class").alias("id"), "label", "vector", "width"), cosine, passes, hashes, window, seed))
     parts = checkpointed(components(pairs).withColumnRenamed("node", "class"))
     kind = (F.shiftleft(F.col("width").cast("long"), 32) + F.octet_length("vector")).alias("kind")
     linked = counted(parts.join(classes.select("class", kind, "size", "vector"), "class"), cosine)

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as vocabularies
 import pytest
 import tiktoken
@@ -433,6 +434,33 @@ def test_vectors_recall(spark, monkeypatch, parts):
     assert sum(got[i] for i in range(600, len(x))) >= 0.97 * want[600:].sum()
 
 
+@pytest.mark.parametrize("clusters", [1, 2, 5, 20])
+def test_vectors_clusters(spark, clusters):
+    """A label of 20,000 vectors in tight clusters, whose vectors don't link, and 400 planted pairs just above the threshold."""
+    rng = np.random.default_rng(clusters)
+    n, dims, within = 20_000, 64, 0.95
+    centre = rng.normal(size=(clusters, dims))
+    centre = (centre / np.linalg.norm(centre, axis=1)[:, None])[np.arange(n) % clusters]
+    rest = rng.normal(size=(n, dims))
+    x = within**0.5 * centre + (1 - within) ** 0.5 * rest / np.linalg.norm(rest, axis=1)[:, None]
+    # twins differ from their originals across the cluster's centre, so they lie as far from it
+    c, first = centre[:400], x[:400] - (x[:400] * centre[:400]).sum(axis=1)[:, None] * centre[:400]
+    first /= np.linalg.norm(first, axis=1)[:, None]
+    second = rng.normal(size=(400, dims))
+    for away in (c, first):
+        second -= (second * away).sum(axis=1)[:, None] * away
+    second /= np.linalg.norm(second, axis=1)[:, None]
+    part = (0.981 - within) / (1 - within)
+    twins = within**0.5 * c + (1 - within) ** 0.5 * (part * first + (1 - part**2) ** 0.5 * second)
+    x = np.concatenate([x, twins])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = sum(int((unit[i : i + 1000] @ unit.T >= 0.98).sum()) for i in range(0, len(x), 1000)) // 2 - len(x) // 2
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 1})
+    got = vector_dedup.near_duplicates(spark.createDataFrame(frame.values.tolist(), "vec_id long, embedding array<double>, label long")).agg(F.sum("n_links")).first()[0] / 2
+    print("recall", clusters, got / linked)
+    assert 300 < linked < 500 and (0.97 if clusters > 1 else 0.92) * linked <= got <= linked
+
+
 def test_vectors_ids(spark):
     rows = [(LARGE, [1.0, 2.0], 2**53 + 1), (LARGE + 2, [1.0, 2.0], 2**53 + 1), (None, [1.0, 2.0], 2**53 + 1), (5, [1e200, 2e200], 2**53 + 1), (6, [1.0, 2.0], None), (6, [1.0, 2.0], None)]
     got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").coalesce(1)).collect()
