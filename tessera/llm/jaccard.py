@@ -102,11 +102,11 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-SEEN = "doc_id string, n long, key long, part int, counts binary"
+SEEN = "name string, n long, key long, part int, counts binary"
 
 
 def _seen(n: int, parts: int):
-    """A row a document, (doc_id, n, key), and rows of packed counted hashes by part."""
+    """A row a document, (name, n, key), and rows of packed counted hashes by part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -121,7 +121,7 @@ def _seen(n: int, parts: int):
 
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, text in zip(frame["name"], frame["text"], strict=True):
                 found = shingles(text, n)
                 rows.append((doc, len(found), class_key(found) if len(found) else None, None, None))
                 held.append(found)
@@ -138,7 +138,7 @@ def _seen(n: int, parts: int):
         whole_number = lambda x: None if x is None or x != x else int(x)
         # ids come and go as text, and nullable integers are made from Python's own: through floats both would lose their last bits
         whole_numbers = {c: pd.array([whole_number(x) for x in v], dtype=kind) for c, v, kind in (("n", size, "Int64"), ("key", key, "Int64"), ("part", part, "Int32"))}
-        return pd.DataFrame({"doc_id": pd.Series(doc, dtype=object)} | whole_numbers | {"counts": pd.Series(counts, dtype=object)})
+        return pd.DataFrame({"name": pd.Series(doc, dtype=object)} | whole_numbers | {"counts": pd.Series(counts, dtype=object)})
 
     return run
 
@@ -361,7 +361,7 @@ def _size_class(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _dealt(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(rep, key, routes): for each set the tasks (leader, block) that compare it."""
+    """(name, key, routes): for each set the tasks (leader, block) that compare it."""
     members = groups.union(groups.select("leader", F.col("leader").alias("key"))).distinct()
     members = checkpointed(members.join(classes, "key").withColumn("kind", F.floor(F.log("n") / F.lit(_step(percent))).cast("long")))
     sizes = members.groupBy("leader", "kind").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
@@ -373,9 +373,9 @@ def _dealt(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     own = chunk(F.col("kind"), F.pmod(F.xxhash64("key"), many(F.col("kind"))))
     near = F.flatten(F.transform(F.array(*[F.col("kind") + d for d in (-1, 0, 1)]), lambda kind: F.transform(F.when(many(kind) > 0, F.sequence(F.lit(0).cast("long"), many(kind) - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: chunk(kind, k))))
     blocks = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(near, lambda other: F.xxhash64(F.least(own, other), F.greatest(own, other))))
-    placed = members.join(large, "leader", "left").select("rep", "key", "leader", F.explode(blocks).alias("block"))
+    placed = members.join(large, "leader", "left").select("name", "key", "leader", F.explode(blocks).alias("block"))
     # a set is in as many groups as its prefix has n-grams at most
-    return checkpointed(placed.groupBy("rep", "key").agg(F.collect_list(F.struct("leader", "block")).alias("routes")))
+    return checkpointed(placed.groupBy("name", "key").agg(F.collect_list(F.struct("leader", "block")).alias("routes")))
 
 
 def _verified(documents: DataFrame, routes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -383,14 +383,14 @@ def _verified(documents: DataFrame, routes: DataFrame, n: int, percent: int) ->
     bytes_ = routes.agg(F.sum(F.size("routes") * 32 + 64)).first()[0] or 0
     if bytes_ <= BROADCAST_ROUTES:
         routes = F.broadcast(routes)
-    texts = documents.join(routes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "routes")
+    texts = documents.join(routes, "name").select("text", "key", "routes")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows, held = [], 0
             for text, key, to in zip(frame["text"], frame["key"], frame["routes"], strict=True):
                 found = shingles(text, n)
-                if not len(found) or class_key(found) != key:  # ids may repeat with other texts
+                if not len(found) or class_key(found) != key:  # names may repeat with other texts
                     continue
                 data = found.tobytes()
                 for r in to:
@@ -435,17 +435,20 @@ def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     spark = documents.sparkSession
     small_batches(spark)
     documents = documents.select(F.col(id_col).cast(id_type).alias("doc_id"), whole(text_col).alias("text"))
+    # what a set is fetched by: the document's id, or where it has none its text's hash
+    documents = documents.select(F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))).alias("name"), "text")
+    own_id = F.when(F.col("name").startswith("id "), F.substr("name", F.lit(4))).cast(id_type)
     k = partitions(spark)
-    seen = checkpointed(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(lean(_seen(n, 2 * k)), SEEN))
+    seen = checkpointed(documents.mapInPandas(lean(_seen(n, 2 * k)), SEEN))
     counts = checkpointed(seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long"))
     frequent = spark.sparkContext.broadcast(_top(counts, FREQUENT))
-    own = seen.filter("part is null").select(F.col("doc_id").cast(id_type).alias("doc_id"), "n", "key")
+    own = seen.filter("part is null").select(own_id.alias("doc_id"), "name", "n", "key")
     del seen, counts  # of what counted, only short rows stay
     own = checkpointed(own)
     groups = checkpointed(documents.select("text").mapInPandas(lean(_postings(n, percent, frequent)), POSTING).repartition(k, "h").sortWithinPartitions("h", "key").mapInPandas(lean(_lists(percent)), LISTED).distinct())
-    classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("name").alias("name"), F.first("n").alias("n")))
     found = _verified(documents, _dealt(groups, classes, percent), n, percent)
     named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
     least = classes.join(named, "key").groupBy("part").agg(F.min("rep").alias("least"))
     result = classes.join(named, "key", "left").join(least, "part", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
-    return own.join(result, "key", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return own.drop("name").join(result, "key", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))

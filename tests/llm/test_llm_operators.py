@@ -140,6 +140,20 @@ def test_jaccard_groups(spark, monkeypatch, group, grams):
     assert 5 < len(set(got.values())) < 130
 
 
+def test_jaccard_without_ids(spark):
+    """Documents without an id meet by their texts, not each other: as many again take about as long again."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1_500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words, "more"]))]
+    rows += [(7, rows[0][1] + " end"), (8, rows[0][1] + " end")]
+    began = time.perf_counter()
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert time.perf_counter() - began < 90
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0)] * 2_998 + [(0, 7)] * 2 + [(7, 7), (8, 7)]
+
+
 def test_jaccard_ids(spark):
     """Ids keep every bit beside a null id."""
     text = " ".join(f"w{i}" for i in range(30))
