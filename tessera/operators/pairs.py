@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -43,7 +45,8 @@ def near_pairs(values: np.ndarray, share: float) -> int:
     first = int(place)
     a = distance_at(values, first)
     b = a if within(values, a) > first + 1 or first == place else distance_at(values, first + 1)
-    return within(values, a + (b - a) * (place - first))
+    part = place - first
+    return within(values, math.fma(a, 1 - part, b * part))  # as SQL interpolates, to the last bit: many distances differ in that only
 
 
 def recurrent(values: Column, share: float) -> Column:

@@ -59,3 +59,14 @@ def test_deficits():
         now[best] += 1
     assert taken == now
     assert sampling.deficits(sizes, strata, 1000) == sizes
+
+
+def test_quantile_to_the_last_bit():
+    """Distances of decimals differ in their last bits only; the limit between two of them is SQL's."""
+    import duckdb
+
+    cents = [193, 323, 476, 562, 826, 1092, 1431, 1459, 1896, 1917, 2005, 2073, 2185, 2217, 2491, 2755, 2944, 3276, 3392, 3551, 3668, 4011, 4116, 4145, 4164, 4384, 4403, 4432, 4673, 5112, 5756, 6522, 7547, 7705, 7760, 7953, 8361, 8938, 10259, 11068, 11396, 11658, 11826, 12191, 14523, 15275, 15648, 15942, 19185, 22076]
+    v = np.array(cents) / 100
+    distances = np.abs(v[:, None] - v[None, :]).ravel().tolist()
+    sql = "SELECT sum((d <= lim)::INT)::BIGINT FROM (SELECT unnest(?) AS d), (SELECT quantile_cont(d, 0.2) AS lim FROM (SELECT unnest(?) AS d))"
+    assert pairs.near_pairs(v, 0.2) == duckdb.connect().execute(sql, [distances, distances]).fetchall()[0][0] == 500
