@@ -44,6 +44,8 @@ RUNS = re.compile(r"([^\w\s.])\1")
 SIGNS = re.compile(r"[^\w\s.,;:!?'\"()-]")
 SENTENCES = re.compile(r"[.!?\u3002\uff01\uff1f]")
 DIGITS = re.compile(r"\d")
+#: Words of a window whose different words are counted; the last window ends with the text.
+WINDOW = 200
 
 
 def features(text: str) -> list[float]:
@@ -53,8 +55,10 @@ def features(text: str) -> list[float]:
     m = max(1, n)
     upper = sum(map(str.isupper, words))
     repeats = sum(map(eq, words, words[1:]))
-    # different words among those of a window: in a whole text the share falls with its length
-    variety = len(set(words[:200])) / max(1, min(n, 200))
+    # different words among those of a window, over all windows of the text: in a whole text the share falls with its length
+    parts = -(-n // WINDOW)
+    starts = [max(0, min(i * WINDOW, n - WINDOW)) for i in range(parts)]
+    variety = sum(len(set(words[s : s + WINDOW])) for s in starts) / max(1, parts * min(n, WINDOW))
     return [1.0, min(1.0, 10 * len(SIGNS.findall(text)) / size), min(1.0, len(RUNS.findall(text)) / m), repeats / m, variety, upper / m, math.log1p(n) / 10, min(3.0, size / m / 10), float(SENTENCES.search(text) is None), min(1.0, 5 * len(DIGITS.findall(text)) / size)]
 
 

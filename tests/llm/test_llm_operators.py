@@ -216,6 +216,17 @@ def test_quality(spark):
     assert quality.scored(odd, quality.learn([])).filter("keep").count() == len(ODD)
 
 
+def test_quality_reads_whole_texts():
+    """What comes after the first words counts as much as they do."""
+    varied = " ".join(f"w{i}" for i in range(200))
+    at = quality.FEATURES.index("variety")
+    assert quality.features(varied)[at] == 1.0
+    assert quality.features(varied + " x" * 600)[at] == pytest.approx((1 + 3 / 200) / 4)
+    assert quality.features("x " * 600 + varied)[at] == pytest.approx((1 + 3 / 200) / 4)
+    assert quality.features(varied + " w199")[at] == pytest.approx((200 + 199) / 400)
+    assert quality.features("")[at] == 0
+
+
 def test_quality_rates(spark):
     """Rates against closed forms over plain lists."""
     rng = random.Random(2)
