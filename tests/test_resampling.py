@@ -78,3 +78,19 @@ def test_empty(spark):
     assert rs.replicated(none, ["g"], "q", "v", 100).count() == 0
     assert rs.sign_test(none, ["g"], "q", "v", 100).count() == 0
     assert rs.ratio_interval(none, ["g"], "q", 100).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sums_of_dense_units(spark, monkeypatch, parts):
+    """Spans full of units, by spectra, give the sums of rows of weights."""
+    rows = [(g, f"q{i}", float(i % 3) - 0.7, 1.0) for i in range(300) for g in "ab" if i % 5 or g == "a"]
+    units = spark.createDataFrame(rows, "g string, q string, v double, n double").repartition(parts)
+    monkeypatch.setattr(rs, "DENSE", 0)
+    monkeypatch.setattr(rs, "DENSE_MORE", 0)
+    for weights, own in ((rs.poisson, weight), (rs.signs, lambda q, rep: 1 - 2 * (bits(q, rep) % 2))):
+        got = {(r["g"], r["rep"]): (r["v"], r["n"]) for r in rs.weighted_sums(units, ["g"], "q", ["v", "n"], 300, weights).collect()}
+        assert len(got) == 600
+        for g in "ab":
+            for rep in (0, 1, 17, 299):
+                mine = [(own(q, rep), v, n) for x, q, v, n in rows if x == g]
+                assert got[g, rep] == pytest.approx((sum(w * v for w, v, _ in mine), sum(w * n for w, _, n in mine)), abs=1e-9)
