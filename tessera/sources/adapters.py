@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.dealing import dealt
+from tessera.operators.dedupe import last_wins
+
 #: Formats by l_linenumber, difficulties and sources by remainder.
 FORMATS = ("text_only", "table_image", "bar_chart", "heatmap", "scatter_plot", "node_link", "adjacency_matrix")
 DIFFICULTIES = ("1-hop", "2-hop", "3-hop", "counterfactual")
@@ -30,14 +33,18 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, question_id, object_id, modality, source, viz_type, difficulty, task, question, answer, prediction, exact_match, latency, ord_a .. ord_c."""
-    return _evaluated(spark, sf_dir, _lines(spark, sf_dir))
+    return _evaluated(spark, sf_dir, _lines(spark, sf_dir)).drop("order_key")
+
+
+def modality_of(status: str) -> Column:
+    return F.when(F.col(status) == "F", "tabular").when(F.col(status) == "O", "timeseries").otherwise("graph")
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     key = F.col("l_orderkey")
-    modality = F.when(F.col("o_orderstatus") == "F", "tabular").when(F.col("o_orderstatus") == "O", "timeseries").otherwise("graph")
+    modality = modality_of("o_orderstatus")
     difficulty = pick(DIFFICULTIES, key % 4)
     answer = (F.col("o_custkey") % 40).cast("string")
     right = F.col("l_quantity") > 25
@@ -59,6 +66,7 @@ def _evaluated(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
         F.col("l_suppkey").alias("ord_b"),
         F.col("l_extendedprice").alias("ord_c"),
         F.col("l_quantity").alias("ord_d"),
+        key.alias("order_key"),
     )
 
 
@@ -94,9 +102,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Flag, order and line number name that key, so the last row is found before the join and
     before the key's strings are made, in the partitioning by order that the join also uses.
     """
-    from tessera.operators.dedupe import last_wins
+    return facts_by_order(spark, sf_dir).drop("order_key")
+
 
-    lines = _lines(spark, sf_dir).repartition("l_orderkey")
+def facts_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``facts`` with ``order_key``, which names the question: what is grouped by it stays in its task, of bounded rows, and needs no text."""
+    lines = _lines(spark, sf_dir)
+    lines = dealt(lines, lines.count(), "l_orderkey")  # the count is read from the files' footers
     last = last_wins(lines, ["l_returnflag", "l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
     return _evaluated(spark, sf_dir, last)
 
