@@ -54,8 +54,7 @@ def pending(wanted: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame
     return wanted.join(done.select(*key), list(key), "left_anti")
 
 
-def key_difference(manifest: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keys of one side only, with ``side`` = missing or extra."""
-    a, b = manifest.select(*key).distinct(), rows.select(*key).distinct()
-    missing = a.join(b, list(key), "left_anti").withColumn("side", F.lit("missing"))
-    return missing.unionByName(b.join(a, list(key), "left_anti").withColumn("side", F.lit("extra")))
+def key_difference(rows: DataFrame, manifest: Column, found: Column, key: Sequence[str]) -> DataFrame:
+    """Keys of one side only, with ``side`` = missing (of ``manifest`` rows alone) or extra (of ``found`` rows alone), in one pass; null keys are equal."""
+    sides = rows.groupBy(*key).agg(F.max(F.coalesce(manifest, F.lit(False))).alias("__a"), F.max(F.coalesce(found, F.lit(False))).alias("__b"))
+    return sides.filter("__a <> __b").select(*key, F.when(F.col("__a"), "missing").otherwise("extra").alias("side"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import dealing, graph
+from tessera.operators import dealing, dedupe, graph
 from tessera.operators import statistics as st
 from tessera.plans import ORACLES, QUERIES
 from tessera.sources import adapters
@@ -38,3 +38,19 @@ def test_questions_stay_in_their_task(spark, duck, few, name):
     assert not any("question_id" in x or "order_key" in x or "prediction" in x for x in found)
     assert adapters.facts_by_order(spark, SMALL).rdd.getNumPartitions() >= 12
     same(spark, duck, name)
+
+
+def test_keys_of_one_side(spark, duck, few):
+    """One pass over the lines, no text in an exchange; a side without keys of its own counts 0; null keys are equal, as in EXCEPT."""
+    assert not any("question_id" in x or "modality" in x for x in exchanges(QUERIES["key_difference"](spark, SMALL)))
+    same(spark, duck, "key_difference")
+    rows = spark.createDataFrame([("A", 1, "x"), ("N", 1, "x"), ("A", 2, None), ("N", 2, None), ("A", 3, None), ("A", 3, None), (None, 4, "y")], "s string, k long, v string")
+    assert [tuple(r) for r in dedupe.key_difference(rows, rows.s == "A", rows.s == "N", ["k", "v"]).collect()] == [(3, None, "missing")]
+
+
+def test_no_keys_of_one_side(spark, tmp_path):
+    for name in ("lineitem", "orders"):
+        rows = adapters.read(spark, SMALL, name)
+        (rows.filter("l_returnflag = 'A'") if name == "lineitem" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = dict(QUERIES["key_difference"](spark, str(tmp_path)).collect())
+    assert got["extra"] == 0 < got["missing"]
