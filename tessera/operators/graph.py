@@ -12,6 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dealing import dealt
 from tessera.operators.keeping import kept as _kept
 from tessera.operators.statistics import hashed
 
@@ -237,15 +238,27 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFr
 def projected(members: DataFrame, event: str, member: str, most: int = 1000) -> DataFrame:
     """(a, b, weight), a < b: members that share events, by the number of events they share; repeated rows count once.
 
-    An event of more than ``most`` members is split into parts by hash, and each pair of parts is a key of its own,
-    so no key has more than about ``most`` rows on a side.
+    An event of more than ``most`` rows is split into parts by hash, and each pair of parts is a block of its own,
+    so no block has more than about twice ``most`` rows. Rows and pairs are counted first: tasks are as many as
+    hold about ``TASK_ROWS`` of them each.
     """
-    rows = members.select(F.col(event).alias("e"), F.col(member).alias("m")).filter("e is not null and m is not null").distinct()
-    sizes = rows.groupBy("e").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "e").withColumn("own", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = dealt.select("e", F.col("own").alias("i"), F.col("other").alias("j"), F.col("m").alias("a"))
-    right = dealt.select("e", F.col("other").alias("i"), F.col("own").alias("j"), F.col("m").alias("b"))
-    return left.join(right, ["e", "i", "j"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    rows = members.select(F.col(event).alias("e"), F.col(member).alias("m")).filter("e is not null and m is not null")
+    sizes = rows.groupBy("e").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    total = sizes.agg(F.sum("n").alias("rows"), F.sum((n * (n - 1) / 2).cast("long")).alias("pairs"), F.count_if(n > most).alias("large"), F.sum(F.when(n > most, n * F.ceil(n / most)).otherwise(n)).alias("dealt")).first()
+    parts = F.lit(1)
+    if total["large"]:
+        rows = rows.join(sizes.filter(n > most).select("e", F.ceil(n / most).cast("int").alias("parts")), "e", "left")
+        parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("m"), parts).cast("int")
+    blocks = rows.select("e", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    blocks = blocks.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "m")
+    blocks = dealt(blocks, total["dealt"] or 0, "e", "i", "j").groupBy("e", "i", "j").agg(F.collect_set(F.struct("own", "m")).alias("all"))
+    # in a block of two parts each pair has one of each, so no pair is made twice
+    firsts = blocks.select("i", "j", "all", F.explode("all").alias("x"))
+    seconds = F.filter("all", lambda y: (y["m"] > F.col("x.m")) & ((F.col("i") == F.col("j")) | (y["own"] != F.col("x.own"))))
+    pairs = firsts.select(F.col("x.m").alias("a"), F.explode(seconds).alias("y")).select("a", F.col("y.m").alias("b"))
+    return dealt(pairs, total["pairs"] or 0, "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def distances(nodes: DataFrame, edges: DataFrame, source: int, rounds: int | None = None) -> DataFrame:

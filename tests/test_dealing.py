@@ -54,3 +54,18 @@ def test_no_keys_of_one_side(spark, tmp_path):
         (rows.filter("l_returnflag = 'A'") if name == "lineitem" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
     got = dict(QUERIES["key_difference"](spark, str(tmp_path)).collect())
     assert got["extra"] == 0 < got["missing"]
+
+
+@pytest.mark.parametrize("most", [1000, 6])
+def test_projection_is_dealt_by_pairs(spark, few, most):
+    rng = random.Random(5)
+    rows = list({(rng.randrange(60), rng.randrange(90)) for _ in range(900)})
+    out = graph.projected(spark.createDataFrame(rows, "e long, m long"), "e", "m", most)
+    want: dict = {}
+    for e, a in rows:
+        for f, b in rows:
+            if e == f and a < b:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["weight"] for r in out.collect()} == want
+    assert sum(want.values()) > 5000 and out.rdd.getNumPartitions() >= 10
+    assert not any("Join" in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if most == 1000)
