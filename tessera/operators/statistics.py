@@ -90,6 +90,15 @@ def majority_vote(rows: DataFrame, keys: Sequence[str], value: Column, order: st
     return best.select(*keys, F.col("__v").alias("winner"), "votes", (F.col("top") >= 0.5).cast("double").alias("right"))
 
 
+def ensemble(rows: DataFrame, keys: Sequence[str], value: Column, order: str, score: str) -> DataFrame:
+    """``majority_vote``'s ``right`` of each group beside the mean, greatest and least score of all its rows, from one grouping by value."""
+    votes = rows.withColumn("__v", value).groupBy(*keys, "__v").agg(F.count("*").alias("votes"), F.min(order).alias("first"), F.max(score).alias("top"), F.min(score).alias("low"), F.sum(score).alias("sum"), F.count(score).alias("n"))
+    group = Window.partitionBy(*keys)
+    every = group.orderBy(F.desc("votes"), "first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = votes.withColumns({"__rn": F.row_number().over(group.orderBy(F.desc("votes"), "first")), "mean": F.try_divide(F.sum("sum").over(every), F.sum("n").over(every)), "best": F.max("top").over(every), "worst": F.min("low").over(every)})
+    return both.filter("__rn = 1").select(*keys, (F.col("top") >= 0.5).cast("double").alias("right"), "mean", "best", "worst")
+
+
 def selector(train: DataFrame, test: DataFrame, by: Sequence[str], fallback: Sequence[str], choice: str, score: str, keys: Sequence[str]) -> DataFrame:
     """Format chosen by ``by`` on the training half (ties to the least name), else by ``fallback`` (some of ``by``), applied to the test half; the mean of what it finds there, else of the question."""
     def best(columns: Sequence[str], name: str) -> DataFrame:

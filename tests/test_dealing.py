@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import dealing, dedupe, graph
 from tessera.operators import statistics as st
@@ -69,3 +70,18 @@ def test_projection_is_dealt_by_pairs(spark, few, most):
     assert {(r["a"], r["b"]): r["weight"] for r in out.collect()} == want
     assert sum(want.values()) > 5000 and out.rdd.getNumPartitions() >= 10
     assert not any("Join" in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if most == 1000)
+
+
+def test_ensemble(spark, duck, few):
+    """One grouping where the facts are, no join; against a plain count."""
+    found = exchanges(QUERIES["format_ensemble"](spark, SMALL))
+    assert not any("question_id" in x or "order_key" in x for x in found)
+    same(spark, duck, "format_ensemble")
+    rng = random.Random(6)
+    rows = [(k, v, o, s) for k in range(40) for o in range(rng.randrange(1, 8)) for v, s in [(rng.choice("xyz"), rng.choice([0.0, 1.0]))]]
+    got = {r["k"]: tuple(r)[1:] for r in st.ensemble(spark.createDataFrame(rows, "k int, v string, o int, s double"), ["k"], F.col("v"), "o", "s").collect()}
+    for k in range(40):
+        own = [r for r in rows if r[0] == k]
+        best = min({r[1] for r in own}, key=lambda v: (-sum(r[1] == v for r in own), min(r[2] for r in own if r[1] == v)))
+        s = [r[3] for r in own]
+        assert got[k] == (float(max(r[3] for r in own if r[1] == best) >= 0.5), sum(s) / len(s), max(s), min(s))
