@@ -9,8 +9,8 @@ its last ones. The length of a phrase's lists over all blocks is its exact frequ
 A phrase can only be frequent if the phrases without its last and without its first word
 are, so the lists of those are merged alone. Which they are tells a map of BITS bits, sent
 to all tasks; it may let a rare phrase through, which is then counted and dropped, so counts
-and results are exact, whatever the map's size. Counts are summed in the tasks before they
-are shuffled.
+and results are exact, whatever the map's size. Counts are summed in the tasks and packed
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -21,16 +21,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import checkpointed, forgotten, lean, small_batches, whole, written
+from tessera.llm.base import checkpointed, forgotten, lean, partitions, small_batches, whole, written
 
 #: Places of a block; a longer text makes a longer block.
 PLACES = 1 << 21
 #: Bits of the map of frequent phrases (8 MB).
 BITS = 1 << 26
+#: Phrases of blocks that a task holds before it counts and packs them.
+HELD = 1_000_000
 #: Rows of a language are ranked in so many parts before the whole.
 PARTS = 32
 
@@ -127,11 +130,57 @@ def _merge(first: np.ndarray, second: np.ndarray, apart: int) -> tuple[np.ndarra
     return np.flatnonzero(hit), at[hit]
 
 
-def extended(index: DataFrame, size: int, maps: list) -> DataFrame:
-    """(w1 ... w``size``, found) of each block: phrases whose two parts of one word less may be frequent; maps: of 2 words up to size - 1."""
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of phrases (their words' numbers, then how often found) in ascending order, equal phrases as one."""
+    order = np.lexsort(columns[-2::-1])
+    *keys, found = (c[order] for c in columns)
+    starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))[: len(found)]
+    return [k[starts] for k in keys] + [np.add.reduceat(found, starts) if len(found) else found]
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Ascending rows as differences from row to row, byte by byte of all, compressed: some four bytes a pair of words."""
+    steps = np.stack([np.diff(c, prepend=0) for c in columns])
+    if not len(steps[0]) or np.abs(steps).max() < 2**31:
+        steps = steps.astype("<i4")
+    width = steps.itemsize
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(steps.view("u1").reshape(-1, width).T.tobytes())
+
+
+def _unpack(data: bytes, columns: int) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "u1").reshape(width, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<i{width}").reshape(columns, -1).astype("i8"), axis=1)
+
+
+def _packs(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """(part, packed): phrases by a hash of their words."""
+    columns = _summed(columns)
+    part = _mixed(columns[:-1], parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    columns = [c[order] for c in columns]
+    own = [(p, _pack([c[ends[p] : ends[p + 1]] for c in columns])) for p in range(parts) if ends[p] < ends[p + 1]]
+    return pa.record_batch([pa.array([p for p, _ in own], pa.int32()), pa.array([b for _, b in own], pa.binary())], names=["part", "packed"])
+
+
+def counted(packs: DataFrame, size: int, least: int) -> DataFrame:
+    """(w1 ... w``size``, a) of all blocks' packed phrases: those found ``least`` times or more."""
     names = [f"w{i + 1}" for i in range(size)]
 
+    def run(part: pa.Table) -> pa.Table:
+        columns = _summed(list(np.concatenate([_unpack(b, size + 1) for b in part["packed"].to_pylist()], axis=1)))
+        often = columns[-1] >= least
+        return pa.table([pa.array(c[often]) for c in columns], names=[*names, "a"])
+
+    return packs.groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names) + ", a long")
+
+
+def extended(index: DataFrame, size: int, maps: list, parts: int) -> DataFrame:
+    """(part, packed) of each task: phrases whose two parts of one word less may be frequent, counted and packed by ``parts``; maps: of 2 words up to size - 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for ids, counts, places in zip(*(batch[c] for c in ("ids", "counts", "places")), strict=True):
                 ids, counts, places = (np.frombuffer(x.as_py(), t) for x, t in ((ids, "<i8"), (counts, "<i4"), (places, "<i4")))
@@ -153,9 +202,15 @@ def extended(index: DataFrame, size: int, maps: list) -> DataFrame:
                 keys = [k[order] for k in keys]
                 starts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
                 found = np.diff(np.append(starts, len(here)))
-                yield pa.record_batch([*(pa.array(ids[k[starts]]) for k in keys), pa.array(found.astype(np.int64))], names=[*names, "found"])
+                held.append([*(ids[k[starts]] for k in keys), found.astype("i8")])
+                rows += len(starts)
+                if rows >= HELD:
+                    yield _packs([np.concatenate(c) for c in zip(*held, strict=True)], parts)
+                    held, rows = [], 0
+        if held:
+            yield _packs([np.concatenate(c) for c in zip(*held, strict=True)], parts)
 
-    return index.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names) + ", found long")
+    return index.mapInArrow(lean(run), "part int, packed binary")
 
 
 def _numbers(frame: pa.Table) -> pa.Table:
@@ -191,6 +246,9 @@ def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES
     own = lists.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "list")).select("lang", "block", "code", F.col("list.words").alias("word"), F.col("list.counts").alias("found"))
     words = own.groupBy("lang", "word").agg(F.sum("found").alias("a")).filter(F.col("a") >= least)
     words = checkpointed(words.withColumn("id", F.monotonically_increasing_id()))
+    tasks = (words.agg(F.max(F.shiftright("id", 33))).first()[0] or 0) + 1
+    # numbers without gaps between tasks: small, so that their differences pack well
+    words = words.withColumn("id", F.col("id").bitwiseAND(2**33 - 1) * tasks + F.shiftright("id", 33))
     hashed = F.xxhash64("lang", "word")
     known = spark.sparkContext.broadcast(bit_map(words.select(hashed.alias("w")), ["w"], room))
 
@@ -207,11 +265,10 @@ def phrases(documents: DataFrame, least: int, longest: int, places: int = PLACES
     forgotten(lists)
     counts = words.select(F.array("id").alias("ids"), "lang", "a")
     langs = words.select("id", "lang")
-    maps = []
+    maps, parts = [], 2 * partitions(spark)
     for size in range(2, longest + 1):
         names = [f"w{i + 1}" for i in range(size)]
-        found = extended(index, size, list(maps)).groupBy(*names).agg(F.sum("found").alias("a")).filter(F.col("a") >= least)
-        found = checkpointed(found)
+        found = checkpointed(counted(extended(index, size, list(maps), parts), size, least))
         counts = counts.union(found.join(langs, found.w1 == langs.id).select(F.array(*names), "lang", "a"))
         if size < longest:
             maps.append(spark.sparkContext.broadcast(bit_map(found, names, room)))

@@ -82,3 +82,24 @@ def test_lists(spark):
             places[r["lang"], word], every = every[:n], every[n:]
         assert not every
     assert places == {("en", "b"): [0, 2, 5, 7], ("en", "a"): [1, 4], ("fr", "a"): [0]}
+
+
+def test_packed_counts():
+    """Phrases of several blocks come back whole, equal ones as one, in few bytes a row; none at all too."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 40_000, 100_000), rng.integers(0, 40_000, 100_000), rng.integers(1, 3, 100_000)]
+    want = Counter()
+    for a, b, n in zip(*(c.tolist() for c in columns), strict=True):
+        want[a, b] += n
+    packs = collocations._packs([np.concatenate([c, c[:50]]) for c in columns], 4).to_pylist()
+    want.update({(a, b): 0 for a, b in want})
+    for a, b, n in zip(*(c[:50].tolist() for c in columns), strict=True):
+        want[a, b] += n
+    got = np.concatenate([collocations._unpack(p["packed"], 3) for p in packs], axis=1)
+    assert dict(zip(zip(got[0].tolist(), got[1].tolist(), strict=True), got[2].tolist(), strict=True)) == want
+    assert sum(len(p["packed"]) for p in packs) < 8 * len(want)
+    large = [np.array([5, 2**40, 2**62]), np.array([1, -(2**40), 7]), np.array([1, 2, 3])]
+    assert [c.tolist() for c in collocations._unpack(collocations._pack(large), 3)] == [c.tolist() for c in large]
+    assert [len(c) for c in collocations._unpack(collocations._pack([c[:0] for c in large]), 3)] == [0, 0, 0]
