@@ -24,8 +24,16 @@ and the overlaps of all others are derived from the leader's and from the n-gram
 in which two sets differ from it. What leaves a task is a spanning star of each group
 that links, so a group of near copies makes as many rows as it has members.
 
-What is moved: packed counts (some three bytes an n-gram), prefix rows, and the
-sets of documents that have a candidate, once for each task that compares them.
+*Outlines.* In a large corpus n-grams outside the bounded table are in lists of sets
+that share little else. So tasks are first dealt outlines instead of sets: counts of
+n-grams by ranges of hashes, an n-gram's 16 or 8 a range and one byte each. Two sets
+differ by as many n-grams as their outlines do at least; a set of which no outline in
+a task is near enough has no link there, and isn't sent.
+
+What is moved: packed counts (some three bytes an n-gram), prefix rows, outlines of
+sets in lists, and the sets of documents that may link by their outlines, once for each
+task that compares them. Texts are moved only of such documents, told by a map of bits,
+and where there are few not at all.
 
 Null texts, empty texts and texts of white space alone have empty sets and link
 with nothing; with fewer words than n the whole sequence is the one n-gram. Ties in
@@ -47,6 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.base import checkpointed, lean, partitions, small_batches, whole
+from tessera.llm.collocations import BITS, _mixed, _told, bit_map
 from tessera.llm.components import components
 
 #: The most n-grams whose counts order the sets, and the least count of one: 16 bytes each are sent to every executor.
@@ -57,7 +66,7 @@ COUNTED_BITS = 44
 SHORT_LIST = 12
 #: Sets, and n-grams of all of them, in a chunk of a group: a task compares two chunks or three.
 GROUP, GROUP_GRAMS = 1_000, 1_000_000
-#: Up to so many bytes of keys of documents with a candidate are sent to the texts; beyond, texts and keys are joined by a shuffle.
+#: Up to so many bytes of keys of documents with a candidate are sent to the texts; beyond, their texts and keys are joined by a shuffle.
 BROADCAST_ROUTES = 8_000_000
 #: Hashes a counting task holds before it writes them out.
 BUFFER = 1_000_000
@@ -88,6 +97,47 @@ def class_key(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
 
 
+def _bits(size: int) -> int:
+    return max(4, size.bit_length() - 4)
+
+
+def outline(found: np.ndarray) -> bytes | None:
+    """Counts of the hashes by as many equal ranges as a power of two says, which goes with the set's size; none where a byte is too small."""
+    bits = _bits(len(found))
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits)
+    return counts.astype("u1").tobytes() if counts.max() < 256 else None
+
+
+def may_link(sizes: np.ndarray, outlines, percent: int) -> np.ndarray:
+    """Whether a set may link with any other, as far as sizes and outlines tell; every set that links is told."""
+    if len(sizes) < 2:
+        return np.zeros(len(sizes), dtype=bool)
+    by = np.argsort(sizes, kind="stable")
+    n, lines = sizes[by].astype("i8"), [outlines[i] for i in by]
+    told, unknown = np.zeros(len(by), dtype=bool), np.array([x is None for x in lines])
+    widths = [1 << _bits(int(x)) for x in n]
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    width = 0
+    for i, end in enumerate(ends):
+        others = np.arange(i + 1, end)
+        if told[i]:
+            others = others[~told[others]]
+        if not len(others):
+            continue
+        if widths[i] != width:  # the sets from here to the largest that one of this width can link with, all in ranges of this width
+            first, width = i, widths[i]
+            last = ends[i + widths[i:].count(width) - 1]
+            lined = np.stack([np.zeros(width, "i4") if x is None else np.frombuffer(x, "u1").reshape(width, -1).sum(axis=1, dtype="i4") for x in lines[first:last]])
+        apart = np.abs(lined[others - first] - lined[i - first]).sum(axis=1)
+        both = n[others] + n[i]
+        near = ((both - apart) // 2 >= least_overlap(both, percent)) | unknown[others] | unknown[i]
+        told[others[near]] = True
+        told[i] |= near.any()
+    out = np.zeros(len(by), dtype=bool)
+    out[by] = told
+    return out
+
+
 def least_overlap(sizes, percent: int):
     """The least intersection of two sets, from the sum of their sizes."""
     return -(-percent * sizes // (100 + percent))
@@ -102,11 +152,11 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-SEEN = "name string, n long, key long, part int, counts binary"
+SEEN = "name string, n long, key long, outline binary, part int, counts binary"
 
 
 def _seen(n: int, parts: int):
-    """A row a document, (name, n, key), and rows of packed counted hashes by part."""
+    """A row a document, (name, n, key, outline), and rows of packed counted hashes by part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -117,13 +167,13 @@ def _seen(n: int, parts: int):
             ends = np.searchsorted(part, np.arange(parts + 1, dtype="u8"))
             pack = zstandard.ZstdCompressor(level=1)
             rows = [(p, pack.compress(_deltas(values[ends[p] : ends[p + 1]]))) for p in range(parts) if ends[p] < ends[p + 1]]
-            return _frame([(None, None, None, p, b) for p, b in rows])
+            return _frame([(None, None, None, None, p, b) for p, b in rows])
 
         for frame in frames:
             rows = []
             for doc, text in zip(frame["name"], frame["text"], strict=True):
                 found = shingles(text, n)
-                rows.append((doc, len(found), class_key(found) if len(found) else None, None, None))
+                rows.append((doc, len(found), class_key(found) if len(found) else None, outline(found) if len(found) else None, None, None))
                 held.append(found)
                 size += len(found)
                 if size >= BUFFER:
@@ -134,11 +184,12 @@ def _seen(n: int, parts: int):
             yield counted()
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        doc, size, key, part, counts = zip(*rows, strict=True) if rows else ((),) * 5
+        doc, size, key, line, part, counts = zip(*rows, strict=True) if rows else ((),) * 6
         whole_number = lambda x: None if x is None or x != x else int(x)
         # ids come and go as text, and nullable integers are made from Python's own: through floats both would lose their last bits
         whole_numbers = {c: pd.array([whole_number(x) for x in v], dtype=kind) for c, v, kind in (("n", size, "Int64"), ("key", key, "Int64"), ("part", part, "Int32"))}
-        return pd.DataFrame({"name": pd.Series(doc, dtype=object)} | whole_numbers | {"counts": pd.Series(counts, dtype=object)})
+        objects = {c: pd.Series(v, dtype=object) for c, v in (("name", doc), ("outline", line), ("counts", counts))}
+        return pd.DataFrame(objects | whole_numbers)[["name", "n", "key", "outline", "part", "counts"]]
 
     return run
 
@@ -360,10 +411,41 @@ def _size_class(size: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(size) / _step(percent)).astype("i8")
 
 
+ROUTED = "name string, key long, leader long, block long"
+
+
+def _near(percent: int):
+    """Of the sets of each task (leader, block), by which rows are sorted, those that may link in it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def kept(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            sizes, lines = rows["n"].to_numpy(), rows["outline"].to_numpy()
+            told = np.zeros(len(rows), dtype=bool)
+            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+                told[a:b] = may_link(sizes[a:b], lines[a:b], percent)
+            return rows.loc[told, ["name", "key", "leader", "block"]]
+
+        tail = None  # rows of a task that may go on
+        for frame in frames:
+            if tail is not None:
+                frame = pd.concat([tail, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            lead, block = frame["leader"].to_numpy(), frame["block"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (block[1:] != block[:-1])])
+            tail = frame[starts[-1] :]
+            if len(starts) > 1:
+                yield kept(frame[: starts[-1]], starts[:-1])
+        if tail is not None:
+            yield kept(tail, np.array([0]))
+
+    return run
+
+
 def _dealt(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(name, key, routes): for each set the tasks (leader, block) that compare it."""
     members = groups.union(groups.select("leader", F.col("leader").alias("key"))).distinct()
-    members = checkpointed(members.join(classes, "key").withColumn("kind", F.floor(F.log("n") / F.lit(_step(percent))).cast("long")))
+    members = checkpointed(members.join(classes.drop("rep"), "key").withColumn("kind", F.floor(F.log("n") / F.lit(_step(percent))).cast("long")))
     sizes = members.groupBy("leader", "kind").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     chunks = F.ceil(F.greatest(F.col("rows") / GROUP, F.col("grams") / GROUP_GRAMS))
     large = sizes.withColumn("chunks", chunks).groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("kind", "chunks"))).alias("chunks"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
@@ -373,16 +455,32 @@ def _dealt(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     own = chunk(F.col("kind"), F.pmod(F.xxhash64("key"), many(F.col("kind"))))
     near = F.flatten(F.transform(F.array(*[F.col("kind") + d for d in (-1, 0, 1)]), lambda kind: F.transform(F.when(many(kind) > 0, F.sequence(F.lit(0).cast("long"), many(kind) - 1)).otherwise(F.array().cast("array<bigint>")), lambda k: chunk(kind, k))))
     blocks = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(near, lambda other: F.xxhash64(F.least(own, other), F.greatest(own, other))))
-    placed = members.join(large, "leader", "left").select("name", "key", "leader", F.explode(blocks).alias("block"))
+    placed = members.join(large, "leader", "left").select("name", "key", "n", "outline", "leader", F.explode(blocks).alias("block"))
+    placed = placed.repartition(partitions(groups.sparkSession), "leader", "block").sortWithinPartitions("leader", "block").mapInPandas(lean(_near(percent)), ROUTED)
     # a set is in as many groups as its prefix has n-grams at most
     return checkpointed(placed.groupBy("name", "key").agg(F.collect_list(F.struct("leader", "block")).alias("routes")))
 
 
+def _named(documents: DataFrame, routes: DataFrame, room: int = BITS) -> DataFrame:
+    """Rows whose name ``routes`` has, and those few that a map of ``room`` bits takes for such."""
+    hashed = F.xxhash64("name").alias("hash")
+    known = documents.sparkSession.sparkContext.broadcast(bit_map(routes.select(hashed), ["hash"], room))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = known.value
+        for frame in frames:
+            yield frame.loc[_told(bits, _mixed([frame["hash"].to_numpy()], room)), ["name", "text"]]
+
+    return documents.select("name", "text", hashed).mapInPandas(lean(run), "name string, text string")
+
+
 def _verified(documents: DataFrame, routes: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs of class keys (a, b): spanning stars of what links in each task. Only documents with a candidate make their sets anew."""
     bytes_ = routes.agg(F.sum(F.size("routes") * 32 + 64)).first()[0] or 0
     if bytes_ <= BROADCAST_ROUTES:
         routes = F.broadcast(routes)
+    else:
+        documents, routes = _named(documents, routes), routes.hint("shuffle_hash")  # so texts aren't sorted
     texts = documents.join(routes, "name").select("text", "key", "routes")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -442,13 +540,13 @@ def joined(documents: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     seen = checkpointed(documents.mapInPandas(lean(_seen(n, 2 * k)), SEEN))
     counts = checkpointed(seen.filter("part is not null").select("part", "counts").groupBy("part").applyInPandas(_frequent, "value long, count long"))
     frequent = spark.sparkContext.broadcast(_top(counts, FREQUENT))
-    own = seen.filter("part is null").select(own_id.alias("doc_id"), "name", "n", "key")
+    own = seen.filter("part is null").select(own_id.alias("doc_id"), "name", "n", "key", "outline")
     del seen, counts  # of what counted, only short rows stay
     own = checkpointed(own)
     groups = checkpointed(documents.select("text").mapInPandas(lean(_postings(n, percent, frequent)), POSTING).repartition(k, "h").sortWithinPartitions("h", "key").mapInPandas(lean(_lists(percent)), LISTED).distinct())
-    classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("name").alias("name"), F.first("n").alias("n")))
+    classes = checkpointed(own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("name").alias("name"), F.first("n").alias("n"), F.first("outline").alias("outline")))
     found = _verified(documents, _dealt(groups, classes, percent), n, percent)
     named = components(found).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
     least = classes.join(named, "key").groupBy("part").agg(F.min("rep").alias("least"))
     result = classes.join(named, "key", "left").join(least, "part", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
-    return own.drop("name").join(result, "key", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return own.drop("name", "outline").join(result, "key", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -140,6 +140,49 @@ def test_jaccard_groups(spark, monkeypatch, group, grams):
     assert 5 < len(set(got.values())) < 130
 
 
+def test_jaccard_sends_what_may_link(spark, monkeypatch):
+    """Sets of a long list that share little else aren't sent to a task, nor are texts of documents without a candidate moved."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{' '.join(f'u{rng.randrange(10**9)}' for _ in range(300 + i))} {passage}" for i in range(60)]
+    texts += [f"{texts[k]} end" for k in range(3)]
+    texts += [" ".join(f"v{rng.randrange(10**9)}" for _ in range(50)) for _ in range(100)]
+    sent = []
+    dealt = jaccard._dealt
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    monkeypatch.setattr(jaccard, "_dealt", lambda *a: sent.append(dealt(*a)) or sent[0])
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(docs).collect()}
+    assert got == {i: i - 60 if 60 <= i < 63 else i for i in range(len(texts))}
+    assert {r["name"] for r in sent[0].collect()} == {f"id {i}" for i in (0, 1, 2, 60, 61, 62)}
+    named = docs.selectExpr("concat('id ', doc_id) as name", "text")
+    moved = {r["name"] for r in jaccard._named(named, sent[0]).collect()}
+    assert {f"id {i}" for i in (0, 1, 2, 60, 61, 62)} <= moved and len(moved) < 12
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_outlines(percent):
+    """No set that links is left out for its outline, nor beside one without; sets that have nothing in common are."""
+    rng = np.random.default_rng(percent)
+    hashes = lambda k: rng.integers(0, 2**64, k, dtype="u8")
+    told = lambda sets, lines: jaccard.may_link(np.array([len(x) for x in sets]), lines, percent)
+    linked = 0
+    for _ in range(60):
+        bases = [hashes(int(rng.integers(1, 700))) for _ in range(3)]
+        sets = [np.unique(np.r_[base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1, 0.3])], base[:1], hashes(int(len(base) * rng.choice([0, 0.05, 0.2])))]) for base in bases * 8]
+        may = told(sets, [jaccard.outline(x) if rng.random() > 0.02 else None for x in sets])
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if jaccard.links(sets[a], sets[b], percent):
+                linked += 1
+                assert may[a] and may[b]
+    assert linked > 500
+    apart = [np.unique(hashes(k)) for k in (20, 21, 400, 410, 1_020, 1_030, 9_000, 9_100)]
+    assert percent < 80 or not told(apart, [jaccard.outline(x) for x in apart]).any()
+    same = np.arange(2**12, dtype="u8")  # all in one range of hashes
+    assert jaccard.outline(same) is None
+    assert told([same, same[1:]], [None, None]).all() and not told([same], [None]).any()
+
+
 def test_jaccard_without_ids(spark):
     """Documents without an id meet by their texts, not each other: as many again take about as long again."""
     rng = random.Random(3)
